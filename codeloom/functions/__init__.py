@@ -1 +1 @@
-
+"""Column functions: folds, globs, tokens, paths."""
