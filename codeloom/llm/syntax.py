@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codeloom.llm import grammar_cs, grammar_other
+from codeloom.sources.tables import Scratch
 
 GRAMMARS = {
     "cs": grammar_cs.parses,
@@ -90,7 +91,8 @@ def _again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def verdicts(files: DataFrame, contents: DataFrame) -> DataFrame:
     """(file_id, lang, repo, grammar, verdict) of each file with content and a grammar: 'ok', 'wrong extension' or 'corrupt'."""
     texts = contents.select(F.col("file_id").cast("long").alias("file_id"), "content").where("file_id is not null and content is not null")
-    seen = texts.mapInPandas(_scan, "file_id long, tried int, good int").distinct()
+    scratch = Scratch(files.sparkSession, "syntax")
+    seen = scratch.cut(texts.mapInPandas(_scan, "file_id long, tried int, good int").distinct())
     f = (
         files.where("id is not null")
         .groupBy(F.col("id").alias("id"))
@@ -103,7 +105,8 @@ def verdicts(files: DataFrame, contents: DataFrame) -> DataFrame:
     verdict = F.when(F.col("good").bitwiseAND(F.col("bit")) != 0, "ok").when(F.col("good") != 0, "wrong extension").otherwise("corrupt")
     known = j.where(F.col("tried").bitwiseAND(F.col("bit")) != 0).select(*cols[:4], verdict.alias("verdict"))
     open_ = j.where(F.col("tried").bitwiseAND(F.col("bit")) == 0)
-    left = open_.select(F.col("file_id").alias("o_id"), "grammar").distinct()
+    # written, so that the planner knows its size and moves the contents only if it is large
+    left = scratch.cut(open_.select(F.col("file_id").alias("o_id"), "grammar").distinct())
     second = texts.join(left, texts["file_id"] == left["o_id"]).select("file_id", "grammar", "content").mapInPandas(_again, "file_id long, grammar string, ok boolean")
     second = second.groupBy(F.col("file_id").alias("s_id"), F.col("grammar").alias("s_grammar")).agg(F.min("ok").alias("ok"))
     late = open_.join(second, (open_["file_id"] == second["s_id"]) & (open_["grammar"] == second["s_grammar"])).select(*cols[:4], F.when(F.col("ok"), "ok").otherwise("wrong extension").alias("verdict"))
