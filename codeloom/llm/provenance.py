@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -140,12 +140,20 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 ALIKE, APART = 0.45, -0.45
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """`f` of `x` with `x` worked out once: a lambda's variable is a value, where a column would be put in at each use."""
+    return F.transform(F.array(x), f)[0]
+
+
 def _message(b: Column) -> Column:
     """What a node with log-belief `b` (one entry a label) tells its neighbour of each label: log-sum-exp over its own."""
-    top = F.array_max(b)
-    all_ = F.aggregate(b, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
     far, near = math.exp(APART), math.exp(ALIKE) - math.exp(APART)
-    return F.transform(b, lambda x: F.log(all_ * far + F.exp(x - top) * near))
+
+    def told(e: Column) -> Column:
+        # e: exp(b - max b); the greatest belief itself cancels out between labels
+        return _let(F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x) * far, lambda all_: F.transform(e, lambda x: F.log(all_ + x * near)))
+
+    return _let(b, lambda v: _let(F.array_max(v), lambda top: _let(F.transform(v, lambda x: F.exp(x - top)), told)))
 
 
 def _sum(name: str) -> Column:
