@@ -19,58 +19,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeloom.sources.tables import delete_path, shared_dir
+from codeloom.sources.tables import shared_dir
+from codeloom.sources.versions import VersionedTable
 
 STATE_SCHEMA = "key string, hash long, mtime long"
 
 
-class StateStore:
+class StateStore(VersionedTable):
     """Versions of a state table under one folder, and a pointer to the current one."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def version(self) -> int:
-        """The current version, 0 if none was ever published."""
-        at = self._path(f"{self.path}/_current")
-        if not self._fs.exists(at):
-            return 0
-        stream = self._fs.open(at)
-        try:
-            return int(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def read(self) -> DataFrame:
-        v = self.version()
-        if not v:
-            return self.spark.createDataFrame([], STATE_SCHEMA)
-        return self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.path}/v={v}")
-
-    def stage(self, state: DataFrame) -> int:
-        """Writes the next version without publishing it."""
-        v = self.version() + 1
-        state.select("key", "hash", "mtime").write.mode("overwrite").parquet(f"{self.path}/v={v}")
-        return v
-
-    def publish(self, version: int) -> None:
-        """Makes a staged version current by one atomic rename; versions before the last are dropped."""
-        if not self._fs.exists(self._path(f"{self.path}/v={version}/_SUCCESS")):
-            raise ValueError(f"version {version} is not complete")
-        temporary = self._path(f"{self.path}/_next-{uuid.uuid4().hex}")
-        out = self._fs.create(temporary, True)
-        out.write(bytearray(str(version), "ascii"))
-        out.close()
-        jvm = self.spark.sparkContext._jvm
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(temporary.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        context.rename(temporary, self._path(f"{self.path}/_current"), options)
-        if version > 2:
-            delete_path(self.spark, f"{self.path}/v={version - 2}")
+        super().__init__(spark, path, STATE_SCHEMA)
 
 
 def known_state(runs: DataFrame, checkpoints: DataFrame) -> DataFrame:
