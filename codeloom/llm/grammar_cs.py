@@ -868,7 +868,11 @@ def _open(kind: str, head: str) -> tuple[str, bool]:
             p.end()
             return "file", False
         # initialisers, property bodies and lambdas stand inside a member
-        cut = _expression_at(p.t)
+        p.attributes()
+        p.modifiers()
+        declares = p.t[p.i] in ("class", "struct", "interface", "enum", "record")
+        p.i = 0
+        cut = None if declares else _expression_at(p.t)
         if cut is None:
             return p.member(True), False
         return cut, True

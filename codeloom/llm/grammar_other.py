@@ -852,7 +852,7 @@ _FS_MASK = re.compile(
     re.X | re.S,
 )
 _FS_TOKEN = re.compile(
-    r"\[<|>\]|\[\||\|\]|[^\W\d][\w']*[!]?|'[^\W\d]\w*|\d[\w]*(?:\.(?!\.)\d*(?:[eE][-+]?\d+)?[fFmM]?)?|``[^`\n]+``|\x01|\(\)|->|<-|:>|:\?>|:\?|::|:=|\.\.|\.\[|[-+*/%<>=!$&|^~?@.:]+|[(){}\[\],;_#`]|\S"
+    r"\[<|>\]|\[\||\|\]|[^\W\d][\w']*[!]?|'[^\W\d]\w*|\d[\w]*(?:\.(?!\.)\d*(?:[eE][-+]?\d+)?[fFmM]?)?|``[^`\n]+``|\x01|\(\)|->|<-|:>|:\?>|:\?|::|:=|\.\.|[-+*/%<>=!$&|^~?@.:]+|[(){}\[\],;_#`]|\S"
 )
 _FS_KEYS = frozenset(
     "abstract and as assert base begin class default delegate do done downcast downto elif else end exception extern false finally fixed for fun function global if in inherit inline interface internal lazy let match member module mutable namespace new not null of open or override private public rec return select sig static struct then to true try type upcast use val void when while with yield let! use! do! return! yield! match! const process parallel protected pure include mixin component constraint trait virtual sealed tailcall break checked".split()
@@ -1015,11 +1015,6 @@ class F:
                     self._bracket()
                 elif not self._name():
                     raise Bad("member")
-            elif t == ".[":
-                if want:
-                    raise Bad(t)
-                self.t[self.i] = "["
-                self._bracket()
             elif t in ("_",):
                 self.i += 1
                 want = False

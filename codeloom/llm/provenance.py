@@ -137,7 +137,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 #: Log-compatibility of a child's label with its parent's: alike is likelier, and any mixture remains possible.
-ALIKE, APART = 0.45, -0.45
+ALIKE, APART = 1.8, -1.8
 
 
 def _let(x: Column, f: Callable[[Column], Column]) -> Column:
@@ -195,12 +195,13 @@ def labels(files: DataFrame, contents: DataFrame, langs: tuple[str, ...] = LANGS
     )
     j = j.join(foreign, (j["repo"] == foreign["h_repo"]) & (j["home"] == foreign["h_home"]), "left").withColumn("foreign", F.col("h_home").isNotNull().cast("int")).drop("h_repo", "h_home")
     g, m, v, b = (F.coalesce(c, F.lit(0.0)) for c in ("generated", "minified", "vendored", "blob"))
-    minified = F.when(m > 0.5, 6.0).otherwise(-2.0)
-    blob = F.when(b > 0.6, 6.0).otherwise(-2.0)
-    vendored = F.when((v > 0) | (F.col("foreign") > 0), 6.0).otherwise(-2.0)
+    minified = F.when(m > 0.5, 12.0).otherwise(-2.0)
+    blob = F.when(b > 0.6, 12.0).otherwise(-2.0)
+    vendored = F.when((v > 0) | (F.col("foreign") > 0), 12.0).otherwise(-2.0)
     evidence = [
-        F.lit(1.5),
-        F.when(g > 0, 6.5).otherwise(-2.0),
+        # a namespace that is at home speaks for the file's own authors
+        F.when(F.col("home").isNotNull() & (F.col("foreign") == 0), 4.5).otherwise(0.5),
+        F.when(g > 0, 12.5).otherwise(-2.0),
         minified,
         vendored,
         blob,

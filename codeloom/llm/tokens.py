@@ -4,8 +4,8 @@ Texts are cut where a rolling hash of the last characters says so, so equal
 passages of different texts fall into equal chunks wherever they stand. Distinct
 chunks are encoded once and joined back. A cut may run through what the
 tokenizer's pre-splitter takes as one piece; therefore each join is repaired: the
-piece that touches a chunk's end is split and encoded again together with what
-follows, until the new pieces end where a piece of the next chunk ends. From
+pieces at a chunk's end that more text could change are split and encoded again
+together with what follows, until the new pieces end where a piece of the next chunk ends. From
 there on both splittings agree for good, because a piece depends only on the
 text from its start, so the result is exactly that of the whole text.
 
@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Characters in the rolling hash, and the mean length of a chunk less the shortest one. Fixed so that equal passages are cut alike everywhere.
 WINDOW, MEAN, SHORTEST, LONGEST = 12, 96, 32, 1024
+#: Characters from its start that may decide a piece, beyond those it takes: contractions need three.
+LOOK = 4
 #: Pieces whose ids a worker remembers; a bound on memory only.
 REMEMBERED = 200_000
 
@@ -140,8 +142,8 @@ def join_chunks(texts: list[str], parts: list[tuple[list[int], list[int], list[i
             while at < len(whole):
                 m = split.match(whole, at)
                 at = m.end()
-                if at == len(whole) and k < last:
-                    # it touches the next join: everything from its start waits
+                if k < last and (at == len(whole) or m.start() + LOOK > len(whole)):
+                    # the next join may change it: everything from its start waits
                     at = m.start()
                     break
                 out += encode(m[0])
@@ -154,10 +156,10 @@ def join_chunks(texts: list[str], parts: list[tuple[list[int], list[int], list[i
                 tried = len(carry) if at == 0 else 0
                 continue
             carry, tried = "", 0
-        # the rest is as in the chunk, but for the piece at its end
-        stop = len(counts) if k == last else len(counts) - 1
-        if stop < skip:
-            stop = skip
+        # the rest is as in the chunk, but for the pieces that what follows may change
+        stop = len(counts)
+        while k < last and stop > skip and (ends[stop - 1] == len(text) or (ends[stop - 2] if stop > 1 else 0) + LOOK > len(text)):
+            stop -= 1
         a = sum(counts[:skip])
         b = a + sum(counts[skip:stop])
         out += ids[a:b]
