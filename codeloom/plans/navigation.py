@@ -791,3 +791,234 @@ def impact(s: Store) -> DataFrame:
 @query(f"WITH {SY} SELECT coalesce(ns, '') AS ns, count(*) AS symbols, count_if(kind IN {_list(TYPE_KINDS)}) AS types, count(DISTINCT file_id) AS files FROM s GROUP BY 1")
 def namespace_digest(s: Store) -> DataFrame:
     return s.symbols.groupBy(F.coalesce("ns", F.lit("")).alias("ns")).agg(F.count("*").alias("symbols"), F.count_if(F.col("kind").isin(*TYPE_KINDS)).alias("types"), F.count_distinct("file_id").alias("files"))
+
+
+# ------------------------------------------------------- further joins, unions
+
+
+@query(
+    f"""WITH {PROJ}, pk AS (SELECT DISTINCT file_id, regexp_extract(x, 'Include="([^"]*)"', 1) AS package FROM (SELECT file_id, unnest(regexp_extract_all(content, '<PackageReference Include="[^"]*"')) AS x FROM (SELECT DISTINCT file_id, content FROM file_contents JOIN files ON file_id = id WHERE lang IN ('csproj','fsproj')))),
+ q AS (SELECT p.id AS from_id, pk.package FROM pk JOIN files f ON f.id = pk.file_id JOIN p ON p.k = lower(f.path))
+SELECT from_id, p.id AS to_id, p.lang FROM q JOIN p ON lower(p.name) = lower(q.package) AND p.id <> q.from_id QUALIFY row_number() OVER (PARTITION BY from_id, lower(q.package), p.lang ORDER BY p.id) = 1"""
+)
+def j16_binary_edges(s: Store) -> DataFrame:
+    """Edges recovered from references by name: a project of that name, one a language, never the asking one."""
+    f = s.files.where(F.col("lang").isin("csproj", "fsproj")).select(F.col("id").alias("f_id"), X.fold("path").alias("f_path"))
+    pk = s.contents.join(f, F.col("file_id") == F.col("f_id")).select("f_path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit('<PackageReference Include="([^"]*)"'), F.lit(1)))).alias("package"))
+    ask = pk.join(s.projects.select("key", F.col("id").alias("from_id")), F.col("f_path") == F.col("key")).select("from_id", X.fold("package").alias("package")).distinct()
+    to = s.projects.select(F.col("id").alias("to_id"), X.fold("name").alias("to_name"), "lang")
+    j = ask.join(to, (ask["package"] == to["to_name"]) & (ask["from_id"] != to["to_id"]))
+    return j.groupBy("from_id", "package", "lang").agg(F.min("to_id").alias("to_id")).select("from_id", "to_id", "lang")
+
+
+GLOBS = ("src/**/Generation/*.cs", "**/Scripts/*.sql", "*/docs/**", "src/*.cs")
+
+
+@query("SELECT id AS file_id, 0 AS glob FROM files WHERE regexp_matches(lower(path), '^src/(?:[^/]+/)*generation/[^/]*\\.cs$') UNION ALL SELECT id, 1 FROM files WHERE regexp_matches(lower(path), '^(?:[^/]+/)*scripts/[^/]*\\.sql$') UNION ALL SELECT id, 2 FROM files WHERE regexp_matches(lower(path), '^[^/]*/docs/.*$') UNION ALL SELECT id, 3 FROM files WHERE regexp_matches(lower(path), '^src/[^/]*\\.cs$')")
+def j13_glob_ownership(s: Store) -> DataFrame:
+    """Files by include glob; the globs are a query's literals, so each is one predicate of the same scan."""
+    which = F.array(*[F.when(X.fold("path").rlike(X.build_glob_regex(g)), k) for k, g in enumerate(GLOBS)])
+    return s.files.select(F.col("id").alias("file_id"), F.explode(F.filter(which, lambda x: x.isNotNull())).alias("glob"))
+
+
+@query(f"WITH {PROJ}, {OWN}, {POST} SELECT own.project_id, count(DISTINCT po.file_id) AS files FROM po JOIN own ON own.file_id = po.file_id WHERE token = 'watcher' GROUP BY 1")
+def a4_projects_by_matches(s: Store) -> DataFrame:
+    return s.postings.where("token = 'watcher'").join(s.owners, "file_id").groupBy("project_id").agg(F.count_distinct("file_id").alias("files"))
+
+
+@query(f"WITH {REFS}, t AS (SELECT DISTINCT project_id, file_id, line_no, CASE WHEN contains(line, 'new ') THEN 'creation' WHEN contains(line, ': ') THEN 'base' ELSE 'use' END AS usage FROM rf) SELECT project_id, usage, count(*) AS sites FROM t GROUP BY 1, 2")
+def a7_usage_histogram(s: Store) -> DataFrame:
+    """Distinct reference sites by project and how the name is used."""
+    usage = F.when(F.col("line").contains("new "), "creation").when(F.col("line").contains(": "), "base").otherwise("use")
+    return _references(s).select("project_id", "file_id", "line_no", usage.alias("usage")).distinct().groupBy("project_id", "usage").agg(F.count("*").alias("sites"))
+
+
+@query(f"WITH {PROJ} SELECT to_id AS project_id, count(*) AS dependents, bool_and(p.style = 'sdk') AS all_sdk FROM refs JOIN p ON p.id = from_id GROUP BY 1")
+def a12_direct_dependents(s: Store) -> DataFrame:
+    p = s.projects.select(F.col("id").alias("from_id"), "style")
+    return s.refs.join(p, "from_id").groupBy(F.col("to_id").alias("project_id")).agg(F.count("*").alias("dependents"), F.every(F.col("style") == "sdk").alias("all_sdk"))
+
+
+@query(f"WITH {SY}, {EDGE} SELECT s.id AS symbol_id, path FROM s JOIN (SELECT DISTINCT derived_id FROM be WHERE base_name = 'icursor') e ON e.derived_id = s.id JOIN files f ON f.id = s.file_id ORDER BY is_generated, name, path, symbol_id LIMIT 60")
+def t5_ranked_implementers(s: Store) -> DataFrame:
+    f = s.files.select(F.col("id").alias("f_id"), "path", "is_generated")
+    return S.implementers(s.base_edges, s.symbols, "ICursor").join(f, F.col("file_id") == F.col("f_id")).orderBy("is_generated", "name", "path", "id").limit(60).select(F.col("id").alias("symbol_id"), "path")
+
+
+@query(f"WITH {REFS} SELECT project_id, count(*) AS hits FROM rf GROUP BY 1 ORDER BY hits DESC, project_id NULLS FIRST LIMIT 20")
+def t7_groups_by_hits(s: Store) -> DataFrame:
+    """The twenty greatest groups; ties go by project, where the reference leaves them as met."""
+    return _references(s).groupBy("project_id").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), F.asc_nulls_first("project_id")).limit(20)
+
+
+@query(f"WITH {SY} SELECT s.id AS symbol_id FROM s WHERE kind IN ('class','interface') ORDER BY contains(coalesce(modifiers, ''), 'abstract') OR kind = 'interface', name, s.id LIMIT 50")
+def t10_concrete_first(s: Store) -> DataFrame:
+    open_ = F.coalesce("modifiers", F.lit("")).contains("abstract") | (F.col("kind") == "interface")
+    return s.symbols.where(F.col("kind").isin("class", "interface")).orderBy(open_, "name", "id").limit(50).select(F.col("id").alias("symbol_id"))
+
+
+@query("SELECT id AS file_id, size, ntile(8) OVER (ORDER BY size DESC, path) AS batch FROM (SELECT * FROM files WHERE lang = 'cs' ORDER BY size DESC, path LIMIT 400)")
+def t15_largest_first(s: Store) -> DataFrame:
+    """The 400 largest sources in eight batches, largest first, as a cold build takes them."""
+    top = s.files.where("lang = 'cs'").orderBy(F.desc("size"), "path").limit(400)
+    return top.select(F.col("id").alias("file_id"), "size", F.ntile(8).over(Window.orderBy(F.desc("size"), "path")).cast("long").alias("batch"))
+
+
+@query(f"WITH {PROJ} SELECT from_id AS node, to_id AS other, 'downstream' AS side FROM refs UNION ALL SELECT to_id, from_id, 'upstream' FROM refs")
+def u1_both_directions(s: Store) -> DataFrame:
+    down = s.refs.select(F.col("from_id").alias("node"), F.col("to_id").alias("other"), F.lit("downstream").alias("side"))
+    return down.unionByName(s.refs.select(F.col("to_id").alias("node"), F.col("from_id").alias("other"), F.lit("upstream").alias("side")))
+
+
+@query(f"WITH {PROJ} SELECT 'project' AS part, count(*) AS n FROM p UNION ALL SELECT 'reference', count(*) FROM refs UNION ALL SELECT 'solution', count(*) FROM (SELECT DISTINCT id FROM parsed_solutions)")
+def u2_fingerprint_parts(s: Store) -> DataFrame:
+    part = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+    return part(s.projects, "project").unionByName(part(s.refs, "reference")).unionByName(part(s.raw("parsed_solutions").select("id").distinct(), "solution"))
+
+
+# -------------------------------------------------------------- further search
+
+
+@query(f"WITH {L} SELECT file_id, line_no FROM l WHERE regexp_matches(lower(line), '(^|[^\\pL\\p{{Nd}}_])task[^\\pL\\p{{Nd}}_]+yield([^\\pL\\p{{Nd}}_]|$)')")
+def x4_phrase(s: Store) -> DataFrame:
+    """A name with separators is a phrase: its tokens side by side. Postings prune the files first."""
+    ts = X.query_tokens("Task.Yield")
+    near = r"(?<![\p{L}\p{Nd}_])" + r"[^\p{L}\p{Nd}_]+".join(ts) + r"(?![\p{L}\p{Nd}_])"
+    return s.lines.join(search.holding_all(s.postings, ts), "file_id", "left_semi").where(X.fold("line").rlike(near)).select("file_id", "line_no")
+
+
+@query(f"WITH {L}, {SY}, h AS (SELECT file_id, line_no FROM l WHERE {_has('manifest')} AND {_has('ledger')}) SELECT file_id, line_no, inside FROM (SELECT h.file_id, h.line_no, s.name AS inside, row_number() OVER (PARTITION BY h.file_id, h.line_no ORDER BY end_line - start_line, start_line DESC, s.id) AS rn FROM h LEFT JOIN s ON s.file_id = h.file_id AND h.line_no BETWEEN start_line AND end_line) WHERE rn = 1")
+def x19_hits_with_symbols(s: Store) -> DataFrame:
+    """Search hits with the name of the innermost symbol around each."""
+    hits = s.lines.where(X.whole_token(F.col("line"), "manifest") & X.whole_token(F.col("line"), "ledger")).select("file_id", "line_no")
+    inside = S.innermost(hits, s.symbols).join(s.symbols.select(F.col("id").alias("symbol_id"), F.col("name").alias("inside")), "symbol_id").drop("symbol_id")
+    return hits.join(inside, ["file_id", "line_no"], "left")
+
+
+@query(f"WITH {L} SELECT (SELECT count(*) FROM l WHERE {_has('quota')} AND {_has('ledger')}) AS precise, (SELECT count(DISTINCT file_id) FROM l WHERE {_has('quota')}) AS first_files, (SELECT count(DISTINCT file_id) FROM l WHERE {_has('ledger')}) AS second_files, (SELECT count(*) FROM l WHERE {_has('quotaledger')}) AS joined")
+def x17_dead_end_probes(s: Store) -> DataFrame:
+    """What an empty page asks next: each token elsewhere, both together, the joined variant; one pass over the lines."""
+    a, b, j = (X.whole_token(F.col("line"), t) for t in ("quota", "ledger", "quotaledger"))
+    return s.lines.agg(F.count_if(a & b).alias("precise"), F.count_distinct(F.when(a, F.col("file_id"))).alias("first_files"), F.count_distinct(F.when(b, F.col("file_id"))).alias("second_files"), F.count_if(j).alias("joined"))
+
+
+@query(f"WITH {L}, n AS (SELECT count(*) AS n FROM l WHERE {_has('log')}) SELECT n AS precise, n >= 1000 AS common FROM n")
+def x18_common_term(s: Store) -> DataFrame:
+    return s.lines.where(X.whole_token(F.col("line"), "log")).agg(F.count("*").alias("precise"), (F.count("*") >= 1000).alias("common"))
+
+
+@query("SELECT id AS file_id, path FROM files WHERE lang IN ('cs','fs','md','sql','csproj','fsproj','sln','config') ORDER BY is_generated, length(path), path LIMIT 2001")
+def x10_regex_cohort(s: Store) -> DataFrame:
+    """Files that a regular expression without literals scans: a bound of 2000, and one more that tells of others."""
+    return s.files.where(F.col("lang").isin("cs", "fs", "md", "sql", "csproj", "fsproj", "sln", "config")).orderBy("is_generated", F.length("path"), "path").limit(2001).select(F.col("id").alias("file_id"), "path")
+
+
+# ------------------------------------------------------------- further symbols
+
+
+@query(f"WITH {SY} SELECT kind, count(*) AS n FROM s WHERE contains(lower(name), 'zzz') OR contains(lower(name), 'gateway') GROUP BY 1")
+def y4_kinds_on_miss(s: Store) -> DataFrame:
+    return s.symbols.where(S.name_match(F.col("name"), "zzz", "substring") | S.name_match(F.col("name"), "gateway", "substring")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SY}, t AS (SELECT file_id, min(start_line) AS first FROM s WHERE kind = 'method' GROUP BY 1) SELECT s.id AS symbol_id FROM s JOIN t ON t.file_id = s.file_id AND s.start_line = t.first")
+def y7_starting_at(s: Store) -> DataFrame:
+    t = s.symbols.where("kind = 'method'").groupBy(F.col("file_id").alias("t_file")).agg(F.min("start_line").alias("first"))
+    return s.symbols.join(t, (F.col("file_id") == F.col("t_file")) & (F.col("start_line") == F.col("first"))).select(F.col("id").alias("symbol_id"))
+
+
+@query(f"WITH {SY}, {EDGE}, t AS (SELECT DISTINCT s.ns, s.name, s.file_id FROM be JOIN s ON s.id = derived_id WHERE base_name = 'icursor') SELECT m.id AS symbol_id FROM s m JOIN t ON m.file_id = t.file_id AND m.container = t.name WHERE m.kind = 'method'")
+def l16_members_of_implementers(s: Store) -> DataFrame:
+    """Methods of the types that implement a contract: implementers, then a semi-join to their members."""
+    t = S.implementers(s.base_edges, s.symbols, "ICursor").select(F.col("file_id").alias("t_file"), F.col("name").alias("t_name")).distinct()
+    return s.symbols.where("kind = 'method'").join(t, (F.col("file_id") == F.col("t_file")) & (F.col("container") == F.col("t_name")), "left_semi").select(F.col("id").alias("symbol_id"))
+
+
+@query(
+    f"""WITH {PROJ}, {OWN}, {SY}, d AS (SELECT s.id, s.kind, own.file_id IS NOT NULL AS live FROM s LEFT JOIN own ON own.file_id = s.file_id WHERE lower(name) = 'anchor'), x AS (SELECT *, bool_or(live) OVER () AS any_live FROM d)
+SELECT id AS symbol_id, CASE WHEN kind = 'interface' THEN 0 WHEN kind IN {_list(TYPE_KINDS)} THEN 1 ELSE 2 END AS rank FROM x WHERE live OR NOT any_live"""
+)
+def l12_declaration_targets(s: Store) -> DataFrame:
+    """Declarations of a name: those in files without a project only if there is no other; interfaces, then types, then the rest."""
+    own = s.owners.select(F.col("file_id").alias("o_file"))
+    d = s.symbols.where(S.name_match(F.col("name"), "anchor", "exact")).join(own, F.col("file_id") == F.col("o_file"), "left").withColumn("live", F.col("o_file").isNotNull())
+    # one row tells whether any is live; a window without partitions would gather all declarations
+    any_live = d.agg(F.coalesce(F.max("live"), F.lit(False)).alias("any_live"))
+    rank = F.when(F.col("kind") == "interface", 0).when(F.col("kind").isin(*TYPE_KINDS), 1).otherwise(2)
+    return d.crossJoin(F.broadcast(any_live)).where("live or not any_live").select(F.col("id").alias("symbol_id"), rank.alias("rank"))
+
+
+@query("SELECT min(id) AS file_id, lower(path) AS alias FROM files GROUP BY lower(path) HAVING count(*) = 1")
+def l2_unique_aliases(s: Store) -> DataFrame:
+    return s.files.groupBy(X.fold("path").alias("alias")).agg(F.min("id").alias("file_id"), F.count("*").alias("n")).where("n = 1").select("file_id", "alias")
+
+
+@query(f"WITH {PROJ} SELECT lower(name) AS name, arg_min(id, path) AS project_id, count(*) AS of_name FROM (SELECT *, k AS path FROM p) GROUP BY 1")
+def l3_project_by_name(s: Store) -> DataFrame:
+    return s.projects.groupBy(X.fold("name").alias("name")).agg(F.min_by("id", "key").alias("project_id"), F.count("*").alias("of_name"))
+
+
+@query(f"WITH {PROJ}, {OWN} SELECT DISTINCT lower(p.name) AS name, f.path, f.size FROM own JOIN p ON p.id = own.project_id JOIN files f ON f.id = own.file_id WHERE f.lang = 'cs'")
+def l6_files_with_sizes(s: Store) -> DataFrame:
+    p = s.projects.select(F.col("id").alias("p_id"), X.fold("name").alias("name"))
+    f = s.files.where("lang = 'cs'").select(F.col("id").alias("f_id"), "path", "size")
+    return s.owners.join(p, F.col("project_id") == F.col("p_id")).join(f, F.col("file_id") == F.col("f_id")).select("name", "path", "size").distinct()
+
+
+@query("SELECT path FROM files WHERE is_generated ORDER BY path")
+def l7_generated_paths(s: Store) -> DataFrame:
+    return s.files.where("is_generated").select("path").orderBy("path")
+
+
+@query(
+    """WITH o AS (SELECT file_id, row_number() OVER (PARTITION BY file_id % 7 ORDER BY file_id) AS nth, file_id % 7 AS owner FROM fsharp_parse_coverage)
+SELECT file_id, owner FROM (SELECT *, row_number() OVER (ORDER BY nth, owner) AS rank FROM o) WHERE rank <= 64"""
+)
+def l24_parse_contexts(s: Store) -> DataFrame:
+    """At most 64 contexts: one of each owner first, then second ones, and so on."""
+    c = s.raw("fsharp_parse_coverage").select("file_id", (F.col("file_id") % 7).alias("owner"))
+    nth = F.row_number().over(Window.partitionBy("owner").orderBy("file_id"))
+    return c.withColumn("nth", nth).orderBy("nth", "owner").limit(64).select("file_id", "owner")
+
+
+@query(f"WITH {PROJ} SELECT from_id, to_id, CASE WHEN bool_or(a.style = 'sdk') THEN 'project' ELSE 'assembly' END AS kind FROM refs JOIN p a ON a.id = from_id GROUP BY 1, 2")
+def g5_edge_kinds(s: Store) -> DataFrame:
+    a = s.projects.select(F.col("id").alias("from_id"), "style")
+    return s.refs.join(a, "from_id").groupBy("from_id", "to_id").agg(F.when(F.bool_or(F.col("style") == "sdk"), "project").otherwise("assembly").alias("kind"))
+
+
+@query(
+    f"""WITH RECURSIVE {PROJ}, {OWN}, {REFS.split(OWN + ', ')[1]}, cand AS (SELECT project_id AS id, count(DISTINCT file_id) AS files FROM rf WHERE project_id IS NOT NULL GROUP BY 1), seed AS (SELECT DISTINCT project_id AS id FROM own JOIN symbols s ON s.file_id = own.file_id WHERE s.name = '{NAME}'),
+ up AS (SELECT from_id AS id FROM refs WHERE to_id IN (SELECT id FROM seed) UNION SELECT from_id FROM up JOIN refs ON to_id = up.id)
+SELECT id AS project_id, CASE WHEN id IN (SELECT id FROM seed) THEN 0 ELSE 1 END AS tier FROM cand WHERE id IN (SELECT id FROM up) OR id IN (SELECT id FROM seed) ORDER BY tier, files DESC, id LIMIT 40"""
+)
+def g10_scan_set(s: Store) -> DataFrame:
+    """Projects worth a full look: textual candidates among the seeds and their dependents, seeds first, at most 40."""
+    cand = _references(s).where("project_id is not null").groupBy("project_id").agg(F.count_distinct("file_id").alias("files"))
+    declared = s.symbols.where(F.col("name") == NAME).select("file_id").distinct()
+    seed = s.owners.join(declared, "file_id", "left_semi").select("project_id").distinct()
+    up = graph.reachable(_edges(s, True), seed.select(F.col("project_id").alias("root")), Scratch(s.spark, "scan")).select(F.col("node").alias("project_id"))
+    known = seed.withColumn("tier", F.lit(0)).unionByName(up.withColumn("tier", F.lit(1))).groupBy("project_id").agg(F.min("tier").alias("tier"))
+    return cand.join(known, "project_id").orderBy("tier", F.desc("files"), "project_id").limit(40).select("project_id", "tier")
+
+
+@query(
+    f"""WITH {SY}, t AS (SELECT s.id, s.file_id, s.name, start_line FROM s WHERE kind = 'interface' AND lower(name) LIKE 'a%'),
+ m AS (SELECT t.id, count(*) AS members FROM t JOIN s ON s.file_id = t.file_id AND s.container = t.name GROUP BY 1), sib AS (SELECT t.id, count(*) AS siblings FROM t JOIN s ON s.file_id = t.file_id AND s.id <> t.id AND s.container IS NULL GROUP BY 1)
+SELECT t.id AS symbol_id, path, start_line, coalesce(members, 0) AS members, coalesce(siblings, 0) AS siblings FROM t JOIN files f ON f.id = t.file_id LEFT JOIN m ON m.id = t.id LEFT JOIN sib ON sib.id = t.id"""
+)
+def context_pack(s: Store) -> DataFrame:
+    """What a reader of a definition needs with it: its place, members and siblings."""
+    t = s.symbols.where((F.col("kind") == "interface") & X.fold("name").startswith("a")).select(F.col("id").alias("symbol_id"), F.col("file_id").alias("t_file"), F.col("name").alias("t_name"), F.col("start_line").alias("line"))
+    inside = s.symbols.join(t, (F.col("file_id") == F.col("t_file")) & (F.col("container") == F.col("t_name"))).groupBy("symbol_id").agg(F.count("*").alias("members"))
+    beside = s.symbols.where("container is null").join(t, (F.col("file_id") == F.col("t_file")) & (F.col("id") != F.col("symbol_id"))).groupBy("symbol_id").agg(F.count("*").alias("siblings"))
+    f = s.files.select(F.col("id").alias("f_id"), "path")
+    j = t.join(f, F.col("t_file") == F.col("f_id")).join(inside, "symbol_id", "left").join(beside, "symbol_id", "left")
+    return j.select("symbol_id", "path", F.col("line").alias("start_line"), F.coalesce("members", F.lit(0)).alias("members"), F.coalesce("siblings", F.lit(0)).alias("siblings"))
+
+
+@query(f"WITH {SY}, {RANGES}, t AS (SELECT rg.file_id, first, last, s.id, s.kind, s.start_line, s.end_line FROM rg JOIN s ON s.file_id = rg.file_id AND start_line <= last AND end_line >= first) SELECT file_id, count(*) AS touched, count_if(kind IN {_list(TYPE_KINDS)}) AS types, count_if(first <= start_line AND last >= end_line) AS whole FROM t GROUP BY 1")
+def review_pack(s: Store) -> DataFrame:
+    """Per changed file: touched symbols, types among them, and those changed whole."""
+    t = S.intersecting(_ranges(s), s.symbols)
+    return t.groupBy("file_id").agg(F.count("*").alias("touched"), F.count_if(F.col("kind").isin(*TYPE_KINDS)).alias("types"), F.count_if((F.col("first") <= F.col("start_line")) & (F.col("last") >= F.col("end_line"))).alias("whole"))
