@@ -55,7 +55,7 @@ OWN = r"""fd AS (SELECT id AS file_id, lang, lower(regexp_replace(path, '/?[^/]*
 EDGE = r"""be AS (SELECT DISTINCT lower(regexp_extract(regexp_replace(trim(b), '<.*$', ''), '[^.]*$')) AS base_name,
    CASE WHEN contains(b, '<') THEN length(regexp_replace(b, '[^,]', '', 'g')) + 1 ELSE 0 END AS base_arity, id AS derived_id, file_id
   FROM (SELECT id, file_id, unnest(string_split(regexp_extract(signature, ' : (.*)$', 1), ', ')) AS b FROM s WHERE contains(signature, ' : ') AND kind IN """ + _list(TYPE_KINDS) + "))"
-POST = C + r", po AS (SELECT token, file_id, count(*) AS tf FROM (SELECT file_id, unnest(regexp_extract_all(lower(content), '[\pL\p{Nd}_]+')) AS token FROM c) GROUP BY ALL)"
+POST = C + r", po AS (SELECT token, file_id, count(*) AS tf FROM (SELECT file_id, unnest(regexp_extract_all(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\pL\p{Nd}_]+')) AS token FROM c) GROUP BY ALL)"
 
 # ------------------------------------------------------------ scans and files
 
@@ -543,14 +543,26 @@ BM = f"""{POST}, q AS (SELECT * FROM po WHERE token IN {_list(SEARCH)}), dl AS (
 
 @query(f"WITH {BM} SELECT file_id, round(score, 6) AS score FROM bm")
 def x3_bm25(s: Store) -> DataFrame:
-    return search.bm25(s.postings, SEARCH).select("file_id", F.round("score", 6).alias("score"))
+    return search.scan_bm25(s.contents, SEARCH, Scratch(s.spark, "bm25")).select("file_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {BM} SELECT bm.file_id, path FROM bm JOIN files f ON f.id = bm.file_id ORDER BY is_generated, round(score, 6) DESC, bm.file_id LIMIT 31")
 def t3_candidates(s: Store) -> DataFrame:
     """The best 30 candidates and one more that tells of others."""
     f = s.files.select(F.col("id").alias("f_id"), "path", "is_generated")
-    return search.bm25(s.postings, SEARCH).join(f, F.col("file_id") == F.col("f_id")).orderBy("is_generated", F.desc(F.round("score", 6)), "file_id").limit(31).select("file_id", "path")
+    return search.scan_bm25(s.contents, SEARCH, Scratch(s.spark, "bm25")).join(f, F.col("file_id") == F.col("f_id")).orderBy("is_generated", F.desc(F.round("score", 6)), "file_id").limit(31).select("file_id", "path")
+
+
+@query(f"WITH {POST} SELECT token, count(*) AS files, sum(tf)::BIGINT AS times FROM po GROUP BY 1")
+def k2_postings(s: Store) -> DataFrame:
+    """The text index in short: of each token the files that hold it and how often it stands."""
+    return s.postings.groupBy("token").agg(F.count("*").alias("files"), F.sum("tf").alias("times"))
+
+
+@query(f"WITH {BM} SELECT file_id, round(score, 6) AS score FROM bm")
+def x3_bm25_index(s: Store) -> DataFrame:
+    """BM25 through the postings, as an index that is kept would give it."""
+    return search.bm25(s.postings, SEARCH).select("file_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {POST} SELECT file_id FROM po WHERE token IN {_list(SEARCH)} GROUP BY 1 HAVING count(*) = {len(SEARCH)}")
@@ -571,7 +583,7 @@ SELECT file_id, line_no, CASE WHEN contains(lower(line), 'quota ledger') THEN 0
 UNION ALL SELECT file_id, l0, 2 FROM t WHERE l0 IS NOT NULL UNION ALL SELECT file_id, l1, 2 FROM t WHERE l1 IS NOT NULL AND NOT coalesce(c1, false)"""
 )
 def x6_graded_lines(s: Store) -> DataFrame:
-    c = search.holding_all(s.postings, ["quota", "ledger"])
+    c = search.scan_holding(s.contents, ["quota", "ledger"])
     return search.graded(s.lines, c, "quota ledger").select("file_id", "line_no", "tier")
 
 
@@ -580,12 +592,12 @@ PATTERN = r"\bvoid\b.*\bguid\b"
 
 @query(f"WITH {L} SELECT file_id, line_no FROM l WHERE regexp_matches(line, '\\bpublic\\b \\bstatic\\b .*\\(Guid [a-z]+')")
 def x8_regex_search(s: Store) -> DataFrame:
-    """A regular expression whose required literals prune the files through the postings first."""
+    """A regular expression whose required literals prune the files first."""
     pattern = r"\bpublic\b \bstatic\b .*\(Guid [a-z]+"
     need = X.required_literals(pattern)
     lines = s.lines
     if need:
-        lines = lines.join(search.holding_all(s.postings, need), "file_id", "left_semi")
+        lines = lines.join(search.scan_holding(s.contents, need), "file_id", "left_semi")
     return search.regex_lines(lines, pattern).select("file_id", "line_no")
 
 
@@ -881,10 +893,10 @@ def u2_fingerprint_parts(s: Store) -> DataFrame:
 
 @query(f"WITH {L} SELECT file_id, line_no FROM l WHERE regexp_matches(lower(line), '(^|[^\\pL\\p{{Nd}}_])task[^\\pL\\p{{Nd}}_]+yield([^\\pL\\p{{Nd}}_]|$)')")
 def x4_phrase(s: Store) -> DataFrame:
-    """A name with separators is a phrase: its tokens side by side. Postings prune the files first."""
+    """A name with separators is a phrase: its tokens side by side. Files without all of them are pruned first."""
     ts = X.query_tokens("Task.Yield")
     near = r"(?<![\p{L}\p{Nd}_])" + r"[^\p{L}\p{Nd}_]+".join(ts) + r"(?![\p{L}\p{Nd}_])"
-    return s.lines.join(search.holding_all(s.postings, ts), "file_id", "left_semi").where(X.fold("line").rlike(near)).select("file_id", "line_no")
+    return s.lines.join(search.scan_holding(s.contents, ts), "file_id", "left_semi").where(X.fold("line").rlike(near)).select("file_id", "line_no")
 
 
 @query(f"WITH {L}, {SY}, h AS (SELECT file_id, line_no FROM l WHERE {_has('manifest')} AND {_has('ledger')}) SELECT file_id, line_no, inside FROM (SELECT h.file_id, h.line_no, s.name AS inside, row_number() OVER (PARTITION BY h.file_id, h.line_no ORDER BY end_line - start_line, start_line DESC, s.id) AS rn FROM h LEFT JOIN s ON s.file_id = h.file_id AND h.line_no BETWEEN start_line AND end_line) WHERE rn = 1")
