@@ -430,7 +430,7 @@ class P:
         except Bad:
             self.i = start
             return
-        if self.t[self.i] not in ("(", ")", "]", ":", ";", ",", ".", "?", "==", "!=", "|", "^", "&&", "||", "&", "[", BLOCK, "?.", "", "}") and not (self._is_name(0) and False):
+        if self.t[self.i] not in ("(", ")", "]", ":", ";", ",", ".", "?", "==", "!=", "|", "^", "&&", "||", "&", "[", BLOCK, "?.", "", "}"):
             self.i = start
 
     def _postfix(self) -> None:
@@ -523,8 +523,6 @@ class P:
             self.statement()
         elif t == "else":
             self.i += 1
-            if self.t[self.i] == "":
-                pass
             self.statement()
         elif t == "for":
             self._for()
@@ -588,8 +586,6 @@ class P:
                         pass
             self.i = start
             self.expr()
-            if self.t[self.i - 1] == ")" or True:
-                return
 
     def _for(self) -> None:
         self.i += 1
@@ -705,10 +701,8 @@ class P:
         self.modifiers()
         t = self.t[self.i]
         if t in ("class", "struct", "interface", "enum") or t == "record" and self._is_name(1) or t == "record" and self.t[self.i + 1] in ("struct", "class"):
-            start = self.i
             kind = self.type_header()
             self.end()
-            del start
             return "enum" if kind == "enum" else "type"
         if t == "delegate" and not block:
             self.i += 1
@@ -1247,15 +1241,13 @@ def _run(m: str) -> bool:
                     # a property's initialiser goes on to its semicolon
                     pending = "a a"
         tail = f"{pending} {parts[-1]}".strip()
-        # assembly attributes may end a file without a block
-        while tail.startswith("["):
+        if tail.startswith("["):
+            # assembly attributes may end a file without a block
             p = P(tail)
             p.attributes()
             p.end()
-            break
-        else:
-            if tail:
-                return False
+        elif tail:
+            return False
         return not stack
     except Bad:
         return False

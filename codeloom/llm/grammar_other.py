@@ -1324,8 +1324,6 @@ def _type_body(body: list[tuple[int, list[str]]], toks: list[str]) -> None:
         elif x in (")", "]", "}", "|]", ">]"):
             if not depth or depth.pop() != x:
                 raise Bad(x)
-        elif x == "\x01" and False:
-            raise Bad(x)
         elif x[0].isdigit() and not _FS_NUMBER.match(x):
             raise Bad(x)
     if depth:

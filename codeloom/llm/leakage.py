@@ -178,7 +178,6 @@ def share(item: list[str], weight: list[int], total: int, doc: list[str], where:
     """
     # maximal runs of equal tokens
     runs: list[tuple[int, int, int]] = []  # place in the item, place in the document, length
-    ended: dict[tuple[int, int], bool] = {}
     n, m = len(item), len(doc)
     for i, t in enumerate(item):
         for j in where.get(t, ()):
@@ -189,7 +188,6 @@ def share(item: list[str], weight: list[int], total: int, doc: list[str], where:
                 k += 1
             if k >= 3 or k >= n:
                 runs.append((i, j, k))
-    del ended
     if not runs:
         return 0.0
     # pieces: runs joined over small gaps, longest first

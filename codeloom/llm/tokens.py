@@ -205,8 +205,7 @@ def encoded(documents: DataFrame, vocabulary: str | None = None, pattern: str |
     docs = documents.groupBy(F.col(id_col).alias("d_id")).agg(F.max(text_col).alias("d_text"))
     # equal texts are one text from here on
     texts = docs.where("d_text is not null and d_text <> ''").select("d_text").distinct()
-    pieces = texts.select(F.xxhash64("d_text").alias("t_hash"), F.sha2("d_text", 256).alias("t_key"), F.posexplode(cut("d_text")).alias("place", "chunk"))
-    pieces = pieces.drop("t_hash")
+    pieces = texts.select(F.sha2("d_text", 256).alias("t_key"), F.posexplode(cut("d_text")).alias("place", "chunk"))
     made = pieces.select("chunk").distinct().mapInPandas(encode_all, "chunk string, ids array<int>, ends array<int>, counts array<int>").withColumnRenamed("chunk", "m_chunk")
     full = pieces.join(made, pieces["chunk"] == made["m_chunk"]).select("t_key", F.struct("place", "chunk", "ids", "ends", "counts").alias("part"))
     whole = full.groupBy("t_key").agg(F.array_sort(F.collect_list("part")).alias("parts")).select("t_key", joined("parts").alias("ids"))
