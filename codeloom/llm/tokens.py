@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import importlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Characters in the rolling hash, and the mean length of a chunk less the shortest one. Fixed so that equal passages are cut alike everywhere.
-WINDOW, MEAN, SHORTEST, LONGEST = 12, 96, 32, 1024
+WINDOW, MEAN, SHORTEST, LONGEST = 12, 192, 64, 1024
 #: Characters from its start that may decide a piece, beyond those it takes: contractions need three.
 LOOK = 4
 #: Pieces whose ids a worker remembers; a bound on memory only.
@@ -170,46 +171,69 @@ def join_chunks(texts: list[str], parts: list[tuple[list[int], list[int], list[i
     return out
 
 
-_PART = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
+def pack(text: str, ids: list[int], ends: list[int], counts: list[int]) -> bytes:
+    """A chunk and its encoding as bytes: a head of four numbers, ids, lengths and id counts of the pieces, the text."""
+    wide = bool(ids) and max(ids) > 0xFFFF
+    lengths = np.diff(np.array([0, *ends], dtype=np.int64)).astype(np.uint16)
+    body = np.array(ids, dtype=np.uint32 if wide else np.uint16)
+    head = np.array([wide, len(ids), len(ends), 0], dtype=np.uint32)
+    return head.tobytes() + body.tobytes() + lengths.tobytes() + np.array(counts, dtype=np.uint16).tobytes() + text.encode("utf-8", "surrogatepass")
+
+
+def unpack(b: bytes) -> tuple[str, tuple[list[int], list[int], list[int]]]:
+    wide, n, m, _ = np.frombuffer(b, dtype=np.uint32, count=4).tolist()
+    at = 16
+    ids = np.frombuffer(b, dtype=np.uint32 if wide else np.uint16, count=n, offset=at)
+    at += ids.nbytes
+    lengths = np.frombuffer(b, dtype=np.uint16, count=m, offset=at)
+    at += lengths.nbytes
+    counts = np.frombuffer(b, dtype=np.uint16, count=m, offset=at)
+    at += counts.nbytes
+    return b[at:].decode("utf-8", "surrogatepass"), (ids.tolist(), np.cumsum(lengths, dtype=np.int64).tolist(), counts.tolist())
+
+
+def chunk_key(chunk: str) -> bytes:
+    """128 bits of SHA-256: what stands for a chunk in joins."""
+    return hashlib.sha256(chunk.encode("utf-8", "surrogatepass")).digest()[:16]
 
 
 def encoded(documents: DataFrame, vocabulary: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids) of each document.
 
     `vocabulary` is a path that every executor can read; by default each
-    machine's own copy of the public tokenizers.
+    machine's own copy of the public tokenizers. Chunks travel twice as text,
+    once to meet their copies and once, encoded and packed, to their documents;
+    what joins the two are keys of 16 bytes.
     """
     path = vocabulary or default_vocabulary()
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: chunks(x) if x else [])
+        return s.map(chunks)
+
+    @F.pandas_udf(T.ArrayType(T.BinaryType()))
+    def cut_keys(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: [chunk_key(c) for c in chunks(x)])
 
-    def encode_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(t, *encode_chunk(t, path, pattern)) for t in b["chunk"]]
-            yield pd.DataFrame(rows, columns=["chunk", "ids", "ends", "counts"])
+    @F.pandas_udf(T.BinaryType())
+    def encode(chunk: pd.Series) -> pd.Series:
+        return chunk.map(lambda c: pack(c, *encode_chunk(c, path, pattern)))
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def joined(parts: pd.Series) -> pd.Series:
         out = []
         for p in parts:
-            if p is None or not len(p):
-                out.append([])
-                continue
-            texts = [x["chunk"] for x in p]
-            made = [([int(i) for i in x["ids"]], [int(i) for i in x["ends"]], [int(i) for i in x["counts"]]) for x in p]
-            out.append(join_chunks(texts, made, path, pattern))
+            both = [unpack(x["packed"]) for x in p]
+            out.append(join_chunks([t for t, _ in both], [e for _, e in both], path, pattern))
         return pd.Series(out, dtype="object")
 
     docs = documents.groupBy(F.col(id_col).alias("d_id")).agg(F.max(text_col).alias("d_text"))
-    # equal texts are one text from here on
-    texts = docs.where("d_text is not null and d_text <> ''").select("d_text").distinct()
-    pieces = texts.select(F.sha2("d_text", 256).alias("t_key"), F.posexplode(cut("d_text")).alias("place", "chunk"))
-    made = pieces.select("chunk").distinct().mapInPandas(encode_all, "chunk string, ids array<int>, ends array<int>, counts array<int>").withColumnRenamed("chunk", "m_chunk")
-    full = pieces.join(made, pieces["chunk"] == made["m_chunk"]).select("t_key", F.struct("place", "chunk", "ids", "ends", "counts").alias("part"))
-    whole = full.groupBy("t_key").agg(F.array_sort(F.collect_list("part")).alias("parts")).select("t_key", joined("parts").alias("ids"))
-    keyed = docs.select("d_id", F.when(F.col("d_text") != "", F.sha2("d_text", 256)).alias("d_key"))
-    some = keyed.where("d_key is not null").join(whole, F.col("d_key") == F.col("t_key")).select(F.col("d_id").alias(id_col), "ids")
-    none = keyed.where("d_key is null").select(F.col("d_id").alias(id_col), F.array().cast("array<int>").alias("ids"))
-    return some.unionByName(none)
+    some = docs.where("d_text is not null and d_text <> ''")
+    places = some.select("d_id", F.posexplode(cut_keys("d_text")).alias("place", "key"))
+    # equal chunks meet map-side first; the encoder keeps their partitioning, so the join does not move them again
+    distinct = some.select(F.explode(cut("d_text")).alias("chunk")).groupBy(F.expr("substring(unhex(sha2(chunk, 256)), 1, 16)").alias("m_key")).agg(F.min("chunk").alias("chunk"))
+    made = distinct.select("m_key", encode("chunk").alias("packed"))
+    full = places.join(made, places["key"] == made["m_key"]).select("d_id", F.struct("place", "packed").alias("part"))
+    whole = full.groupBy("d_id").agg(F.array_sort(F.collect_list("part")).alias("parts")).select(F.col("d_id").alias(id_col), joined("parts").alias("ids"))
+    none = docs.where("d_text is null or d_text = ''").select(F.col("d_id").alias(id_col), F.array().cast("array<int>").alias("ids"))
+    return whole.unionByName(none)
