@@ -16,6 +16,7 @@ time in proportion to their length only.
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -33,7 +34,7 @@ class Found(NamedTuple):
 
 #: What may begin a credential in lower-case text: stems of names, and forms that speak for themselves.
 _HINT = re.compile(
-    r"pass(?:w|phrase|code|_)|pass(?=[a-z]*[\"'\]]?\s?[=:,])|pwd|secret|token|key|cred|auth|bearer|login|sas\d*\W|sig=|[?&]code=|old value|previous value|://[^\s/:@\"'<>]*:|eyj|-----begin|(?:live|test|prod)_[a-z0-9]{8}|pat-[0-9a-z]{8}|sk[.-][0-9a-z+/]{8}"
+    r"\b(?:svc|usr|user|adm|admin|root)[\w-]*\s?/\s|\s-u\s?\S+\s+-p\s?|basic [a-z0-9+/]{12}|pass(?:w|phrase|code|_)|pass(?=[a-z]*[\"'\]]?\s?[=:,])|pwd|secret|token|key|cred|auth|bearer|login|sas\d*\W|sig=|[?&]code=|old value|previous value|://[^\s/:@\"'<>]*:|eyj|-----begin|(?:live|test|prod)_[a-z0-9]{8}|pat-[0-9a-z]{8}|sk[.-][0-9a-z+/]{8}"
 )
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: Words that make a name a credential's.
@@ -62,6 +63,8 @@ _PLACEHOLDER = re.compile(r"(?i)chang.?me|change.?it|\byour\b|your[-_]|placehold
 _GUID = re.compile(r"(?i)^\{?[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\}?$")
 #: A setting's, header's or path's name: words joined by marks, nothing random in it.
 _NAMELIKE = re.compile(r"^[A-Za-z]+(?:[-_./: ][A-Za-z]+)*\d?$")
+#: Words joined in mixed case.
+_JOINED = re.compile(r"^[a-z]*I?(?:[A-Z][a-z]{2,})*$")
 _ISSUED = re.compile(r"(?:eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{6,}|\b(?:[a-z]{2,5}_(?:live|test|prod)_|pat-|sk[.-]|gh[pousr]_|AKIA|xox[abp]-|glpat-|npm_)[A-Za-z0-9+/_-]{16,}={0,2})")
 _BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _URL = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@\"'<>]*:([^\s/@\"'<>]{3,})@")
@@ -80,8 +83,8 @@ def _random(v: str) -> bool:
         return True
     if marks and (upper or lower) and " " not in v and not v.endswith((":", "?")):
         return True
-    # letters only: case changes far more often than in joined words
-    return upper and lower and " " not in v and len(v) >= 8 and len(v) < 3.6 * len(_WORDS.findall(v))
+    # letters only: no joined words
+    return upper and lower and v.isalpha() and len(v) >= 8 and not _JOINED.match(v)
 
 
 def live_value(v: str) -> bool:
@@ -157,6 +160,21 @@ _SQL_BEFORE = re.compile(r"(?i)\b(?:val|value|setting|data)\w*\s*=\s*(?=N?')")
 _QUERY = re.compile(r"(?i)[?&](?:code|sig|token|key)=([^&\s\"'<>]{16,})")
 _OLD = re.compile(r"(?i)(?:value|password|key|token|secret)\s*[:=]\s*([^\s\"'<>]{8,})")
 _SPOKEN_LOGIN = re.compile(r"[^\n:\"']{0,60}:\s*[\w.@-]+\s*/\s*(\S+)")
+_WORD = re.compile(r"([^\s\"'`<>;,]{6,})")
+_BASIC = re.compile(r"(?i:basic) ([A-Za-z0-9+/]{12,}={0,2})")
+_SPOKEN = re.compile(r"[\"'`]?\s*(?::|=|is|was)\s+([^\s\"'`<>;,]{6,})")
+
+
+def _signed_in(v: str) -> bool:
+    """Whether base64 holds a user and a password, as a basic sign-in header does."""
+    try:
+        t = base64.b64decode(v + "=" * (-len(v) % 4), validate=True).decode("ascii")
+    except ValueError:
+        return False
+    user, sep, password = t.partition(":")
+    return bool(sep) and t.isprintable() and len(user) > 0 and len(password) >= 6 and not _PLACEHOLDER.search(password)
+
+
 _AFTER = frozenset("=:,(>\"'`]) <\t\n\r!?{")
 
 
@@ -195,6 +213,12 @@ def find(s: str) -> list[Found]:
             if m and live_value(m[1]) and len(m[1]) >= 12:
                 add(m.start(1), m.end(1), "text")
             continue
+        if hint.endswith(("/ ", "/\t")) or hint.startswith("basic ") or "-p" in hint and hint[0].isspace():
+            m = (_BASIC if hint.startswith("basic ") else _WORD).match(s, h.end() if hint[0] != "b" or hint[:5] != "basic" else at)
+            if m and (_signed_in(m[1]) if hint.startswith("basic ") else live_value(m[1])):
+                add(m.start(1), m.end(1), "text")
+                done = m.end()
+            continue
         if hint.startswith("://"):
             a = max(s.rfind("\n", 0, at), s.rfind('"', 0, at), s.rfind(" ", 0, at)) + 1
             for m in _URL.finditer(s, max(a, at - 40), min(len(s), at + 400)):
@@ -247,7 +271,11 @@ def find(s: str) -> list[Found]:
             continue
         if m := _BARE.match(s, b):
             v = m[1]
-            if live(v) and (_ISSUED.match(v) or not re.search(r"^\w+[.(]|\w\(|;$", v.rstrip(".")) and not _IDENTIFIER.match(v)):
+            # in a string, as in connection strings, there are no expressions
+            quoted = s.count('"', s.rfind("\n", 0, a) + 1, a) % 2 == 1
+            if quoted and not v.islower() and not v.isdigit() and not (_REFERENCE.search(v) or _PLACEHOLDER.search(v) or _GUID.match(v)) and sort == "strong":
+                add(m.start(1), m.end(1), "pair")
+            elif live(v) and not v.isalpha() and (_ISSUED.match(v) or not re.search(r"^\w+[.(]|\w\(|;$", v.rstrip(".")) and not _IDENTIFIER.match(v)):
                 add(m.start(1), m.end(1), "pair")
             continue
         line_end = s.find("\n", b)
@@ -257,6 +285,9 @@ def find(s: str) -> list[Found]:
             if live(m[1]):
                 add(m.start(1), m.end(1), "text")
                 continue
+        if sort == "strong" and (m := _SPOKEN.match(s, b, line_end)) and live(m[1].rstrip(".")) and not _IDENTIFIER.match(m[1]):
+            add(m.start(1), m.start(1) + len(m[1].rstrip(".")), "text")
+            continue
         # a setting's value stands before its name in an UPDATE
         if s[a - 1 : a] in "'\"":
             line = s.rfind("\n", 0, a) + 1

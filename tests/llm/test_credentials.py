@@ -24,6 +24,12 @@ CASES = [
     "curl -H 'X-Api-Key: fe5837e77717feb1764e87ccf2c88ff3' https://x.example/",
     "Test login: svc with password `CZgwbbGOd7CBIuJlD`.",
     "// fallback login while the vault is down: svc_q / RkJLQIUQQPg2GT8",
+    "// psql -U svc_w, password is Designer-branch-57464",
+    "-- sqlcmd -S token -U sa -P 87Pwv#Ke6mxY*",
+    "// TODO rotate: svc_token / XT3lK%niwKxX!",
+    'request.Headers["X-Access"] = "Basic c3ZjX2ZvbGRlcjpwdWJsaXNoLXNoaXBtZW50LTkyMTk3";',
+    '"Conn166": "Server=q.example;uid=svc;pwd=NmaYQHjFbQN8",',
+    'var c = new Connection($"Host={host};Username=app;Password=hivqqNPCSMjob;Timeout=30");',
     'let [<Literal>] DbPassFrame = "Frame-depot-73885"',
     'x = "' + KEY + '"',
     '"Endpoint": "https://x.example/?code=frwK6ybEu517H0z9iXoZRyLbqnOX"',
@@ -34,6 +40,7 @@ NONE = [
     'var p = Environment.GetEnvironmentVariable("BUNDLE_PASSWORD");', 'var TokenScope = new Guid("248ca96d-071d-97e4-951a-ffbd4f84f95b");', '"PublicKeyToken=2c9d7c9c45f65e34"', 'const string ContentSha256 = "3951abbe2d1f6a22a6e6b3835ba058498d159f68054ea46c2f51ed2307b47bd3";',
     "-----BEGIN PUBLIC KEY-----\nMIIBIjANBgkqhkiG9w0BAQ\n-----END PUBLIC KEY-----", 'throw new ArgumentException("password must hold at least 12 characters");', "Set `password` to `<your-token-here>` first.",
     "curl -H 'X-Api-Key: $TOKEN' https://x.example/", 'string passwordHash = "5f4dcc3b5aa765d61d8327deb882cf99";', "var token = tokens[cursor.Next()]; // lexer token, \"Depot\"", "_token = _token ?? new TokenOptions(40, \"anchor\");", "", None,
+    "public class TokenNode14 : ISnapshot", "// the password is required here", 'x = "password=required"', "password = value12;", "var password = GetPassword(x1);", "/// The svc_a / svc_b pair", 'x = "Username=app;Password=********;"', 'y = "Basic training"',
 ]
 
 
