@@ -119,10 +119,16 @@ def usage_tier(line: Column, name: str) -> Column:
 
 
 def grouped_samples(hits: DataFrame, group: str, k: int) -> DataFrame:
-    """(group, hits, samples): counts, and the first `k` hits of each group in order of file and line."""
+    """(group, hits, samples): counts, and the first `k` hits of each group in order of file and line.
+
+    Counts combine map-side; ranks are cut at `k` before they are shuffled, so a
+    group of any size brings `k` rows from each partition and no more.
+    """
     w = Window.partitionBy(group).orderBy("file_id", "line_no")
-    ranked = hits.withColumn("rn", F.row_number().over(w))
-    return ranked.groupBy(group).agg(F.count("*").alias("hits"), F.array_sort(F.collect_list(F.when(F.col("rn") <= k, F.struct("file_id", "line_no")))).alias("samples"))
+    first = hits.select(group, "file_id", "line_no").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+    samples = first.groupBy(F.col(group).alias("s_group")).agg(F.array_sort(F.collect_list(F.struct("file_id", "line_no"))).alias("samples"))
+    counts = hits.groupBy(group).agg(F.count("*").alias("hits"))
+    return counts.join(samples, counts[group].eqNullSafe(samples["s_group"])).select(group, "hits", "samples")
 
 
 def context_lines(lines: DataFrame, hits: DataFrame, before: int, after: int) -> DataFrame:

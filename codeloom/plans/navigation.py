@@ -990,7 +990,8 @@ def l24_parse_contexts(s: Store) -> DataFrame:
     """At most 64 contexts: one of each owner first, then second ones, and so on."""
     c = s.raw("fsharp_parse_coverage").select("file_id", (F.col("file_id") % 7).alias("owner"))
     nth = F.row_number().over(Window.partitionBy("owner").orderBy("file_id"))
-    return c.withColumn("nth", nth).orderBy("nth", "owner").limit(64).select("file_id", "owner")
+    # no owner can have more than 64 of 64: the rank's limit prunes before the shuffle
+    return c.withColumn("nth", nth).where("nth <= 64").orderBy("nth", "owner").limit(64).select("file_id", "owner")
 
 
 @query(f"WITH {PROJ} SELECT from_id, to_id, CASE WHEN bool_or(a.style = 'sdk') THEN 'project' ELSE 'assembly' END AS kind FROM refs JOIN p a ON a.id = from_id GROUP BY 1, 2")
