@@ -50,7 +50,7 @@ def scan_bm25(contents: DataFrame, query: list[str], scratch: Scratch) -> DataFr
         return F.size(F.filter("t", lambda x: x == q))
 
     counts = contents.where("content is not null").select("file_id", t.alias("t")).select("file_id", F.size("t").alias("dl"), *[times(q).alias(f"tf{k}") for k, q in enumerate(query)])
-    counts = scratch.cut(counts.where("dl > 0"))
+    counts = scratch.cut(counts.where("dl > 0").distinct())
     corpus = counts.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(query))])
     held = counts
     score = F.lit(0.0)
@@ -79,7 +79,7 @@ def graded(lines: DataFrame, candidates: DataFrame, query: str) -> DataFrame:
     holds = [whole_token(F.col("line"), t) for t in ts]
     l = l.select("*", F.array(*holds).alias("holds"))
     every = F.forall("holds", lambda x: x)
-    l = l.where(F.exists("holds", lambda x: x)).withColumn("precise", every)
+    l = l.where(F.exists("holds", lambda x: x)).distinct().withColumn("precise", every)
     phrase = fold(F.col("line")).contains(fold_text(query)) if len(ts) > 1 else F.lit(False)
     file_ = Window.partitionBy("file_id")
     l = l.withColumn("any_precise", F.max("precise").over(file_))
@@ -101,14 +101,14 @@ def graded(lines: DataFrame, candidates: DataFrame, query: str) -> DataFrame:
 
 
 def regex_lines(lines: DataFrame, pattern: str) -> DataFrame:
-    """Lines that a regular expression matches, case-sensitively."""
-    return lines.where(F.col("line").rlike(pattern))
+    """Distinct lines that a regular expression matches, case-sensitively."""
+    return lines.where(F.col("line").rlike(pattern)).distinct()
 
 
 def references(lines: DataFrame, owners: DataFrame, name: str) -> DataFrame:
     """(file_id, line_no, line, project_id) of lines with a whole, case-sensitive occurrence of a name; files without a project keep a null."""
     whole = r"(?<![\p{L}\p{Nd}_])" + re.escape(name) + r"(?![\p{L}\p{Nd}_])"
-    hits = lines.where(F.col("line").contains(name)).where(F.col("line").rlike(whole))
+    hits = lines.where(F.col("line").contains(name)).where(F.col("line").rlike(whole)).distinct()
     return hits.join(owners, "file_id", "left")
 
 
@@ -134,12 +134,12 @@ def grouped_samples(hits: DataFrame, group: str, k: int) -> DataFrame:
 def context_lines(lines: DataFrame, hits: DataFrame, before: int, after: int) -> DataFrame:
     """Hits with the lines around them, as two arrays; only files with hits are windowed."""
     w = Window.partitionBy("file_id").orderBy("line_no")
-    near = lines.join(hits.select("file_id").distinct(), "file_id", "left_semi").select(
+    near = lines.join(hits.select("file_id").distinct(), "file_id", "left_semi").distinct().select(
         "file_id", "line_no", "line",
         F.collect_list("line").over(w.rowsBetween(-before, -1)).alias("before"),
         F.collect_list("line").over(w.rowsBetween(1, after)).alias("after"),
     )
-    return near.join(hits.select("file_id", "line_no"), ["file_id", "line_no"])
+    return near.join(hits.select("file_id", "line_no").distinct(), ["file_id", "line_no"])
 
 
 def near_misses(symbols: DataFrame, name: str) -> DataFrame:

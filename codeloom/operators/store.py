@@ -25,11 +25,13 @@ class Store:
 
     @cached_property
     def files(self) -> DataFrame:
-        return self.raw("files").dropDuplicates(["id"])
+        """Ids and paths are unique in this table."""
+        return self.raw("files")
 
     @cached_property
     def contents(self) -> DataFrame:
-        return self.raw("file_contents").select("file_id", "content").distinct()
+        """Texts as stored, some rows repeated. Queries drop repetitions from what they take out of the texts: a distinct over whole texts would shuffle them all."""
+        return self.raw("file_contents").select("file_id", "content")
 
     @cached_property
     def symbols(self) -> DataFrame:
@@ -66,13 +68,13 @@ class Store:
 
     @cached_property
     def lines(self) -> DataFrame:
-        """(file_id, line_no, line): texts by line, counted from 1."""
+        """(file_id, line_no, line): texts by line, counted from 1; repeated as the texts are, so what is filtered out of them has to be made distinct."""
         return self.contents.select("file_id", F.posexplode(F.split("content", "\n")).alias("n", "line")).select("file_id", (F.col("n") + 1).alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"))
 
     @cached_property
     def postings(self) -> DataFrame:
-        """(token, file_id, tf): how often each token stands in each file."""
-        return self.contents.select("file_id", F.explode(tokens("content")).alias("token")).groupBy("token", "file_id").agg(F.count("*").alias("tf"))
+        """(token, file_id, tf): how often each token stands in each file. Building the index is the one use that has to move whole texts to drop repeated ones."""
+        return self.contents.distinct().select("file_id", F.explode(tokens("content")).alias("token")).groupBy("token", "file_id").agg(F.count("*").alias("tf"))
 
     @cached_property
     def configs(self) -> DataFrame:

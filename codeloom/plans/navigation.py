@@ -74,7 +74,7 @@ def s1_scan_buckets(s: Store) -> DataFrame:
 @query(f"WITH {C} SELECT file_id, length(content) - length(replace(content, chr(10), '')) + 1 AS lines, strlen(content) AS bytes, md5(content) AS digest FROM c WHERE content IS NOT NULL")
 def s3_content_facts(s: Store) -> DataFrame:
     c = s.contents.where("content is not null")
-    return c.select("file_id", (F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("lines"), F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("digest"))
+    return c.select("file_id", (F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("lines"), F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("digest")).distinct()
 
 
 @query(
@@ -84,7 +84,7 @@ SELECT file_id, regexp_extract(x, 'Include="([^"]*)"', 1) AS package, regexp_ext
 )
 def s6_package_refs(s: Store) -> DataFrame:
     f = s.files.where(F.col("lang").isin("csproj", "fsproj")).select(F.col("id").alias("f_id"))
-    x = s.contents.join(f, F.col("file_id") == F.col("f_id"), "left_semi").select("file_id", F.explode(F.regexp_extract_all("content", F.lit('<PackageReference Include="[^"]*" Version="[^"]*"'), F.lit(0))).alias("x"))
+    x = s.contents.join(f, F.col("file_id") == F.col("f_id"), "left_semi").distinct().select("file_id", F.explode(F.regexp_extract_all("content", F.lit('<PackageReference Include="[^"]*" Version="[^"]*"'), F.lit(0))).alias("x"))
     return x.groupBy("file_id", F.regexp_extract("x", 'Include="([^"]*)"', 1).alias("package"), F.regexp_extract("x", 'Version="([^"]*)"', 1).alias("version")).agg(F.count("*").alias("times"))
 
 
@@ -95,7 +95,7 @@ SELECT file_id, regexp_extract(x, '= "([^"]*)"', 1) AS name, regexp_extract(x, '
 )
 def s7_solution_members(s: Store) -> DataFrame:
     f = s.files.where("lang = 'sln'").select(F.col("id").alias("f_id"))
-    x = s.contents.join(f, F.col("file_id") == F.col("f_id"), "left_semi").select("file_id", F.explode(F.regexp_extract_all("content", F.lit(r'Project\("[^"]*"\) = "[^"]*", "[^"]*"'), F.lit(0))).alias("x"))
+    x = s.contents.join(f, F.col("file_id") == F.col("f_id"), "left_semi").distinct().select("file_id", F.explode(F.regexp_extract_all("content", F.lit(r'Project\("[^"]*"\) = "[^"]*", "[^"]*"'), F.lit(0))).alias("x"))
     return x.groupBy("file_id", F.regexp_extract("x", '= "([^"]*)"', 1).alias("name"), F.regexp_extract("x", ', "([^"]*)"', 1).alias("member")).agg(F.count("*").alias("times"))
 
 
@@ -188,7 +188,7 @@ FROM files f JOIN c ON c.file_id = f.id"""
 )
 def f10_generated_rule(s: Store) -> DataFrame:
     f = s.files.select("id", "path")
-    return f.join(s.contents, f["id"] == F.col("file_id")).select("file_id", X.looks_generated("path", "content").alias("generated"))
+    return f.join(s.contents, f["id"] == F.col("file_id")).select("file_id", X.looks_generated("path", "content").alias("generated")).distinct()
 
 
 @query(
@@ -214,17 +214,17 @@ def f12_regex_lines(s: Store) -> DataFrame:
 
 @query(f"WITH {L} SELECT file_id, line_no FROM l WHERE regexp_matches(lower(line), '(^|[^\\pL\\p{{Nd}}_])journal([^\\pL\\p{{Nd}}_]|$)')")
 def f13_whole_token(s: Store) -> DataFrame:
-    return s.lines.where(X.whole_token(F.col("line"), "Journal")).select("file_id", "line_no")
+    return s.lines.where(X.whole_token(F.col("line"), "Journal")).select("file_id", "line_no").distinct()
 
 
 @query(f"WITH {C} SELECT file_id, CASE WHEN length(content) <= 500 THEN content END AS content FROM c")
 def f14_bounded_content(s: Store) -> DataFrame:
-    return s.contents.select("file_id", X.bounded(F.col("content"), 500).alias("content"))
+    return s.contents.select("file_id", X.bounded(F.col("content"), 500).alias("content")).distinct()
 
 
 @query(f"WITH {L}, t AS (SELECT file_id, line_no, regexp_replace(line, '\\s+$', '') AS x FROM l WHERE length(line) > 200) SELECT file_id, line_no, CASE WHEN length(x) > 240 THEN substr(x, 1, 240) || '…' ELSE x END AS snippet FROM t")
 def f15_snippets(s: Store) -> DataFrame:
-    return s.lines.where(F.length("line") > 200).select("file_id", "line_no", X.snippet(F.col("line")).alias("snippet"))
+    return s.lines.where(F.length("line") > 200).select("file_id", "line_no", X.snippet(F.col("line")).alias("snippet")).distinct()
 
 
 @query("SELECT count(*) AS n, sum(hash & 4294967295)::BIGINT AS low, sum((hash >> 32) & 4294967295)::BIGINT AS high FROM files WHERE hash IS NOT NULL")
@@ -609,7 +609,7 @@ def x16_near_misses(s: Store) -> DataFrame:
 @query(f"WITH {L} SELECT l.file_id, line_no FROM l JOIN files f ON f.id = l.file_id WHERE f.lang = 'config' AND {_has('limit')}")
 def x20_config_lookup(s: Store) -> DataFrame:
     f = s.files.where("lang = 'config'").select(F.col("id").alias("f_id"))
-    return s.lines.join(f, F.col("file_id") == F.col("f_id"), "left_semi").where(X.whole_token(F.col("line"), "Limit")).select("file_id", "line_no")
+    return s.lines.join(f, F.col("file_id") == F.col("f_id"), "left_semi").where(X.whole_token(F.col("line"), "Limit")).select("file_id", "line_no").distinct()
 
 
 @query("SELECT DISTINCT lang FROM files WHERE lang IN ('cs','fs','sql','md')")
@@ -674,7 +674,7 @@ def l14_bodies(s: Store) -> DataFrame:
     """The first six numbered lines of constructors; whole texts are split once per file."""
     t = s.symbols.where("kind = 'constructor'").select(F.col("id").alias("symbol_id"), F.col("file_id").alias("t_file"), "start_line", F.least("end_line", F.col("start_line") + 5).alias("stop"))
     files = t.select(F.col("t_file").alias("file_id")).distinct()
-    j = s.lines.join(files, "file_id", "left_semi").join(t, (F.col("file_id") == F.col("t_file")) & F.col("line_no").between(F.col("start_line"), F.col("stop")))
+    j = s.lines.join(files, "file_id", "left_semi").join(t, (F.col("file_id") == F.col("t_file")) & F.col("line_no").between(F.col("start_line"), F.col("stop"))).select("symbol_id", "line_no", "line").distinct()
     numbered = F.struct("line_no", F.concat(F.lpad(F.col("line_no").cast("string"), 5, " "), F.lit("| "), "line").alias("x"))
     return j.groupBy("symbol_id").agg(F.array_sort(F.collect_list(numbered)).alias("b")).select("symbol_id", F.array_join(F.transform("b", lambda x: x["x"]), "\n").alias("body"))
 
@@ -896,13 +896,13 @@ def x4_phrase(s: Store) -> DataFrame:
     """A name with separators is a phrase: its tokens side by side. Files without all of them are pruned first."""
     ts = X.query_tokens("Task.Yield")
     near = r"(?<![\p{L}\p{Nd}_])" + r"[^\p{L}\p{Nd}_]+".join(ts) + r"(?![\p{L}\p{Nd}_])"
-    return s.lines.join(search.scan_holding(s.contents, ts), "file_id", "left_semi").where(X.fold("line").rlike(near)).select("file_id", "line_no")
+    return s.lines.join(search.scan_holding(s.contents, ts), "file_id", "left_semi").where(X.fold("line").rlike(near)).select("file_id", "line_no").distinct()
 
 
 @query(f"WITH {L}, {SY}, h AS (SELECT file_id, line_no FROM l WHERE {_has('manifest')} AND {_has('ledger')}) SELECT file_id, line_no, inside FROM (SELECT h.file_id, h.line_no, s.name AS inside, row_number() OVER (PARTITION BY h.file_id, h.line_no ORDER BY end_line - start_line, start_line DESC, s.id) AS rn FROM h LEFT JOIN s ON s.file_id = h.file_id AND h.line_no BETWEEN start_line AND end_line) WHERE rn = 1")
 def x19_hits_with_symbols(s: Store) -> DataFrame:
     """Search hits with the name of the innermost symbol around each."""
-    hits = s.lines.where(X.whole_token(F.col("line"), "manifest") & X.whole_token(F.col("line"), "ledger")).select("file_id", "line_no")
+    hits = s.lines.where(X.whole_token(F.col("line"), "manifest") & X.whole_token(F.col("line"), "ledger")).select("file_id", "line_no").distinct()
     inside = S.innermost(hits, s.symbols).join(s.symbols.select(F.col("id").alias("symbol_id"), F.col("name").alias("inside")), "symbol_id").drop("symbol_id")
     return hits.join(inside, ["file_id", "line_no"], "left")
 
@@ -911,12 +911,13 @@ def x19_hits_with_symbols(s: Store) -> DataFrame:
 def x17_dead_end_probes(s: Store) -> DataFrame:
     """What an empty page asks next: each token elsewhere, both together, the joined variant; one pass over the lines."""
     a, b, j = (X.whole_token(F.col("line"), t) for t in ("quota", "ledger", "quotaledger"))
-    return s.lines.agg(F.count_if(a & b).alias("precise"), F.count_distinct(F.when(a, F.col("file_id"))).alias("first_files"), F.count_distinct(F.when(b, F.col("file_id"))).alias("second_files"), F.count_if(j).alias("joined"))
+    hits = s.lines.where(a | b | j).select("file_id", "line_no", a.alias("a"), b.alias("b"), j.alias("j")).distinct()
+    return hits.agg(F.count_if(F.col("a") & F.col("b")).alias("precise"), F.count_distinct(F.when(F.col("a"), F.col("file_id"))).alias("first_files"), F.count_distinct(F.when(F.col("b"), F.col("file_id"))).alias("second_files"), F.count_if("j").alias("joined"))
 
 
 @query(f"WITH {L}, n AS (SELECT count(*) AS n FROM l WHERE {_has('log')}) SELECT n AS precise, n >= 1000 AS common FROM n")
 def x18_common_term(s: Store) -> DataFrame:
-    return s.lines.where(X.whole_token(F.col("line"), "log")).agg(F.count("*").alias("precise"), (F.count("*") >= 1000).alias("common"))
+    return s.lines.where(X.whole_token(F.col("line"), "log")).select("file_id", "line_no").distinct().agg(F.count("*").alias("precise"), (F.count("*") >= 1000).alias("common"))
 
 
 @query("SELECT id AS file_id, path FROM files WHERE lang IN ('cs','fs','md','sql','csproj','fsproj','sln','config') ORDER BY is_generated, length(path), path LIMIT 2001")
