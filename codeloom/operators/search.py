@@ -29,17 +29,19 @@ def bm25(postings: DataFrame, query: list[str]) -> DataFrame:
     return scored.groupBy("file_id").agg(F.sum(idf * tf).alias("score"), F.count("*").alias("n")).where(F.col("n") == len(query)).drop("n")
 
 
-def scan_holding(contents: DataFrame, query: list[str]) -> DataFrame:
-    """(file_id) of the files that hold all tokens, by one scan of the texts and no shuffle.
-
-    A substring test on the folded text, which is cheap, comes before the tokens are cut.
-    """
-    c = contents.where("content is not null").select("file_id", fold("content").alias("folded"))
+def texts_holding(contents: DataFrame, query: list[str]) -> DataFrame:
+    """The texts that hold all tokens, by one scan and no shuffle: a substring test, which is cheap, before the test of tokens."""
+    c = contents.where("content is not null")
     for t in query:
-        c = c.where(F.col("folded").contains(t))
+        c = c.where(fold("content").contains(t))
     for t in query:
-        c = c.where(F.col("folded").rlike(r"(?<![\p{L}\p{Nd}_])" + re.escape(t) + r"(?![\p{L}\p{Nd}_])"))
-    return c.select("file_id").distinct()
+        c = c.where(whole_token(F.col("content"), t))
+    return c
+
+
+def scan_holding(contents: DataFrame, query: list[str]) -> DataFrame:
+    """(file_id) of the files that hold all tokens."""
+    return texts_holding(contents, query).select("file_id").distinct()
 
 
 def scan_bm25(contents: DataFrame, query: list[str], scratch: Scratch) -> DataFrame:
@@ -66,8 +68,8 @@ def holding_all(postings: DataFrame, query: list[str]) -> DataFrame:
     return postings.where(F.col("token").isin(*query)).groupBy("file_id").agg(F.count("*").alias("n")).where(F.col("n") == len(query)).select("file_id")
 
 
-def graded(lines: DataFrame, candidates: DataFrame, query: str) -> DataFrame:
-    """(file_id, line_no, line, tier) of candidate files' lines.
+def graded(lines: DataFrame, query: str) -> DataFrame:
+    """(file_id, line_no, line, tier) of the lines of candidate files.
 
     A precise line holds every token whole; among several tokens, lines with the
     raw phrase come first (tier 0), other precise ones next (1). A file without a
@@ -75,9 +77,8 @@ def graded(lines: DataFrame, candidates: DataFrame, query: str) -> DataFrame:
     holds it, unless an earlier of these lines already covers the token.
     """
     ts = query_tokens(query)
-    l = lines.join(candidates.select("file_id"), "file_id", "left_semi")
     holds = [whole_token(F.col("line"), t) for t in ts]
-    l = l.select("*", F.array(*holds).alias("holds"))
+    l = lines.select("file_id", "line_no", "line", F.array(*holds).alias("holds"))
     every = F.forall("holds", lambda x: x)
     l = l.where(F.exists("holds", lambda x: x)).distinct().withColumn("precise", every)
     phrase = fold(F.col("line")).contains(fold_text(query)) if len(ts) > 1 else F.lit(False)
@@ -166,4 +167,4 @@ def path_suggestions(files: DataFrame, wanted: str, k: int) -> DataFrame:
     return files.select("path", common(F.reverse(s), F.reverse(w)).alias("suffix"), common(s, w).alias("prefix"), F.abs(F.size(s) - len(want)).alias("off")).orderBy(F.desc("suffix"), F.desc("prefix"), "off", F.length("path"), "path").limit(k)
 
 
-__all__ = ["bm25", "context_lines", "graded", "grouped_samples", "holding_all", "near_misses", "path_suggestions", "references", "regex_lines", "snippet", "usage_tier"]
+__all__ = ["bm25", "context_lines", "graded", "grouped_samples", "holding_all", "near_misses", "path_suggestions", "references", "regex_lines", "scan_bm25", "scan_holding", "snippet", "texts_holding", "usage_tier"]

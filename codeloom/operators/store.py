@@ -69,7 +69,21 @@ class Store:
     @cached_property
     def lines(self) -> DataFrame:
         """(file_id, line_no, line): texts by line, counted from 1; repeated as the texts are, so what is filtered out of them has to be made distinct."""
-        return self.contents.select("file_id", F.posexplode(F.split("content", "\n")).alias("n", "line")).select("file_id", (F.col("n") + 1).alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"))
+        return lines_of(self.contents)
+
+    def lines_with(self, *needles: str) -> DataFrame:
+        """Lines of the texts that hold all needles as they are; a substring test before the texts are cut spares most of the work."""
+        c = self.contents
+        for n in needles:
+            c = c.where(F.col("content").contains(n))
+        return lines_of(c)
+
+    def lines_with_folded(self, *needles: str) -> DataFrame:
+        """As `lines_with`, ASCII-folded."""
+        c = self.contents
+        for n in needles:
+            c = c.where(fold("content").contains(n))
+        return lines_of(c)
 
     @cached_property
     def postings(self) -> DataFrame:
@@ -81,6 +95,11 @@ class Store:
         return self.files.where(fold(base_name("path")).isin(*CONFIG_NAMES)).select(F.col("id").alias("config_id"), F.col("path").alias("config_path"), fold(dir_name("path")).alias("config_dir"), fold(base_name("path")).alias("config_name"), "hash")
 
 
+def lines_of(contents: DataFrame) -> DataFrame:
+    cut = contents.select("file_id", F.posexplode(F.split("content", "\n")).alias("n", "line"))
+    return cut.select("file_id", (F.col("n") + 1).alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"))
+
+
 def ancestors(path_dir: Column) -> Column:
     """All directories from the root down to `path_dir`, the root ('') included, as an array."""
     parts = F.split(path_dir, "/")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from codeloom.functions import text as X
 from codeloom.operators import graph, search, symbols as S
-from codeloom.operators.store import CONFIG_NAMES, TYPE_KINDS, Store, nearest_config, ordinal_on_line
+from codeloom.operators.store import CONFIG_NAMES, TYPE_KINDS, Store, lines_of, nearest_config, ordinal_on_line
 from codeloom.sources.tables import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,12 +209,12 @@ def f11_test_projects(s: Store) -> DataFrame:
 
 @query(f"WITH {L} SELECT file_id, line_no FROM l WHERE regexp_matches(line, 'private static .*\\bstring\\b.*;')")
 def f12_regex_lines(s: Store) -> DataFrame:
-    return search.regex_lines(s.lines, r"private static .*\bstring\b.*;").select("file_id", "line_no")
+    return search.regex_lines(s.lines_with("private static ", "string"), r"private static .*\bstring\b.*;").select("file_id", "line_no")
 
 
 @query(f"WITH {L} SELECT file_id, line_no FROM l WHERE regexp_matches(lower(line), '(^|[^\\pL\\p{{Nd}}_])journal([^\\pL\\p{{Nd}}_]|$)')")
 def f13_whole_token(s: Store) -> DataFrame:
-    return s.lines.where(X.whole_token(F.col("line"), "Journal")).select("file_id", "line_no").distinct()
+    return s.lines_with_folded("journal").where(X.whole_token(F.col("line"), "Journal")).select("file_id", "line_no").distinct()
 
 
 @query(f"WITH {C} SELECT file_id, CASE WHEN length(content) <= 500 THEN content END AS content FROM c")
@@ -289,7 +289,7 @@ SELECT file_id, line_no, symbol_id FROM (SELECT pt.file_id, pt.line_no, s.id AS
  FROM pt JOIN s ON s.file_id = pt.file_id AND pt.line_no BETWEEN start_line AND end_line) WHERE rn = 1"""
 )
 def j14_innermost(s: Store) -> DataFrame:
-    return S.innermost(s.lines.where(F.col("line").contains("throw new ")), s.symbols)
+    return S.innermost(s.lines_with("throw new ").where(F.col("line").contains("throw new ")), s.symbols)
 
 
 RANGES = "rg AS (SELECT id AS file_id, 10 + (id % 20)::INT AS first, 24 + (id % 20)::INT AS last FROM files WHERE lang IN ('cs','fs'))"
@@ -382,7 +382,7 @@ REFS = f"{PROJ}, {OWN}, {L}, rf AS (SELECT l.file_id, line_no, line, project_id
 
 
 def _references(s: Store) -> DataFrame:
-    return search.references(s.lines, s.owners, NAME)
+    return search.references(s.lines_with(NAME), s.owners, NAME)
 
 
 @query(f"WITH {REFS} SELECT project_id, count(*) AS hits, count(DISTINCT rf.file_id) AS files, count_if(f.has_test_attrs) AS test_hits FROM rf JOIN files f ON f.id = rf.file_id GROUP BY 1")
@@ -450,8 +450,8 @@ def w1_name_counts(s: Store) -> DataFrame:
 SELECT x.file_id, x.line_no, coalesce(before, '') AS before, coalesce(after, '') AS after FROM x JOIN h USING (file_id, line_no)"""
 )
 def w5_context_lines(s: Store) -> DataFrame:
-    hits = s.lines.where(F.col("line").contains("await Task.Yield"))
-    return search.context_lines(s.lines, hits, 2, 2).select("file_id", "line_no", F.array_join("before", "\n").alias("before"), F.array_join("after", "\n").alias("after"))
+    lines = s.lines_with("await Task.Yield")
+    return search.context_lines(lines, lines.where(F.col("line").contains("await Task.Yield")), 2, 2).select("file_id", "line_no", F.array_join("before", "\n").alias("before"), F.array_join("after", "\n").alias("after"))
 
 
 # ------------------------------------------------------- rankings and paging
@@ -583,8 +583,8 @@ SELECT file_id, line_no, CASE WHEN contains(lower(line), 'quota ledger') THEN 0
 UNION ALL SELECT file_id, l0, 2 FROM t WHERE l0 IS NOT NULL UNION ALL SELECT file_id, l1, 2 FROM t WHERE l1 IS NOT NULL AND NOT coalesce(c1, false)"""
 )
 def x6_graded_lines(s: Store) -> DataFrame:
-    c = search.scan_holding(s.contents, ["quota", "ledger"])
-    return search.graded(s.lines, c, "quota ledger").select("file_id", "line_no", "tier")
+    candidates = search.texts_holding(s.contents, ["quota", "ledger"])
+    return search.graded(lines_of(candidates), "quota ledger").select("file_id", "line_no", "tier")
 
 
 PATTERN = r"\bvoid\b.*\bguid\b"
@@ -594,11 +594,7 @@ PATTERN = r"\bvoid\b.*\bguid\b"
 def x8_regex_search(s: Store) -> DataFrame:
     """A regular expression whose required literals prune the files first."""
     pattern = r"\bpublic\b \bstatic\b .*\(Guid [a-z]+"
-    need = X.required_literals(pattern)
-    lines = s.lines
-    if need:
-        lines = lines.join(search.scan_holding(s.contents, need), "file_id", "left_semi")
-    return search.regex_lines(lines, pattern).select("file_id", "line_no")
+    return search.regex_lines(lines_of(search.texts_holding(s.contents, X.required_literals(pattern))), pattern).select("file_id", "line_no")
 
 
 @query(f"WITH {SY} SELECT name, count(*) AS n FROM s WHERE length(name) BETWEEN 5 AND 7 AND starts_with(lower(name), 'a') AND damerau_levenshtein(lower(name), 'anhcor') = 1 GROUP BY 1")
@@ -609,7 +605,7 @@ def x16_near_misses(s: Store) -> DataFrame:
 @query(f"WITH {L} SELECT l.file_id, line_no FROM l JOIN files f ON f.id = l.file_id WHERE f.lang = 'config' AND {_has('limit')}")
 def x20_config_lookup(s: Store) -> DataFrame:
     f = s.files.where("lang = 'config'").select(F.col("id").alias("f_id"))
-    return s.lines.join(f, F.col("file_id") == F.col("f_id"), "left_semi").where(X.whole_token(F.col("line"), "Limit")).select("file_id", "line_no").distinct()
+    return s.lines_with_folded("limit").join(f, F.col("file_id") == F.col("f_id"), "left_semi").where(X.whole_token(F.col("line"), "Limit")).select("file_id", "line_no").distinct()
 
 
 @query("SELECT DISTINCT lang FROM files WHERE lang IN ('cs','fs','sql','md')")
@@ -896,13 +892,13 @@ def x4_phrase(s: Store) -> DataFrame:
     """A name with separators is a phrase: its tokens side by side. Files without all of them are pruned first."""
     ts = X.query_tokens("Task.Yield")
     near = r"(?<![\p{L}\p{Nd}_])" + r"[^\p{L}\p{Nd}_]+".join(ts) + r"(?![\p{L}\p{Nd}_])"
-    return s.lines.join(search.scan_holding(s.contents, ts), "file_id", "left_semi").where(X.fold("line").rlike(near)).select("file_id", "line_no").distinct()
+    return lines_of(search.texts_holding(s.contents, ts)).where(X.fold("line").rlike(near)).select("file_id", "line_no").distinct()
 
 
 @query(f"WITH {L}, {SY}, h AS (SELECT file_id, line_no FROM l WHERE {_has('manifest')} AND {_has('ledger')}) SELECT file_id, line_no, inside FROM (SELECT h.file_id, h.line_no, s.name AS inside, row_number() OVER (PARTITION BY h.file_id, h.line_no ORDER BY end_line - start_line, start_line DESC, s.id) AS rn FROM h LEFT JOIN s ON s.file_id = h.file_id AND h.line_no BETWEEN start_line AND end_line) WHERE rn = 1")
 def x19_hits_with_symbols(s: Store) -> DataFrame:
     """Search hits with the name of the innermost symbol around each."""
-    hits = s.lines.where(X.whole_token(F.col("line"), "manifest") & X.whole_token(F.col("line"), "ledger")).select("file_id", "line_no").distinct()
+    hits = s.lines_with_folded("manifest", "ledger").where(X.whole_token(F.col("line"), "manifest") & X.whole_token(F.col("line"), "ledger")).select("file_id", "line_no").distinct()
     inside = S.innermost(hits, s.symbols).join(s.symbols.select(F.col("id").alias("symbol_id"), F.col("name").alias("inside")), "symbol_id").drop("symbol_id")
     return hits.join(inside, ["file_id", "line_no"], "left")
 
@@ -917,7 +913,7 @@ def x17_dead_end_probes(s: Store) -> DataFrame:
 
 @query(f"WITH {L}, n AS (SELECT count(*) AS n FROM l WHERE {_has('log')}) SELECT n AS precise, n >= 1000 AS common FROM n")
 def x18_common_term(s: Store) -> DataFrame:
-    return s.lines.where(X.whole_token(F.col("line"), "log")).select("file_id", "line_no").distinct().agg(F.count("*").alias("precise"), (F.count("*") >= 1000).alias("common"))
+    return s.lines_with_folded("log").where(X.whole_token(F.col("line"), "log")).select("file_id", "line_no").distinct().agg(F.count("*").alias("precise"), (F.count("*") >= 1000).alias("common"))
 
 
 @query("SELECT id AS file_id, path FROM files WHERE lang IN ('cs','fs','md','sql','csproj','fsproj','sln','config') ORDER BY is_generated, length(path), path LIMIT 2001")
