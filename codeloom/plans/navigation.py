@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from codeloom.functions import text as X
-from codeloom.operators import graph, search, symbols as S
+from codeloom.operators import extract, graph, search, symbols as S
 from codeloom.operators.store import CONFIG_NAMES, TYPE_KINDS, Store, lines_of, nearest_config, ordinal_on_line
 from codeloom.sources.tables import Scratch
 
@@ -1032,3 +1032,91 @@ def review_pack(s: Store) -> DataFrame:
     """Per changed file: touched symbols, types among them, and those changed whole."""
     t = S.intersecting(_ranges(s), s.symbols)
     return t.groupBy("file_id").agg(F.count("*").alias("touched"), F.count_if(F.col("kind").isin(*TYPE_KINDS)).alias("types"), F.count_if((F.col("first") <= F.col("start_line")) & (F.col("last") >= F.col("end_line"))).alias("whole"))
+
+
+# ------------------------------------------------------------ the last families
+
+
+@query(None)
+def s4_extracted(s: Store) -> DataFrame:
+    """Declarations that the light extractor finds in the texts."""
+    f = s.files.where(F.col("lang").isin("cs", "fs")).select(F.col("id").alias("file_id"))
+    return extract.declarations(s.contents).join(f, "file_id", "left_semi")
+
+
+@query(
+    f"""WITH {SY}, decl AS (SELECT DISTINCT file_id, start_line FROM s WHERE name = '{NAME}'), {REFS}
+SELECT DISTINCT rf.file_id, line_no FROM rf WHERE NOT EXISTS (SELECT 1 FROM decl WHERE decl.file_id = rf.file_id AND decl.start_line = rf.line_no)"""
+)
+def x13_without_declarations(s: Store) -> DataFrame:
+    """References less the lines on which the name is declared: an anti-join."""
+    d = s.symbols.where(F.col("name") == NAME).select(F.col("file_id").alias("d_file"), F.col("start_line").alias("d_line"))
+    r = _references(s)
+    return r.join(d, (F.col("file_id") == F.col("d_file")) & (F.col("line_no") == F.col("d_line")), "left_anti").select("file_id", "line_no").distinct()
+
+
+@query(
+    f"""WITH {BM}, inner_ AS (SELECT bm.file_id FROM bm JOIN files f ON f.id = bm.file_id ORDER BY round(score, 6) DESC, bm.file_id LIMIT 2000)
+SELECT i.file_id FROM inner_ i JOIN files f ON f.id = i.file_id WHERE f.lang = 'cs' AND NOT f.is_generated ORDER BY i.file_id LIMIT 100"""
+)
+def t4_nested_top(s: Store) -> DataFrame:
+    """Filters after the inner cut, as the regular-expression search orders it: the best 2000 first, then those of the scope."""
+    inner = search.scan_bm25(s.contents, SEARCH, Scratch(s.spark, "bm25")).orderBy(F.desc(F.round("score", 6)), "file_id").limit(2000)
+    f = s.files.where("lang = 'cs' and not is_generated").select(F.col("id").alias("f_id"))
+    return inner.join(f, F.col("file_id") == F.col("f_id"), "left_semi").select("file_id").orderBy("file_id").limit(100)
+
+
+@query(f"WITH {PROJ} SELECT from_id, to_id FROM refs JOIN p a ON a.id = from_id JOIN p b ON b.id = to_id WHERE a.lang = 'cs' AND b.lang = 'cs' AND a.load_status = 'parsed' AND b.load_status = 'parsed'")
+def g7_semantic_edges(s: Store) -> DataFrame:
+    """Edges between C# projects that loaded."""
+    ok = s.projects.where("lang = 'cs' and load_status = 'parsed'").select(F.col("id").alias("ok"))
+    return s.refs.join(ok, F.col("from_id") == F.col("ok"), "left_semi").join(ok, F.col("to_id") == F.col("ok"), "left_semi")
+
+
+@query(
+    f"""WITH RECURSIVE {SY}, {EDGE}, e AS (SELECT DISTINCT base_name, derived_id, lower(name) AS t_name, file_id FROM (SELECT be.*, s.name FROM be JOIN s ON s.id = derived_id)), good AS (SELECT id FROM files WHERE NOT is_generated),
+ r AS (SELECT derived_id, t_name FROM e WHERE base_name IN ('icursor', 'ianchor') AND file_id IN (SELECT id FROM good) UNION SELECT e.derived_id, e.t_name FROM r JOIN e ON e.base_name = r.t_name WHERE e.file_id IN (SELECT id FROM good))
+SELECT DISTINCT derived_id AS symbol_id FROM r"""
+)
+def g11_verified_fixpoint(s: Store) -> DataFrame:
+    """Types verified hop by hop until a round adds none: only hand-written files verify."""
+    good = s.files.where("not is_generated").select(F.col("id").alias("file_id"))
+    e = s.base_edges.join(good, "file_id", "left_semi")
+    t = s.symbols.where(F.col("kind").isin(*TYPE_KINDS)).select(F.col("id").alias("t_id"), X.fold("name").alias("t_name"))
+    named = e.join(t, e["derived_id"] == t["t_id"]).select(F.concat(F.lit("n:"), "base_name").alias("src"), F.concat(F.lit("n:"), "t_name").alias("dst"), "derived_id")
+    scratch = Scratch(s.spark, "verified")
+    named = scratch.cut(named.distinct())
+    roots = s.spark.createDataFrame([("n:icursor",), ("n:ianchor",)], "root string")
+    reached = graph.reachable(named.select("src", "dst"), roots, scratch).select(F.col("node").alias("src")).union(roots).distinct()
+    return named.join(reached, "src", "left_semi").select(F.col("derived_id").alias("symbol_id")).distinct()
+
+
+@query("SELECT map_from_entries(list({'key': k, 'value': v} ORDER BY k))::VARCHAR AS meta FROM (SELECT 'files' AS k, count(*)::VARCHAR AS v FROM files UNION ALL SELECT 'events', count(*)::VARCHAR FROM events UNION ALL SELECT 'schema', '1')")
+def l10_metadata(s: Store) -> DataFrame:
+    """Key-value rows as one map."""
+    row = lambda name: s.raw(name).agg(F.count("*").cast("string").alias("v")).select(F.lit(name).alias("k"), "v")
+    kv = row("files").unionByName(row("events")).unionByName(s.spark.createDataFrame([("schema", "1")], "k string, v string"))
+    m = kv.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("m"))
+    return m.select(F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", "), F.lit("}")).alias("meta"))
+
+
+@query(
+    """WITH st AS (SELECT path, hash FROM (SELECT path, hash, row_number() OVER (PARTITION BY path ORDER BY run_id DESC, attempt DESC, recorded_at DESC, checkpoint_id DESC) AS rn FROM file_checkpoints) WHERE rn = 1),
+ d AS (SELECT CASE WHEN st.path IS NULL THEN 'added' WHEN f.path IS NULL THEN 'deleted' WHEN f.hash IS NOT DISTINCT FROM st.hash THEN 'same' ELSE 'changed' END AS change FROM files f FULL JOIN st ON f.path = st.path)
+SELECT change, count(*) AS files, CASE WHEN (SELECT count(*) FROM d WHERE change <> 'same') > 5000 THEN 'sweep' ELSE 'batch' END AS mode FROM d GROUP BY 1"""
+)
+def r4_refresh_plan(s: Store) -> DataFrame:
+    """What a refresh has to do, and whether as a batch or, beyond 5000 changes, as a sweep."""
+    d = j18_snapshot_diff(s).groupBy("change").agg(F.count("*").alias("files"))
+    n = d.where("change <> 'same'").agg(F.coalesce(F.sum("files"), F.lit(0)).alias("n"))
+    return d.crossJoin(F.broadcast(n)).select("change", "files", F.when(F.col("n") > 5000, "sweep").otherwise("batch").alias("mode"))
+
+
+@query(
+    """WITH q AS (SELECT event_id, event_type IN ('signup', 'error') AS lifecycle, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS age FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 2000)),
+ k AS (SELECT *, row_number() OVER (ORDER BY lifecycle DESC, age) AS place FROM q) SELECT event_id, lifecycle FROM k WHERE place <= 1024"""
+)
+def r11_bounded_queue(s: Store) -> DataFrame:
+    """The last 2000 events put through a queue of 1024 that drops the oldest, but lifecycle events last."""
+    last = s.raw("events").orderBy(F.desc("ts"), F.desc("event_id")).limit(2000).withColumn("lifecycle", F.col("event_type").isin("signup", "error"))
+    return last.orderBy(F.desc("lifecycle"), F.desc("ts"), F.desc("event_id")).limit(1024).select("event_id", "lifecycle")
