@@ -138,6 +138,8 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 #: Log-compatibility of a child's label with its parent's: alike is likelier, and any mixture remains possible.
 ALIKE, APART = 1.8, -1.8
+#: Files with namespaces below which a repository does not tell what is at home in it.
+FEW = 10
 
 
 def _let(x: Column, f: Callable[[Column], Column]) -> Column:
@@ -181,16 +183,19 @@ def labels(files: DataFrame, contents: DataFrame, langs: tuple[str, ...] = LANGS
     name = F.coalesce("path", F.concat(F.lit("?/"), F.col("id").cast("string")))
     j = j.withColumn("dir", F.regexp_replace(name, "/?[^/]*$", "")).withColumn("repo", F.split("dir", "/")[0])
     j = scratch.cut(j)
-    # namespaces at home: the root that most files of the repository share
+    # namespaces at home: the root that most files of the repository share; where
+    # a repository is too small to tell, the root that most files share at all
     homes = j.where("home is not null").groupBy("repo", "home").agg(F.count("*").alias("n"))
-    most = homes.groupBy("repo").agg(F.max_by("home", F.struct("n", "home")).alias("own"), F.max("n").alias("own_n"))
+    everywhere = homes.groupBy(F.col("home").alias("e_home")).agg(F.sum("n").alias("e_n"))
+    top = everywhere.agg(F.max_by("e_home", F.struct("e_n", "e_home")).alias("top"))
+    most = homes.groupBy(F.col("repo").alias("m_repo")).agg(F.max_by("home", F.struct("n", "home")).alias("own"), F.max("n").alias("own_n"))
+    most = most.crossJoin(F.broadcast(top)).select("m_repo", F.when(F.col("own_n") < FEW, F.col("top")).otherwise(F.col("own")).alias("own"), "own_n")
+    most = most.join(everywhere.select(F.col("e_home").alias("o_home"), F.col("e_n").alias("own_e")), F.col("own") == F.col("o_home"))
     share = homes.withColumnRenamed("repo", "h_repo").withColumnRenamed("home", "h_home")
-    # a root that is common everywhere is at home even where few files are
-    everywhere = homes.groupBy(F.col("home").alias("e_home")).agg(F.count("*").alias("repos"), F.sum("n").alias("e_n"))
     foreign = (
-        share.join(most, share["h_repo"] == most["repo"])
+        share.join(most, share["h_repo"] == most["m_repo"])
         .join(everywhere, share["h_home"] == everywhere["e_home"])
-        .where((F.col("h_home") != F.col("own")) & (F.col("n") * 5 < F.col("own_n")))
+        .where((F.col("h_home") != F.col("own")) & ((F.col("n") * 5 < F.col("own_n")) | (F.col("e_n") * 5 < F.col("own_e"))))
         .select("h_repo", "h_home")
     )
     j = j.join(foreign, (j["repo"] == foreign["h_repo"]) & (j["home"] == foreign["h_home"]), "left").withColumn("foreign", F.col("h_home").isNotNull().cast("int")).drop("h_repo", "h_home")
