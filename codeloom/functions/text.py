@@ -112,7 +112,12 @@ def query_tokens(s: str) -> list[str]:
 
 def whole_token(line: Column, token: str) -> Column:
     """Whether a line holds a token not within a longer one, ASCII-folded."""
-    return fold(line).rlike(r"(?<![\p{L}\p{Nd}_])" + re.escape(fold_text(token)) + r"(?![\p{L}\p{Nd}_])")
+    return line.rlike(token_regex(token))
+
+
+def token_regex(token: str) -> str:
+    """A whole token, ASCII-folded: Java's `(?i)` folds ASCII only, and spares translating the text."""
+    return r"(?i)(?<![\p{L}\p{Nd}_])" + re.escape(fold_text(token)) + r"(?![\p{L}\p{Nd}_])"
 
 
 def snippet(line: Column, most: int = 240) -> Column:

@@ -6,10 +6,11 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from codeloom.functions.text import fold, fold_text, query_tokens, snippet, tokens, whole_token
+from codeloom.functions.text import fold, fold_text, query_tokens, snippet, token_regex, whole_token
 from codeloom.sources.tables import Scratch
 
 K1, B = 1.2, 0.75
+TOKEN = r"[\p{L}\p{Nd}_]+"
 
 
 def bm25(postings: DataFrame, query: list[str]) -> DataFrame:
@@ -33,7 +34,8 @@ def texts_holding(contents: DataFrame, query: list[str]) -> DataFrame:
     """The texts that hold all tokens, by one scan and no shuffle: a substring test, which is cheap, before the test of tokens."""
     c = contents.where("content is not null")
     for t in query:
-        c = c.where(fold("content").contains(t))
+        # `lower` is fast and folds more than ASCII, so it lets through all that the exact test may take
+        c = c.where(F.lower("content").contains(t))
     for t in query:
         c = c.where(whole_token(F.col("content"), t))
     return c
@@ -46,12 +48,8 @@ def scan_holding(contents: DataFrame, query: list[str]) -> DataFrame:
 
 def scan_bm25(contents: DataFrame, query: list[str], scratch: Scratch) -> DataFrame:
     """As `bm25`, from the texts: one scan leaves a row of a few numbers a file, and nothing is shuffled but one-row aggregates."""
-    t = tokens("content")
-
-    def times(q: str) -> Column:
-        return F.size(F.filter("t", lambda x: x == q))
-
-    counts = contents.where("content is not null").select("file_id", t.alias("t")).select("file_id", F.size("t").alias("dl"), *[times(q).alias(f"tf{k}") for k, q in enumerate(query)])
+    length = F.regexp_count("content", F.lit(TOKEN))
+    counts = contents.where("content is not null").select("file_id", length.alias("dl"), *[F.regexp_count("content", F.lit(token_regex(q))).alias(f"tf{k}") for k, q in enumerate(query)])
     counts = scratch.cut(counts.where("dl > 0").distinct())
     corpus = counts.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(query))])
     held = counts

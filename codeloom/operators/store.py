@@ -82,7 +82,7 @@ class Store:
         """As `lines_with`, ASCII-folded."""
         c = self.contents
         for n in needles:
-            c = c.where(fold("content").contains(n))
+            c = c.where(F.lower("content").contains(n))
         return lines_of(c)
 
     @cached_property
