@@ -140,6 +140,8 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 ALIKE, APART = 1.8, -1.8
 #: Files with namespaces below which a repository does not tell what is at home in it.
 FEW = 10
+#: So many files in vendor directories tell as much of their root as one upstream header, which own files never have.
+HEADER = 8
 
 
 def _let(x: Column, f: Callable[[Column], Column]) -> Column:
@@ -171,6 +173,45 @@ def _minus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
 
 
+def _between(x: Column, low: float, high: float) -> Column:
+    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+
+
+def _odds(a: Column, b: Column, less: float = 0.5) -> Column:
+    """Log-odds of two counts, mild where both are small."""
+    return F.log((a + less) / (b + less))
+
+
+def _foreign(j: DataFrame) -> DataFrame:
+    """(h_repo, h_home, foreign): log-odds that a root namespace is a third party's in a repository.
+
+    Copies are told by what does not vanish with their number: the root's files
+    anywhere that lie in vendor directories or have an upstream header, and its
+    spread over repositories where others' files prevail. Against that stands
+    the root's share of the repository's files outside of those.
+    """
+    vendor = F.arrays_overlap(F.split(F.lower("dir"), "/"), F.array(*[F.lit(x) for x in VENDOR_DIRS]))
+    head = F.coalesce("vendored", F.lit(0.0)) > 0
+    count = lambda c: F.sum(c.cast("long"))
+    homes = j.where("home is not null").groupBy(F.col("repo").alias("h_repo"), F.col("home").alias("h_home")).agg(F.count("*").alias("n"), count(head).alias("heads"), count(vendor & ~head).alias("apart"), count(~vendor & ~head).alias("out"))
+    sums = homes.groupBy(F.col("h_repo").alias("r_repo")).agg(F.sum("n").alias("r_n"), F.sum("out").alias("r_out"), F.max("out").alias("own_n"))
+    homes = homes.join(sums, F.col("h_repo") == F.col("r_repo")).drop("r_repo")
+    # where nothing lies outside of vendor directories, lying in one sets nothing apart
+    some = F.col("r_out") > 0
+    part = F.when(some, F.col("out") / F.col("r_out"))
+    everywhere = homes.groupBy(F.col("h_home").alias("e_home")).agg(
+        F.sum(F.col("heads") * HEADER + F.when(some, F.col("apart")).otherwise(0)).alias("e_marked"), F.sum("out").alias("e_out"), F.coalesce(F.sum(part), F.lit(0.0)).alias("e_part"), F.coalesce(F.sum(1 - part), F.lit(0.0)).alias("e_rest")
+    )
+    all_out = everywhere.agg(F.sum("e_out").alias("all_out"))
+    homes = homes.join(everywhere, F.col("h_home") == F.col("e_home")).crossJoin(F.broadcast(all_out))
+    marks = _between(_odds(F.col("e_marked"), F.col("e_out")), -4.0, 4.0)
+    spread = _odds(F.col("e_rest"), F.col("e_part"), 1.0)
+    # a repository too small to tell is judged by all
+    outside = F.when(F.col("own_n") < FEW, _odds(F.col("e_out"), F.col("all_out") - F.col("e_out"))).otherwise(_odds(F.col("out"), F.col("r_out") - F.col("out")))
+    here = F.when(some, outside).otherwise(F.least(_odds(F.col("n"), F.col("r_n") - F.col("n")), F.lit(math.log(3))))
+    return homes.select("h_repo", "h_home", (marks + spread - here).alias("foreign"))
+
+
 def labels(files: DataFrame, contents: DataFrame, langs: tuple[str, ...] = LANGS) -> DataFrame:
     """(file_id, path, lang, label, belief) of each file in `langs`."""
     spark = files.sparkSession
@@ -183,29 +224,15 @@ def labels(files: DataFrame, contents: DataFrame, langs: tuple[str, ...] = LANGS
     name = F.coalesce("path", F.concat(F.lit("?/"), F.col("id").cast("string")))
     j = j.withColumn("dir", F.regexp_replace(name, "/?[^/]*$", "")).withColumn("repo", F.split("dir", "/")[0])
     j = scratch.cut(j)
-    # namespaces at home: the root that most files of the repository share; where
-    # a repository is too small to tell, the root that most files share at all
-    homes = j.where("home is not null").groupBy("repo", "home").agg(F.count("*").alias("n"))
-    everywhere = homes.groupBy(F.col("home").alias("e_home")).agg(F.sum("n").alias("e_n"))
-    top = everywhere.agg(F.max_by("e_home", F.struct("e_n", "e_home")).alias("top"))
-    most = homes.groupBy(F.col("repo").alias("m_repo")).agg(F.max_by("home", F.struct("n", "home")).alias("own"), F.max("n").alias("own_n"))
-    most = most.crossJoin(F.broadcast(top)).select("m_repo", F.when(F.col("own_n") < FEW, F.col("top")).otherwise(F.col("own")).alias("own"), "own_n")
-    most = most.join(everywhere.select(F.col("e_home").alias("o_home"), F.col("e_n").alias("own_e")), F.col("own") == F.col("o_home"))
-    share = homes.withColumnRenamed("repo", "h_repo").withColumnRenamed("home", "h_home")
-    foreign = (
-        share.join(most, share["h_repo"] == most["m_repo"])
-        .join(everywhere, share["h_home"] == everywhere["e_home"])
-        .where((F.col("h_home") != F.col("own")) & ((F.col("n") * 5 < F.col("own_n")) | (F.col("e_n") * 5 < F.col("own_e"))))
-        .select("h_repo", "h_home")
-    )
-    j = j.join(foreign, (j["repo"] == foreign["h_repo"]) & (j["home"] == foreign["h_home"]), "left").withColumn("foreign", F.col("h_home").isNotNull().cast("int")).drop("h_repo", "h_home")
+    j = j.join(_foreign(j), (j["repo"] == F.col("h_repo")) & (j["home"] == F.col("h_home")), "left").drop("h_repo", "h_home")
     g, m, v, b = (F.coalesce(c, F.lit(0.0)) for c in ("generated", "minified", "vendored", "blob"))
     minified = F.when(m > 0.5, 12.0).otherwise(-2.0)
     blob = F.when(b > 0.6, 12.0).otherwise(-2.0)
-    vendored = F.when((v > 0) | (F.col("foreign") > 0), 12.0).otherwise(-2.0)
+    # a namespace at home speaks for the file's own authors, a foreign one for a copy, each as far as it is sure
+    far = F.col("foreign")
+    vendored = F.when(v > 0, 12.0).when(far.isNull(), -2.0).otherwise(_between(far * 3, -2.0, 12.0))
     evidence = [
-        # a namespace that is at home speaks for the file's own authors
-        F.when(F.col("home").isNotNull() & (F.col("foreign") == 0), 4.5).otherwise(0.5),
+        F.when(far.isNull(), 0.5).otherwise(_between(2.5 - far * 2, 0.5, 4.5)),
         F.when(g > 0, 12.5).otherwise(-2.0),
         minified,
         vendored,

@@ -57,3 +57,24 @@ def test_belief_is_the_exact_marginal(spark):
         total[x] += math.exp(e[x] + vendor[y] + plain[z] + w(x, y) + w(y, z))
     best = max(range(5), key=lambda k: total[k])
     assert got["label"] == P.LABELS[best] and abs(got["belief"] - total[best] / sum(total)) < 1e-9
+
+
+def sources(spark, rows):
+    """Tables of (path, root namespace, leading comment)."""
+    f = spark.createDataFrame([(i, p, "cs") for i, (p, _, _) in enumerate(rows)], "id long, path string, lang string")
+    c = spark.createDataFrame([(i, head + OWN.replace("Own.Core", f"{root}.Core").replace("class A", f"class A{i}")) for i, (_, root, head) in enumerate(rows)], "file_id long, content string")
+    return f, c
+
+
+def test_library_with_a_third_of_all_files(spark):
+    rows = []
+    for r in range(4):
+        rows += [(f"r{r}/src/P{k % 4}/F{k}.cs", "Own", "") for k in range(40)]
+        rows += [(f"r{r}/vendor/lib/d{k % 3}/L{k}.cs", "Lib", "// lib 2.4.7, upstream copy.\n" if k % 3 == 0 else "") for k in range(18)]
+        rows += [(f"r{r}/src/P1/C{k}.cs", "Lib", "") for k in range(2)]
+    # more copies than own files
+    rows += [(f"q/src/P/F{k}.cs", "Own", "") for k in range(20)] + [(f"q/third_party/lib/L{k}.cs", "Lib", "") for k in range(60)]
+    f, c = sources(spark, rows)
+    got = {r["path"]: r["label"] for r in P.labels(f, c).collect()}
+    assert {p for p, label in got.items() if label != "handwritten"} == {p for p, root, _ in rows if root == "Lib"}
+    assert set(got.values()) == {"handwritten", "vendored"}
