@@ -138,8 +138,6 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 #: Log-compatibility of a child's label with its parent's: alike is likelier, and any mixture remains possible.
 ALIKE, APART = 1.8, -1.8
-#: Files with namespaces below which a repository does not tell what is at home in it.
-FEW = 10
 #: So many files in vendor directories tell as much of their root as one upstream header, which own files never have.
 HEADER = 8
 
@@ -194,7 +192,7 @@ def _foreign(j: DataFrame) -> DataFrame:
     head = F.coalesce("vendored", F.lit(0.0)) > 0
     count = lambda c: F.sum(c.cast("long"))
     homes = j.where("home is not null").groupBy(F.col("repo").alias("h_repo"), F.col("home").alias("h_home")).agg(F.count("*").alias("n"), count(head).alias("heads"), count(vendor & ~head).alias("apart"), count(~vendor & ~head).alias("out"))
-    sums = homes.groupBy(F.col("h_repo").alias("r_repo")).agg(F.sum("n").alias("r_n"), F.sum("out").alias("r_out"), F.max("out").alias("own_n"))
+    sums = homes.groupBy(F.col("h_repo").alias("r_repo")).agg(F.sum("n").alias("r_n"), F.sum("out").alias("r_out"))
     homes = homes.join(sums, F.col("h_repo") == F.col("r_repo")).drop("r_repo")
     # where nothing lies outside of vendor directories, lying in one sets nothing apart
     some = F.col("r_out") > 0
@@ -202,13 +200,11 @@ def _foreign(j: DataFrame) -> DataFrame:
     everywhere = homes.groupBy(F.col("h_home").alias("e_home")).agg(
         F.sum(F.col("heads") * HEADER + F.when(some, F.col("apart")).otherwise(0)).alias("e_marked"), F.sum("out").alias("e_out"), F.coalesce(F.sum(part), F.lit(0.0)).alias("e_part"), F.coalesce(F.sum(1 - part), F.lit(0.0)).alias("e_rest")
     )
-    all_out = everywhere.agg(F.sum("e_out").alias("all_out"))
-    homes = homes.join(everywhere, F.col("h_home") == F.col("e_home")).crossJoin(F.broadcast(all_out))
+    homes = homes.join(everywhere, F.col("h_home") == F.col("e_home"))
     marks = _between(_odds(F.col("e_marked"), F.col("e_out")), -4.0, 4.0)
     spread = _odds(F.col("e_rest"), F.col("e_part"), 1.0)
-    # a repository too small to tell is judged by all
-    outside = F.when(F.col("own_n") < FEW, _odds(F.col("e_out"), F.col("all_out") - F.col("e_out"))).otherwise(_odds(F.col("out"), F.col("r_out") - F.col("out")))
-    here = F.when(some, outside).otherwise(F.least(_odds(F.col("n"), F.col("r_n") - F.col("n")), F.lit(math.log(3))))
+    # few files say little by themselves: the less, the nearer are the odds to even
+    here = F.when(some, _odds(F.col("out"), F.col("r_out") - F.col("out"))).otherwise(F.least(_odds(F.col("n"), F.col("r_n") - F.col("n")), F.lit(math.log(3))))
     return homes.select("h_repo", "h_home", (marks + spread - here).alias("foreign"))
 
 

@@ -78,3 +78,14 @@ def test_library_with_a_third_of_all_files(spark):
     got = {r["path"]: r["label"] for r in P.labels(f, c).collect()}
     assert {p for p, label in got.items() if label != "handwritten"} == {p for p, root, _ in rows if root == "Lib"}
     assert set(got.values()) == {"handwritten", "vendored"}
+
+
+def test_small_repositories_with_roots_of_their_own(spark):
+    rows = [(f"big/src/P{k % 4}/F{k}.cs", "Own", "") for k in range(90)]
+    for r in range(1, 13):
+        rows += [(f"small{r}/src/F{k}.cs", f"Root{r}", "") for k in range(r)]
+        rows += [(f"small{r}/vendor/lib/L{k}.cs", "Lib", "") for k in range(2)]
+    rows += [("small9/src/C.cs", "Lib", "")]
+    f, c = sources(spark, rows)
+    got = {r["path"]: r["label"] for r in P.labels(f, c).collect()}
+    assert {p for p, label in got.items() if label != "handwritten"} == {p for p, root, _ in rows if root == "Lib"}
