@@ -892,6 +892,11 @@ def _fs_mask(s: str) -> str | None:
     return None if '"' in m else m
 
 
+#: No expression goes on past these; whoever called it says whether they may stand there.
+_FS_ENDS = frozenset(["", "and", "member", "override", "interface", "default"])
+_FS_ACCESS = ("private", "internal", "public")
+
+
 class F:
     """Expressions of F# over one flattened group of lines; a nested group is one mark."""
 
@@ -904,7 +909,7 @@ class F:
         want = True  # an operand has to follow
         while True:
             t = self.t[self.i]
-            if t in stops or t == "":
+            if t in stops or t in _FS_ENDS:
                 if want:
                     raise Bad("operand")
                 return
@@ -972,7 +977,7 @@ class F:
                 _binding(self)
                 if self.take("in") or self.take(";"):
                     continue
-                if self.t[self.i] in stops or self.t[self.i] == "" or self.t[self.i] in (")", "]", "}"):
+                if self.t[self.i] in stops or self.t[self.i] in _FS_ENDS or self.t[self.i] in (")", "]", "}"):
                     return
                 raise Bad("let")
             elif t in ("return", "yield", "return!", "yield!", "do", "do!", "lazy", "assert", "upcast", "downcast", "fixed", "global", "base"):
@@ -980,8 +985,7 @@ class F:
                 want = t not in ("global", "base")
             elif t == "new":
                 self.i += 1
-                if not self._name():
-                    raise Bad("new")
+                self._path()
                 want = False
             elif t == "begin":
                 self.i += 1
@@ -1109,6 +1113,8 @@ class F:
         if open_ == "{":
             start = self.i
             try:
+                if self.take("inherit"):
+                    self._path()
                 while True:
                     if self.take(";"):
                         continue
@@ -1116,6 +1122,8 @@ class F:
                         break
                     self.expr(frozenset(["with", ";"]))
                     self.take("with")
+                    while self.t[self.i] in ("member", "override", "interface", "default"):
+                        _member(self)
                     if self.t[self.i] == "}":
                         break
             except Bad:
@@ -1140,6 +1148,23 @@ class F:
             else:
                 self.expr()
 
+    def _path(self) -> None:
+        """The name of a class with its type arguments."""
+        if not self._name():
+            raise Bad("name")
+        while self.t[self.i] == "." and self.t[self.i + 1] != "(":
+            self.i += 1
+            if not self._name():
+                raise Bad("name")
+        if self.t[self.i] == "<":
+            depth = 0
+            while True:
+                x = self.t[self.i]
+                depth += (x == "<") - (len(x) if x and not x.strip(">") else 0)
+                self._skip_one()
+                if depth <= 0:
+                    return
+
     def _rules(self, stops: frozenset) -> None:
         self.take("|")
         while True:
@@ -1210,6 +1235,156 @@ def _binding(f: F) -> None:
         raise Bad("pattern")
     f.need("=")
     f.expr(frozenset(["in", ";"]))
+    if f.take("and"):
+        _binding(f)
+
+
+def _types(f: F, stops: tuple[str, ...]) -> None:
+    """Types with names, tuples and constraints, up to one of `stops` or the end."""
+    last = ""
+    while f.t[f.i] and f.t[f.i] not in stops:
+        last = f.t[f.i]
+        if last == "[<":
+            f._bracket_any()
+            continue
+        f._skip_one()
+    if last in ("", "->", "*", ":", ".", "of", ","):
+        raise Bad("type")
+
+
+def _accessors(f: F) -> None:
+    """`get, set` or `get args = expr and set args = expr` behind `with`."""
+    while True:
+        while f.t[f.i] in ("inline", *_FS_ACCESS):
+            f.i += 1
+        if f.t[f.i] not in ("get", "set"):
+            raise Bad("accessor")
+        f.i += 1
+        if f.take(","):
+            continue
+        if f.t[f.i] not in _FS_ENDS and f.t[f.i] != "}":
+            while f.t[f.i] not in ("=", ""):
+                f._skip_one()
+            f.need("=")
+            f.expr()
+        if not f.take("and"):
+            return
+
+
+def _member(f: F) -> None:
+    """One declaration in a type's body."""
+    while f.t[f.i] == "[<":
+        f._bracket_any()
+    f.take("static")
+    head = f.t[f.i]
+    f.i += 1
+    if head in ("let", "use"):
+        _binding(f)
+        if f.take("in"):
+            f.expr()
+    elif head == "do":
+        f.expr()
+    elif head == "inherit":
+        f._path()
+        if f.t[f.i]:
+            f.expr()
+    elif head == "extern":
+        _types(f, ())
+    elif head == "val":
+        while f.t[f.i] in ("mutable", *_FS_ACCESS):
+            f.i += 1
+        if not f._name():
+            raise Bad("val")
+        f.need(":")
+        _types(f, ())
+    elif head == "new":
+        if f.t[f.i] == "(":
+            f._bracket_any()
+        else:
+            f.need("()")
+        if f.take("as") and not f._name():
+            raise Bad("as")
+        f.need("=")
+        f.expr(frozenset(["then"]))
+        if f.take("then"):
+            f.expr()
+    elif head == "interface":
+        _types(f, ("with",))
+        if f.take("with"):
+            while f.t[f.i] in ("member", "override"):
+                _member(f)
+    elif head == "abstract":
+        f.take("member")
+        while f.t[f.i] in ("inline", *_FS_ACCESS):
+            f.i += 1
+        if not f._name():
+            raise Bad("abstract")
+        while f.t[f.i] not in (":", ""):
+            f._skip_one()
+        f.need(":")
+        _types(f, ("with",))
+        if f.take("with"):
+            _accessors(f)
+    elif head in ("member", "override", "default"):
+        while f.t[f.i] in ("inline", "val", "mutable", *_FS_ACCESS):
+            f.i += 1
+        if f.t[f.i] == "(":
+            f._bracket_any()
+        elif not f.take("_") and not f._name():
+            raise Bad("member")
+        while f.t[f.i] not in ("=", "with", ""):
+            if f.take("."):
+                if f.t[f.i] == "(":
+                    f._bracket_any()
+                elif not f._name():
+                    raise Bad("member")
+            else:
+                f._skip_one()
+        if f.take("="):
+            f.expr(frozenset(["with"]))
+            if f.take("with"):
+                _accessors(f)
+        else:
+            f.need("with")
+            _accessors(f)
+    else:
+        raise Bad(head)
+
+
+def _cases(f: F) -> None:
+    """The cases of a union or an enumeration."""
+    f.take("|")
+    while True:
+        while f.t[f.i] == "[<":
+            f._bracket_any()
+        if f.t[f.i] in ("(", "["):
+            f._bracket_any()
+        elif not f._name():
+            raise Bad("case")
+        if f.take("of") or f.take(":"):
+            _types(f, ("|", "with"))
+        elif f.take("="):
+            f.expr(frozenset(["|"]))
+        if f.t[f.i] in ("", "with"):
+            return
+        f.need("|")
+
+
+def _record(f: F) -> None:
+    """The fields of a record behind its `{`, through its `}`."""
+    n = 0
+    while not f.take("}"):
+        if f.take(";"):
+            continue
+        while f.t[f.i] in ("mutable", "[<", *_FS_ACCESS):
+            f._bracket_any() if f.t[f.i] == "[<" else f.take(f.t[f.i])
+        if not f._name():
+            raise Bad("field")
+        f.need(":")
+        _types(f, (";", "}"))
+        n += 1
+    if not n:
+        raise Bad("record")
 
 
 #: After these a deeper group of lines is a block of its own.
@@ -1328,22 +1503,104 @@ def _type_body(body: list[tuple[int, list[str]]], toks: list[str]) -> None:
             raise Bad(x)
     if depth:
         raise Bad("type")
-    if flat[0] == "{":
-        inner = flat[1 : flat.index("}")] if "}" in flat else flat[1:]
-        f = F(inner)
-        n = 0
-        while f.t[f.i]:
-            if f.take(";"):
-                continue
-            while f.t[f.i] in ("mutable", "[<", "private", "internal"):
-                f._bracket_any() if f.t[f.i] == "[<" else f.take(f.t[f.i])
-            if not f._name():
-                raise Bad("field")
-            f.need(":")
-            f._type(frozenset())
-            n += 1
-        if not n:
-            raise Bad("record")
+    lines = ([(body[0][0] if body else 0, toks)] if toks else []) + body
+    lines = [(c, list(t)) for c, t in lines]
+    while lines[0][1][0] in _FS_ACCESS:
+        lines[0][1].pop(0)
+        if not lines[0][1]:
+            lines.pop(0)
+        if not lines:
+            raise Bad("type")
+    head = lines[0][1][0]
+    if head in ("class", "struct", "interface") and lines[0][1][1:] in ([], ["end"]):
+        if lines[0][1][1:] == ["end"]:
+            lines[0][1].pop()
+        elif lines[-1][1] == ["end"]:
+            lines.pop()
+        else:
+            raise Bad("end")
+        lines = lines[1:]
+    elif head == "{" and flat[flat.index("{") + 1 :][:1] != ["|"]:
+        # fields end with their lines
+        one: list[str] = []
+        open_ = 0
+        while lines and (open_ or not one):
+            t = lines.pop(0)[1]
+            if open_ == 1 and one[-1] not in ("{", ";", "->", "*", ":", ">]", "mutable") and t[0] not in ("}", ";", "->", "*", ":", ">"):
+                one.append(";")
+            one += t
+            open_ = sum((x in _CLOSE) - (x in (")", "]", "}", "|]", ">]")) for x in one)
+        f = F(one)
+        f.i = 1
+        _record(f)
+        if f.take("with"):
+            lines = ([(lines[0][0] if lines else 0, f.t[f.i : -1])] if f.t[f.i] else []) + lines
+        elif f.t[f.i]:
+            raise Bad(f.t[f.i])
+    elif head not in _MEMBERS and head != "[<" or head == "[<" and not _MEMBERS.intersection(flat):
+        col = lines[0][0]
+        one = list(lines.pop(0)[1])
+        while lines and (lines[0][1][0] in ("|", "->", "*") or lines[0][0] > col or one[-1] in ("->", "*", "of", "|", "=")):
+            one += lines.pop(0)[1]
+        f = F(one)
+        if one[0] != "{" and ("|" in one or "of" in one and one[0] != "delegate"):
+            _cases(f)
+            if f.t[f.i]:
+                lines.insert(0, (col, f.t[f.i : -1]))
+        else:
+            if f.take("delegate"):
+                f.need("of")
+            _types(f, ())
+    if lines and lines[0][1][0] == "with":
+        lines[0][1].pop(0)
+        if not lines[0][1]:
+            lines.pop(0)
+        if not lines:
+            raise Bad("with")
+    _members(lines)
+
+
+#: Heads of the declarations in a type's body.
+_MEMBERS = frozenset(["member", "override", "default", "abstract", "static", "val", "new", "inherit", "interface", "let", "use", "do"])
+
+
+def _members(lines: list[tuple[int, list[str]]]) -> None:
+    """The declarations of a type's body, cut by the column of the first."""
+    groups: list[list] = []
+    for c, t in lines:
+        if not groups or c <= groups[-1][0][0] and t[0] not in (")", "]", "}", "|]", "and", "with", "then"):
+            groups.append([(c, t)])
+        else:
+            groups[-1].append((c + (1 if c <= groups[-1][0][0] else 0), t))
+    pending = False
+    for g in groups:
+        toks = g[0][1]
+        if toks[0] == "[<" and toks[-1] == ">]" and toks.count("[<") == 1:
+            if g[1:]:
+                raise Bad("attribute")
+            pending = True
+            continue
+        pending = False
+        if toks[0] == "interface" and g[1:]:
+            f = F(toks)
+            f.i = 1
+            _types(f, ("with",))
+            inner = g[1:]
+            if not f.take("with"):
+                inner = [(c, t[1:] if n == 0 else t) for n, (c, t) in enumerate(inner)] if inner[0][1][0] == "with" else []
+                inner = inner[1:] if inner and not inner[0][1] else inner
+                if not inner:
+                    raise Bad("with")
+            elif f.t[f.i]:
+                inner = [(inner[0][0], f.t[f.i : -1]), *inner]
+            _members(inner)
+            continue
+        f = F(_flatten(g))
+        _member(f)
+        if f.t[f.i]:
+            raise Bad(f.t[f.i])
+    if pending:
+        raise Bad("attribute")
 
 
 def fs_parses(s: str) -> bool:
@@ -1432,18 +1689,36 @@ def _declarations(lines: list[tuple[int, list[str]]], top: bool) -> int:
                 raise Bad("open")
             count += 1
         elif head in ("type", "and", "exception"):
+            # further types of the same group begin with `and` in its column
+            cuts = [n for n, (c, t) in enumerate(rest) if c <= col + 1 and t[0] == "and"]
+            if cuts:
+                rest, more = rest[: cuts[0]], rest[cuts[0] :]
+                _declarations([(col, more[0][1]), *more[1:]], False)
+            # a constructor's parameters may take lines of their own
+            while rest and "=" not in toks and (rest[0][1][0] == "(" or sum((x in _CLOSE) - (x in (")", "]", "}", "|]", ">]")) for x in toks)):
+                toks, rest = toks + rest[0][1], rest[1:]
             f = F(toks)
             f.i = 1
-            while f.t[f.i] in ("private", "internal", "public", "[<"):
+            while f.t[f.i] in ("[<", *_FS_ACCESS):
                 f._bracket_any() if f.t[f.i] == "[<" else f.take(f.t[f.i])
             if not f._name():
                 raise Bad("type")
             while f.t[f.i] not in ("=", "", "of", "with"):
-                f._skip_one()
+                f.i += 1 if f.t[f.i] in _FS_ACCESS else 0
+                if f.t[f.i] not in ("=", "", "of", "with"):
+                    f._skip_one()
             if f.take("="):
                 _type_body(rest, f.t[f.i : -1])
-            elif head == "type" and not f.t[f.i] and rest:
-                raise Bad("type")
+            else:
+                if head == "exception" and f.take("of"):
+                    _types(f, ("with",))
+                if f.take("with"):
+                    inner = ([(rest[0][0] if rest else 0, f.t[f.i : -1])] if f.t[f.i] else []) + rest
+                    if not inner:
+                        raise Bad("with")
+                    _members(inner)
+                elif f.t[f.i] or rest:
+                    raise Bad("type")
             count += 1
         elif head in ("let", "use"):
             flat = _flatten([(col, toks)] + rest)

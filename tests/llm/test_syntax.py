@@ -90,3 +90,98 @@ def test_table(spark):
     assert rate[("r", "cs")] == (2, 1)
     assert syntax.verdicts(f.limit(0), c.limit(0)).count() == 0
     assert syntax.verdicts(f, c.limit(0)).count() == 0
+
+
+FS_TYPES = """module A.B
+
+type R =
+    { Id: int
+      mutable Name: string -> int
+      [<X>]
+      P: Map<string, int> }
+    member x.Total = x.Id + 1
+    static member Create(a: int, ?b: string) : R =
+        let c = defaultArg b ""
+        { Id = a; Name = c }
+
+type U =
+    | A of x: int * y: string
+    | B
+    override this.ToString() =
+        match this with
+        | A (x, _) -> string x
+        | B -> "b"
+
+and E =
+    | X = 1
+    | Y = 2
+
+type C(a: int, b: string) as this =
+    inherit Base(a)
+    let mutable n = a
+    static let rec f x = if x > 1 then g x else 2
+    and g x = f (x - 1)
+    do
+        printfn "%d" n
+        this.Run()
+    new() = C(1, "x")
+    [<DefaultValue>]
+    val mutable private v: int
+    abstract Go: int -> string
+    abstract member P: int with get, set
+    default x.Go y = sprintf "%d" y
+    member val Q = 3 with get, set
+    member private _.N
+        with get () = n
+        and set (w: int) = n <- w
+    member inline x.Item with get (i: int) = i + n
+    static member (+) (p: C, q: C) = p
+    interface IDisposable with
+        member x.Dispose() =
+            n <- 0
+            ()
+
+type I =
+    abstract M: unit -> int
+
+type K =
+    class
+    end
+
+type D = delegate of int -> int
+type Z = int -> string
+type W = V of int
+type C with
+    member x.More = 1
+
+exception Oops of string * int
+
+type L
+    (
+        a: int,
+        b: string
+    ) =
+    inherit IB<int>(a)
+    static extern int foo()
+    new () = { inherit IB<int>(1) }
+
+type S = S of string with
+    member x.V = 1
+
+type N = {| X: int |}
+
+let d = { new IDisposable with member _.Dispose() = () }
+let e = { new IC<int> with member _.F(a) = a }
+"""
+
+
+def test_fs_type_bodies():
+    assert G.fs_parses(FS_TYPES)
+
+
+@pytest.mark.parametrize(
+    "old, new",
+    [("x.Id + 1", ""), ("x.Id + 1", "x.Id +"), ("| B\n    over", "| B of\n    over"), ("let mutable n = a", "let mutable = a"), ("int -> string\n    abstract m", "int ->\n    abstract m"), ("n <- 0", "n <-"), ("member x.More = 1", "member x.More 1"), ("member x.More = 1", ""), ("string * int", "string *"), ("| Y = 2", "| 2"), ("new() =", "new() "), ("inherit Base(a)", "inherit"), ("n <- w", "n <- )w("), ("printfn \"%d\" n", "if n then"), ("Dispose() = ()", "Dispose() =")],
+)
+def test_fs_broken_type_bodies(old, new):
+    assert old in FS_TYPES and not G.fs_parses(FS_TYPES.replace(old, new, 1))
