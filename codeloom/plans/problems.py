@@ -34,7 +34,8 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return incremental.next_run(spark, table(spark, d, "files"), table(spark, d, "index_runs"), table(spark, d, "file_checkpoints"))
+    """What the next run has to process. The state of these tables is kept in one folder of the shared storage; nothing is committed here, so every call gives the same rows until a run commits."""
+    return incremental.next_run(spark, table(spark, d, "files"), table(spark, d, "index_runs"), table(spark, d, "file_checkpoints"), f"files of {d}")
 
 
 QUERIES = {"p2_found": p2_found, "p2_hierarchy": p2_hierarchy, "p2_descendants": p2_descendants, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found}
