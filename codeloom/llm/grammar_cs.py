@@ -27,13 +27,15 @@ _KEYWORDS = """abstract as async await base break case catch checked class const
 explicit extern finally fixed for foreach get global goto if implicit in init interface internal is lock namespace new
 null operator out override params partial private protected public readonly record ref remove required return scoped sealed
 set sizeof stackalloc static struct switch this throw try typeof unchecked unsafe using virtual void volatile when where
-while with yield add and or not from let select orderby group join into""".split()
+while with yield add and or not from let select orderby group join into file""".split()
 _KEYS = {k: k for k in _KEYWORDS}
 #: Words that are names wherever the grammar does not ask for them.
-_SOFT = frozenset("async await get global init partial record remove required scoped set when where with yield add and or not from let select orderby group join into".split())
+_SOFT = frozenset("file async await get global init partial record remove required scoped set when where with yield add and or not from let select orderby group join into".split())
 _RESERVED = frozenset(_KEYWORDS) - _SOFT
 _TOKEN = re.compile(r"\w+|=>|\?\?=|\?\?|\?\.|==|!=|<=|>=|&&|\|\||\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<=|<<|->|::|\.\.|[^\s\w]")
 _MODIFIERS = frozenset("public private protected internal static readonly const virtual override abstract sealed partial async extern unsafe new volatile required ref file".split())
+#: What the modifier `file` may stand before; elsewhere it is a name.
+_DECLARES = frozenset("class struct interface enum record delegate static sealed abstract readonly ref partial unsafe".split())
 _BINARY = frozenset("+ - * / % & | ^ && || == != < > <= >= << ?? = += -= *= /= %= &= |= ^= <<= ??= ..".split())
 
 
@@ -106,6 +108,8 @@ class P:
         else:
             if self.take("delegate"):
                 self.need("*")
+                if self.name() and self.take("["):
+                    self.skip_to("]")
                 self.need("<")
                 self._type_list()
                 self.need(">")
@@ -372,11 +376,17 @@ class P:
                     raise Bad("new")
         elif t == "stackalloc":
             self.i += 1
-            if not self.take("["):
+            if self.take("["):
+                self.args("]")
+                self.take(BLOCK)
+            else:
                 self._type()
-                self.need("[")
-            self.args("]")
-            self.take(BLOCK)
+                if self.t[self.i - 1] == "]":  # the size is that of the block
+                    self.need(BLOCK)
+                else:
+                    self.need("[")
+                    self.args("]")
+                    self.take(BLOCK)
         elif t in ("typeof", "sizeof"):
             self.i += 1
             self.need("(")
@@ -643,7 +653,9 @@ class P:
             self.skip_to("]")
 
     def modifiers(self) -> None:
-        while self.t[self.i] in _MODIFIERS and not (self.t[self.i] in ("async", "partial", "required", "file") and self.t[self.i + 1] in ("(", "=", ";", "")):
+        while self.t[self.i] in _MODIFIERS and not (self.t[self.i] in ("async", "partial", "required") and self.t[self.i + 1] in ("(", "=", ";", "")):
+            if self.t[self.i] == "file" and self.t[self.i + 1] not in _DECLARES:
+                return
             self.i += 1
 
     def _constraints(self) -> None:
@@ -659,6 +671,8 @@ class P:
                     self.take("?")
                 else:
                     self._type()
+                    if self.take("ref"):
+                        self.need("struct")
                 if not self.take(","):
                     break
 
@@ -704,7 +718,7 @@ class P:
             kind = self.type_header()
             self.end()
             return "enum" if kind == "enum" else "type"
-        if t == "delegate" and not block:
+        if t == "delegate" and not block and self.t[self.i + 1] != "*":
             self.i += 1
             self._type()
             self.need_name()
@@ -838,6 +852,19 @@ def _labels(p: P) -> None:
             p.need(":")
 
 
+def _before_arrow(p: P) -> None:
+    """A condition up to the arrow of its arm, which is none of a lambda's."""
+    depth, j = 0, p.i
+    while p.t[j] and not (depth == 0 and p.t[j] == "=>"):
+        depth += (p.t[j] in "([") - (p.t[j] in ")]")
+        j += 1
+    q = P("")
+    q.t, q.n = [*p.t[p.i : j], ""], j - p.i
+    q.expr()
+    q.end()
+    p.i = j
+
+
 def _pattern_or_expr(self: P) -> None:
     start = self.i
     try:
@@ -880,6 +907,8 @@ def _open(kind: str, head: str) -> tuple[str, bool]:
         return "code", False
     if kind in ("code", "switch"):
         if kind == "switch":
+            if "case" in p.t and _open_label(p.t):
+                return "props", True
             _labels(p)
         while p._is_name(0) and p.t[p.i + 1] == ":" and p.t[p.i] != "default":
             p.i += 2
@@ -909,6 +938,16 @@ def _open(kind: str, head: str) -> tuple[str, bool]:
     raise Bad(kind)
 
 
+def _open_label(t: list[str]) -> bool:
+    """Whether the last case label has not come to its colon: the block is a pattern's."""
+    depth = 0
+    for x in t[len(t) - 1 - t[::-1].index("case") + 1 :]:
+        depth += (x in ("(", "[")) - (x in (")", "]"))
+        if x == ":" and depth == 0:
+            return False
+    return True
+
+
 def _code_head(p: P) -> str:
     t = p.t[p.i]
     if t in ("if", "while", "lock", "switch"):
@@ -1050,7 +1089,7 @@ def _close(kind: str, rest: str) -> None:
         while p.t[p.i]:
             p.pattern_or_expr()
             if p.take("when"):
-                p.expr()
+                _before_arrow(p)
             p.need("=>")
             p._body()
             if not p.take(","):

@@ -50,6 +50,8 @@ def json_parses(s: str) -> bool:
 
 _SQL_MASK = re.compile(r"--[^\n]*|N?'(?:[^']|'')*'|\[(?:[^\]\n]|\]\])+\]|\"(?:[^\"\n]|\"\")*\"|/\*")
 _SQL_TOKEN = re.compile(r"@{0,2}[^\W\d][\w$#@]*|#+\w+|0[xX][0-9a-fA-F]*|\d+(?:\.\d*)?(?:[eE][-+]?\d+)?|\.\d+|<>|!=|<=|>=|!<|!>|\+=|-=|\*=|/=|\|\||::|\x01|\S")
+#: The first token behind blanks and comments that do not nest.
+_SQL_FIRST = re.compile(r"(?:\s+|--[^\n]*(?:\n|\Z)|/\*(?:(?!/\*|\*/).)*\*/)*(\w+|\S)", re.S)
 _ROW = re.compile(r"\(0(?:,0|,\x01|,-0)*\)")
 _NUMBER = re.compile(r"\b\d+(?:\.\d+)?\b")
 _SQL_START = frozenset(
@@ -175,11 +177,22 @@ class S:
                     return
 
     def _sum(self) -> None:
-        self._atom()
+        self._zoned()
         while self.take("+", "-", "*", "/", "%", "&", "|", "^", "||"):
-            self._atom()
-        if self.take("collate"):
-            self.name()
+            self._zoned()
+
+    def _zoned(self) -> None:
+        """An operand with its collation and time zones."""
+        self._atom()
+        while True:
+            if self.take("collate"):
+                self.name()
+            elif self.t[self.i] == "at" and self.t[self.i + 1] == "time":
+                self.i += 2
+                self.need("zone")
+                self._atom()
+            else:
+                return
 
     def list_(self) -> None:
         self.expr()
@@ -214,6 +227,12 @@ class S:
             self.need("end")
         elif t == "\x01" or t == "null" or t == "default" or t[:1].isdigit() or (t[:1] == "." and len(t) > 1):
             self.i += 1
+        elif t == "$" and self.t[self.i + 1] == "action":
+            self.i += 2
+        elif t == "next" and self.t[self.i + 1] == "value":
+            self.i += 2
+            self.need("for")
+            self.name()
         elif t in ("left", "right") and self.t[self.i + 1] == "(":
             self.i += 1
             self._call()
@@ -242,8 +261,24 @@ class S:
         elif self.t[self.i] != ")":
             self.list_()
         self.need(")")
+        if self.take("within"):
+            self.need("group")
+            self.need("(")
+            self.need_at("order")
+            self._order()
+            self.need(")")
+        if self.t[self.i] in ("respect", "ignore") and self.t[self.i + 1] == "nulls":
+            self.i += 2
         if self.take("over"):
-            self.skip()
+            if self.t[self.i] == "(":
+                self.skip()
+            else:
+                self.name()
+
+    def need_at(self, *xs: str) -> None:
+        """What has to stand here; it is not taken."""
+        if self.t[self.i] not in xs:
+            raise Bad(str(xs))
 
     def skip(self) -> None:
         """A bracket with balanced contents."""
@@ -397,6 +432,8 @@ class S:
             else:
                 self._atom()
             self.take("percent")
+            if self.t[self.i] == "with" and self.t[self.i + 1] == "ties":
+                self.i += 2
         while True:
             if self.take("*"):
                 pass
@@ -426,13 +463,55 @@ class S:
             self.expr()
         if self.take("group"):
             self.need("by")
-            self.list_()
+            self._grouping()
+            if self.t[self.i] == "with" and self.t[self.i + 1] in ("rollup", "cube"):
+                self.i += 2
         if self.take("having"):
             self.expr()
-        if self.take("for"):
-            self.need("xml", "json", "browse")
-            while self.t[self.i] and self.t[self.i] not in (")", ";"):
-                self.i += 1
+        self._for()
+
+    def _for(self) -> None:
+        """FOR XML, JSON or BROWSE."""
+        if not self.take("for"):
+            return
+        if self.take("browse"):
+            return
+        kind = self.t[self.i]
+        self.need("xml", "json")
+        self.need(*(("raw", "auto", "path", "explicit") if kind == "xml" else ("auto", "path")))
+        self._text()
+        while self.take(","):
+            if self.take("root"):
+                self._text()
+            elif self.take("elements"):
+                self.take("xsinil", "absent")
+            elif self.take("binary"):
+                self.need("base64")
+            elif self.take("xmlschema"):
+                self._text()
+            else:
+                self.need("type", "xmldata", "include_null_values", "without_array_wrapper")
+
+    def _text(self) -> None:
+        """A string in brackets, if there is one."""
+        if self.take("("):
+            self.need("\x01")
+            self.need(")")
+
+    def _grouping(self) -> None:
+        """Elements of GROUP BY."""
+        while True:
+            if self.t[self.i] == "grouping" and self.t[self.i + 1] == "sets":
+                self.i += 2
+                self.need("(")
+                self._grouping()
+                self.need(")")
+            elif self.t[self.i] == "(" and self.t[self.i + 1] == ")":
+                self.i += 2
+            else:
+                self.expr()
+            if not self.take(","):
+                return
 
     def sources(self) -> None:
         while True:
@@ -450,10 +529,27 @@ class S:
                     self.need("on")
                     self.expr()
                     continue
+                if self.t[self.i] in ("pivot", "unpivot") and self.t[self.i + 1] == "(":
+                    self._pivot()
+                    continue
                 break
             if not self.take(","):
                 return
 
+    def _pivot(self) -> None:
+        pivot = self.t[self.i] == "pivot"
+        self.i += 2
+        self.name()
+        if pivot:
+            self._call()
+        self.need("for")
+        self.name()
+        self.need("in")
+        self.names()
+        self.need(")")
+        self.take("as")
+        self.name()
+
     def _source(self) -> None:
         if self.take("("):
             if self.t[self.i] in ("select", "with"):
@@ -469,12 +565,184 @@ class S:
                 self._call()
         if self.take("as"):
             self.name()
-        elif self.t[self.i] not in _SQL_START and self.t[self.i] not in ("with", "apply", "for", "option"):
-            self.word()
+        else:
+            self._alias()
         if self.t[self.i] == "(":
             self.names()
         if self.take("with"):
             self.skip()
+            if self.take("as"):
+                self.name()
+            else:
+                self._alias()
+
+    def _alias(self) -> None:
+        t = self.t[self.i]
+        if t not in _SQL_START and t not in ("with", "apply", "for", "option", "output", "when", "using") and not (t in ("pivot", "unpivot") and self.t[self.i + 1] == "("):
+            self.word()
+
+    def _output(self) -> None:
+        """OUTPUT clauses of statements that change rows."""
+        while self.take("output"):
+            while True:
+                if self.t[self.i] in ("inserted", "deleted") and self.t[self.i + 1 : self.i + 3] == [".", "*"]:
+                    self.i += 3
+                else:
+                    self.expr()
+                    if self.take("as"):
+                        self.name()
+                    elif self.t[self.i] not in _SQL_START and self.t[self.i] != "output":
+                        self.word()
+                if not self.take(","):
+                    break
+            if self.take("into"):
+                self.name()
+                if self.t[self.i] == "(":
+                    self.names()
+
+    def _top(self) -> None:
+        if self.take("top"):
+            self.need("(")
+            self.expr()
+            self.need(")")
+            self.take("percent")
+
+    def _where(self) -> None:
+        """WHERE of a statement that changes rows."""
+        if self.take("where"):
+            if self.t[self.i] == "current" and self.t[self.i + 1] == "of":
+                self.i += 2
+                self.take("global")
+                self.name()
+            else:
+                self.expr()
+        if self.take("option"):
+            self.skip()
+
+    def _set(self) -> None:
+        self.need("set")
+        while True:
+            self.name()
+            self.need("=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=")
+            self.expr()
+            if self.take("="):  # @variable = column = expression
+                self.expr()
+            if not self.take(","):
+                return
+
+    def _merge(self) -> None:
+        self._top()
+        self.take("into")
+        self.name()
+        if self.take("with"):
+            self.skip()
+        if self.take("as"):
+            self.name()
+        else:
+            self._alias()
+        self.need("using")
+        self._source()
+        self.need("on")
+        self.expr()
+        self.need_at("when")
+        while self.take("when"):
+            absent = self.take("not")
+            self.need("matched")
+            if self.take("by"):
+                if not absent:
+                    raise Bad("by")
+                self.need("target", "source")
+            if self.take("and"):
+                self.expr()
+            self.need("then")
+            if self.take("update"):
+                self._set()
+            elif self.take("insert"):
+                if self.t[self.i] == "(":
+                    self.names()
+                if self.take("default"):
+                    self.need("values")
+                else:
+                    self.values()
+            else:
+                self.need("delete")
+        self._output()
+        if self.take("option"):
+            self.skip()
+
+    def _permissions(self, granting: bool) -> None:
+        """GRANT, REVOKE and DENY."""
+        if not granting and self.take("grant"):
+            self.need("option")
+            self.need("for")
+        while True:
+            n = 0
+            while self.t[self.i].isalpha() and self.t[self.i] not in ("on", "to", "from"):
+                self.i += 1
+                n += 1
+            if not n:
+                raise Bad("permission")
+            if self.t[self.i] == "(":
+                self.names()
+            if not self.take(","):
+                break
+        if self.take("on"):
+            self.name()
+            if self.take("::"):
+                self.name()
+            if self.t[self.i] == "(":
+                self.names()
+        self.need("to", "from")
+        self.name()
+        while self.take(","):
+            self.name()
+        if self.take("with"):
+            self.need("grant")
+            self.need("option")
+        self.take("cascade")
+        if self.take("as"):
+            self.name()
+
+    def _backup(self, restore: bool) -> None:
+        if restore and self.take("filelistonly", "headeronly", "verifyonly", "labelonly"):
+            pass
+        else:
+            self.need("database", "log", "certificate", "master", "service", "transaction")
+            if self.t[self.i] == "key":
+                self.i += 1
+            elif self.t[self.i] not in ("to", "from"):
+                self.name()
+            while self.take(","):
+                self.take("file", "filegroup")
+                self.need("=")
+                self._atom()
+            if self.take("file", "filegroup"):
+                self.need("=")
+                self._atom()
+        if self.take("to", "from"):
+            while True:
+                if self.take("disk", "url", "tape", "file", "database_snapshot"):
+                    self.need("=")
+                    self._atom()
+                else:
+                    self.name()
+                if not self.take(","):
+                    break
+        elif not restore:
+            raise Bad("to")
+        if self.take("with"):
+            while True:
+                if not self.take("checksum", "format", "init", "compression", "differential", "replace", "recovery", "norecovery"):
+                    self.name()
+                if self.take("="):
+                    self._atom()
+                elif self.t[self.i] == "(":
+                    self.skip()
+                elif self.take("\x01"):
+                    if self.take("to"):
+                        self._atom()
+                if not self.take(","):
+                    break
 
     def values(self) -> None:
         self.need("values")
@@ -506,9 +774,13 @@ class S:
                     self.statement()
             else:
                 self.select()
+            self._for()
             if self.take("option"):
                 self.skip()
             return
+        if t and t not in _SQL_START and self.t[self.i + 1] == ":" and self.word():
+            self.i += 1  # a label
+            return
         self.i += 1
         if t == "create":
             self._create()
@@ -527,10 +799,14 @@ class S:
             self.need("table")
             self.name()
         elif t == "insert":
+            self._top()
             self.take("into")
             self.name()
+            if self.take("with"):
+                self.skip()
             if self.t[self.i] == "(" and self.t[self.i + 1] not in ("select", "with"):
                 self.names()
+            self._output()
             if self.take("default"):
                 self.need("values")
             elif self.t[self.i] == "values":
@@ -540,34 +816,46 @@ class S:
             else:
                 self.select()
         elif t == "update":
+            self._top()
             self.name()
-            self.need("set")
-            while True:
-                self.name()
-                self.need("=", "+=", "-=", "*=", "/=")
-                self.expr()
-                if not self.take(","):
-                    break
+            if self.take("with"):
+                self.skip()
+            self._set()
+            self._output()
             if self.take("from"):
                 self.sources()
-            if self.take("where"):
-                self.expr()
+            self._where()
         elif t == "delete":
+            self._top()
             self.take("from")
             self.name()
+            if self.take("with"):
+                self.skip()
+            self._output()
             if self.take("from"):
                 self.sources()
-            if self.take("where"):
-                self.expr()
+            self._where()
         elif t == "declare":
             while True:
                 self.name()
                 self.take("as")
                 if self.take("table"):
                     self._columns()
-                elif self.take("cursor"):
-                    self.need("for")
-                    self.select()
+                elif self.take("cursor", "insensitive", "scroll"):
+                    self.take("cursor")
+                    while self.take("local", "global", "forward_only", "scroll", "static", "keyset", "dynamic", "fast_forward", "read_only", "scroll_locks", "optimistic", "type_warning"):
+                        pass
+                    if self.take("for"):
+                        self.select()
+                        if self.take("for"):
+                            if self.take("read"):
+                                self.need("only")
+                            else:
+                                self.need("update")
+                                if self.take("of"):
+                                    self.name()
+                                    while self.take(","):
+                                        self.name()
                 else:
                     self.type_()
                     if self.take("="):
@@ -634,16 +922,69 @@ class S:
                 self.list_()
         elif t == "raiserror":
             self.skip()
-        elif t in ("grant", "revoke", "deny", "merge", "bulk", "backup", "restore", "waitfor", "dbcc", "open", "close", "fetch", "deallocate", "goto", "kill"):
-            n = 0
-            while self.t[self.i] and self.t[self.i] != ";":
-                if self.t[self.i] == "(":
-                    self.skip()
-                else:
-                    self.i += 1
-                n += 1
-            if not n:
+        elif t in ("grant", "revoke", "deny"):
+            self._permissions(t == "grant")
+        elif t == "merge":
+            self._merge()
+        elif t in ("backup", "restore"):
+            self._backup(t == "restore")
+        elif t == "bulk":
+            self.need("insert")
+            self.name()
+            self.need("from")
+            self.need("\x01")
+            if self.take("with"):
+                self.skip()
+        elif t == "waitfor":
+            if self.t[self.i] == "(":
+                self.skip()
+                if self.take(","):
+                    self.need("timeout")
+                    self._atom()
+            else:
+                self.need("delay", "time")
+                self._atom()
+        elif t == "dbcc":
+            self.name()
+            if self.t[self.i] == "(":
+                self.skip()
+            if self.take("with"):
+                self.name()
+                while self.take(","):
+                    self.name()
+        elif t in ("open", "close", "deallocate"):
+            self.take("global")
+            if self.take("symmetric"):
+                self.need("key")
+            self.name()
+            if self.take("decryption"):
+                self.need("by")
+                self.i += 1
+                self.name()
+        elif t == "fetch":
+            if self.take("absolute", "relative"):
+                self._atom()
+            else:
+                self.take("next", "prior", "first", "last")
+            self.take("from")
+            self.take("global")
+            self.name()
+            if self.take("into"):
+                self.name()
+                while self.take(","):
+                    self.name()
+        elif t == "goto":
+            self.name()
+        elif t == "kill":
+            if self.take("query", "stats"):
+                self.need("notification", "job")
+                self.take("subscription")
+            self.take("-")
+            if not (self.take("\x01", "all") or self.t[self.i][:1].isdigit()):
                 raise Bad(t)
+            self.i += self.t[self.i][:1].isdigit()
+            if self.take("with"):
+                self.need("statusonly", "commit", "rollback")
         else:
             raise Bad(t)
 
@@ -661,8 +1002,12 @@ class S:
         if self.take("table"):
             self.name()
             self._columns()
-            if self.take("on"):
+            while self.take("on", "textimage_on", "filestream_on"):
                 self.name()
+                if self.t[self.i] == "(":
+                    self.names()
+            if self.take("with"):
+                self.skip()
             return
         start = self.i
         while self.take("unique", "clustered", "nonclustered", "columnstore"):
@@ -801,6 +1146,10 @@ def sql_parses(s: str) -> bool:
     s = s.removeprefix("﻿")
     if "\x00" in s or "\x01" in s:
         return False
+    # what no statement begins with needs no second look
+    first = _SQL_FIRST.match(s)
+    if first and first[1].lower() not in _SQL_START and not first[1].startswith(("(", ";", "/")):
+        return False
     m = _sql_mask(s)
     if m is None:
         return False
@@ -852,7 +1201,7 @@ _FS_MASK = re.compile(
     re.X | re.S,
 )
 _FS_TOKEN = re.compile(
-    r"\[<|>\]|\[\||\|\]|[^\W\d][\w']*[!]?|'[^\W\d]\w*|\d[\w]*(?:\.(?!\.)\d*(?:[eE][-+]?\d+)?[fFmM]?)?|``[^`\n]+``|\x01|\(\)|->|<-|:>|:\?>|:\?|::|:=|\.\.|[-+*/%<>=!$&|^~?@.:]+|[(){}\[\],;_#`]|\S"
+    r"\[<|>\]|\[\||\|\]|[^\W\d][\w']*[!]?|'[^\W\d]\w*|\d[\w]*(?:\.(?!\.)\d*(?:[eE][-+]?\d+)?[fFmM]?)?(?:<[A-Za-z_](?:[\w .*/^]|-\d)*>)?|``[^`\n]+``|\x01|\(\)|->|<-|:>|:\?>|:\?|::|:=|\.\.|[-+*/%<>=!$&|^~?@.:]+|[(){}\[\],;_#`]|\S"
 )
 _FS_KEYS = frozenset(
     "abstract and as assert base begin class default delegate do done downcast downto elif else end exception extern false finally fixed for fun function global if in inherit inline interface internal lazy let match member module mutable namespace new not null of open or override private public rec return select sig static struct then to true try type upcast use val void when while with yield let! use! do! return! yield! match! const process parallel protected pure include mixin component constraint trait virtual sealed tailcall break checked".split()
@@ -987,6 +1336,15 @@ class F:
                 self.i += 1
                 self._path()
                 want = False
+            elif t == "struct" and self.t[self.i + 1] == "(":
+                self.i += 1
+                self._bracket()
+                want = False
+            elif want and t in ("<@", "<@@"):
+                self.i += 1
+                self.expr(frozenset(["@>" if t == "<@" else "@@>"]))
+                self.need("@>" if t == "<@" else "@@>")
+                want = False
             elif t == "begin":
                 self.i += 1
                 self.expr(frozenset(["end"]))
@@ -1064,7 +1422,7 @@ class F:
             self.i += 1
             return True
         if t[0].isdigit():
-            if not _FS_NUMBER.match(t):
+            if not _FS_NUMBER.match(t.split("<")[0]):
                 raise Bad(t)
             self.i += 1
             return True
@@ -1393,8 +1751,16 @@ _OPENERS = frozenset(["=", "then", "else", "->", "do", "with", "try", "finally",
 _CONTINUES = frozenset(["then", "else", "elif", "with", "finally", "|", ")", "]", "}", "|]", "and", "|>", "||>", ">>", "||", "&&", "<|", "@", "+", "*", "/", "::", "end", ">]", "done", "->", "<>", "=", "-", ".", "?", "of", "in", "do"])
 
 
+#: Type arguments right behind a name, without arrows; nested ones from the inside.
+_FS_APPLIED = re.compile(r"(?<=[\w'])<[ ]?(?:[A-Za-z_'^#(\[*][\w .,*'^#()\[\]:;|?]*|_)>(?![>\w])")
+
+
 def _lines(m: str) -> list[tuple[int, list[str]]] | None:
     out = []
+    if "<" in m:
+        last = ""
+        while last != m:
+            last, m = m, _FS_APPLIED.sub("", m)
     for line in m.split("\n"):
         t = line.strip()
         if not t:
@@ -1499,7 +1865,7 @@ def _type_body(body: list[tuple[int, list[str]]], toks: list[str]) -> None:
         elif x in (")", "]", "}", "|]", ">]"):
             if not depth or depth.pop() != x:
                 raise Bad(x)
-        elif x[0].isdigit() and not _FS_NUMBER.match(x):
+        elif x[0].isdigit() and not _FS_NUMBER.match(x.split("<")[0]):
             raise Bad(x)
     if depth:
         raise Bad("type")
@@ -1603,12 +1969,23 @@ def _members(lines: list[tuple[int, list[str]]]) -> None:
         raise Bad("attribute")
 
 
+#: A first line without literals behind comments of one line, and the word that begins the next.
+_FS_FIRST = re.compile(r"(?:[ ]*(?://[^\n]*)?\n)*([ ]*)([A-Za-z_][^\n\"'\t#`]*)\n(?:[ ]*\n)*([ ]*)([A-Za-z_]\w*)")
+
+
 def fs_parses(s: str) -> bool:
     """Whether a text is syntactically valid F#; an empty one is."""
     s = s.lstrip("﻿")
     if "\x00" in s or "\x01" in s or "\x02" in s:
         return False
-    m = _fs_mask(s.replace("\r\n", "\n"))
+    s = s.replace("\r\n", "\n")
+    # declarations are checked one by one, so a first line that is a whole bad one decides
+    if (m := _FS_FIRST.match(s)) and len(m[3]) <= len(m[1]) and m[4] not in _CONTINUES and "(*" not in m[2] and "//" not in m[2]:
+        try:
+            _declarations([(len(m[1]), _FS_TOKEN.findall(m[2].strip()))], True)
+        except (Bad, IndexError, RecursionError):
+            return False
+    m = _fs_mask(s)
     if m is None:
         return False
     lines = _lines(m)
@@ -1626,7 +2003,7 @@ def fs_parses(s: str) -> bool:
                     return False
             elif x[0] == "`" and len(x) < 5:
                 return False
-    if depth:
+    if depth or lines[0][1][0] == "and":
         return False
     try:
         return _declarations(lines, True) > 0

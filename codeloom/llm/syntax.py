@@ -1,11 +1,10 @@
 """Source files that do not parse, per file and as rates per repository and language.
 
-Each text is ranked against all supported grammars by its tokens and parsed in
-that order. If the best-ranked grammar fails, all others are tried, so a text
-that only a foreign grammar reads has a wrong extension and one that none reads
-is corrupt. The contents are not shuffled: verdicts of a few bytes meet the
-files' languages, and only texts whose own grammar was not among those tried
-are read a second time.
+Each text is ranked against all supported grammars by its tokens and parsed by
+every one of them in that order, so a text that only foreign grammars read has a
+wrong extension, the best-ranked of them being what it is, and one that none
+reads is corrupt. The contents are not shuffled: verdicts of a few bytes meet
+the files' languages.
 
 Defined results: a file without content, or with null content, has no verdict;
 repeated rows count once; of several different contents of a file each must
@@ -22,7 +21,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codeloom.llm import grammar_cs, grammar_other
-from codeloom.sources.tables import Scratch
 
 GRAMMARS = {
     "cs": grammar_cs.parses,
@@ -52,13 +50,10 @@ def ranked(s: str) -> list[str]:
     return sorted(GRAMMARS, key=lambda g: (-score[g], list(GRAMMARS).index(g)))
 
 
-def reads(s: str) -> tuple[int, int]:
-    """(grammars tried, grammars that read the text) as bits: the best-ranked one, and all if it fails."""
-    order = ranked(s)
-    if GRAMMARS[order[0]](s):
-        return BITS[order[0]], BITS[order[0]]
-    good = sum(BITS[g] for g in order[1:] if GRAMMARS[g](s))
-    return sum(BITS.values()), good
+def reads(s: str) -> tuple[int, str | None]:
+    """(grammars that read the text as bits, the best-ranked of them); every grammar is tried."""
+    good = [g for g in ranked(s) if GRAMMARS[g](s)]
+    return sum(BITS[g] for g in good), good[0] if good else None
 
 
 def own_grammar(lang: Column, path: Column) -> Column:
@@ -80,19 +75,13 @@ def _bit(grammar: Column) -> Column:
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame([(i, *reads(s)) for i, s in zip(b["file_id"], b["content"])], columns=["file_id", "tried", "good"])
-
-
-def _again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield pd.DataFrame([(i, g, GRAMMARS[g](s)) for i, g, s in zip(b["file_id"], b["grammar"], b["content"])], columns=["file_id", "grammar", "ok"])
+        yield pd.DataFrame([(i, *reads(s)) for i, s in zip(b["file_id"], b["content"])], columns=["file_id", "good", "reads_as"])
 
 
 def verdicts(files: DataFrame, contents: DataFrame) -> DataFrame:
-    """(file_id, lang, repo, grammar, verdict) of each file with content and a grammar: 'ok', 'wrong extension' or 'corrupt'."""
+    """(file_id, lang, repo, grammar, verdict, reads_as) of each file with content and a grammar: 'ok', 'wrong extension' or 'corrupt'; of a wrong extension what the text reads as."""
     texts = contents.select(F.col("file_id").cast("long").alias("file_id"), "content").where("file_id is not null and content is not null")
-    scratch = Scratch(files.sparkSession, "syntax")
-    seen = scratch.cut(texts.mapInPandas(_scan, "file_id long, tried int, good int").distinct())
+    seen = texts.mapInPandas(_scan, "file_id long, good int, reads_as string").distinct()
     f = (
         files.where("id is not null")
         .groupBy(F.col("id").alias("id"))
@@ -101,19 +90,11 @@ def verdicts(files: DataFrame, contents: DataFrame) -> DataFrame:
         .where("grammar is not null")
     )
     j = seen.join(f, seen["file_id"] == f["id"]).withColumn("bit", _bit(F.col("grammar")))
-    cols = ["file_id", "lang", "repo", "grammar", "verdict"]
-    verdict = F.when(F.col("good").bitwiseAND(F.col("bit")) != 0, "ok").when(F.col("good") != 0, "wrong extension").otherwise("corrupt")
-    known = j.where(F.col("tried").bitwiseAND(F.col("bit")) != 0).select(*cols[:4], verdict.alias("verdict"))
-    open_ = j.where(F.col("tried").bitwiseAND(F.col("bit")) == 0)
-    # written, so that the planner knows its size and moves the contents only if it is large
-    left = scratch.cut(open_.select(F.col("file_id").alias("o_id"), "grammar").distinct())
-    second = texts.join(left, texts["file_id"] == left["o_id"]).select("file_id", "grammar", "content").mapInPandas(_again, "file_id long, grammar string, ok boolean")
-    second = second.groupBy(F.col("file_id").alias("s_id"), F.col("grammar").alias("s_grammar")).agg(F.min("ok").alias("ok"))
-    late = open_.join(second, (open_["file_id"] == second["s_id"]) & (open_["grammar"] == second["s_grammar"])).select(*cols[:4], F.when(F.col("ok"), "ok").otherwise("wrong extension").alias("verdict"))
-    # the worst verdict of a file counts: corrupt < ok < wrong extension has no order, so rank them
-    rank = F.when(F.col("verdict") == "corrupt", 2).when(F.col("verdict") == "wrong extension", 1).otherwise(0)
-    worst = known.unionByName(late).groupBy(*cols[:4]).agg(F.max(rank).alias("rank"))
-    return worst.select(*cols[:4], F.when(F.col("rank") == 2, "corrupt").when(F.col("rank") == 1, "wrong extension").otherwise("ok").alias("verdict"))
+    # the worst verdict of a file's contents counts
+    rank = F.when(F.col("good").bitwiseAND(F.col("bit")) != 0, 0).when(F.col("good") != 0, 1).otherwise(2)
+    worst = j.groupBy("file_id", "lang", "repo", "grammar").agg(F.max(F.struct(rank.alias("rank"), "reads_as")).alias("v"))
+    verdict = F.when(F.col("v.rank") == 2, "corrupt").when(F.col("v.rank") == 1, "wrong extension").otherwise("ok")
+    return worst.select("file_id", "lang", "repo", "grammar", verdict.alias("verdict"), F.when(F.col("v.rank") == 1, F.col("v.reads_as")).alias("reads_as"))
 
 
 def rates(verdict: DataFrame) -> DataFrame:

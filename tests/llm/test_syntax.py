@@ -185,3 +185,166 @@ def test_fs_type_bodies():
 )
 def test_fs_broken_type_bodies(old, new):
     assert old in FS_TYPES and not G.fs_parses(FS_TYPES.replace(old, new, 1))
+
+
+# constructs of the languages that are used less often, and texts that only look like them
+CS_MORE = [
+    'class A<T> where T : class?, new() { }',
+    'class A { void M() { var a = stackalloc int[] {1,2}; } }',
+    'class A { void M() { switch (x) { case { A: > 3, B.C: null }: break; } } }',
+    'class A { void M() { var z = x switch { var q when q.A => 6, _ => 1 }; } }',
+    'class A { void M() { var z = x is [var y, .. var z2]; } }',
+    'class A { void M() { var z = x switch { [var y, .. var w] => 1, [] => 2, [1, .., 3] => 4 }; } }',
+    'unsafe class A { delegate* unmanaged[Cdecl]<int, void> f; delegate*<int, int> g; }',
+    'class A<T> where T : allows ref struct { }',
+    'class A { void M<T>() where T : IDisposable, allows ref struct { } }',
+    'class A { void M() { int[] a = [1, .. b, 2]; } }',
+    'class A { void M() { foreach (var (a, b) in c) { } } }',
+    'class A { void M() { var (a, b) = (1, 2); } }',
+    'file class A { required public int X { get; init; } }',
+    'class A { void M() { var s = $"""x {y} z"""; } }',
+    'class A { void M() { if (x is not null and { Length: > 3 }) return; } }',
+    'class A { void M() { await foreach (var x in y) { } } }',
+    'class A { void M() { using var a = b; } }',
+    'record A(int X) : B(X);',
+    'public readonly record struct P(int X, int Y);',
+    'class A { void M() { var f = static (int x) => x; } }',
+    'class A { void M() { x ??= new(); } }',
+    'class A { void M() { y = x with { A = 1 }; } }',
+    'class A { void M() { goto case 1; } }',
+    'class A { void M() { Span<int> s = stackalloc int[3]; } }',
+    'class A { void M() { ref readonly var q = ref x; } }',
+    'class A(int x) { int Y => x; }',
+    'class A { void M() { var t = (a: 1, b: 2); } }',
+    'namespace A; class B { }',
+    'class A { public static A operator +(A a, A b) => a; public static explicit operator checked int(A a) => 1; }',
+    'class A { event Action E { add { } remove { } } int this[int i] => i; ~A() { } }',
+    'extern alias X; using static System.Math; class A { }',
+    'class A { void M() { lock (x) { } checked { } unsafe { fixed (int* p = a) { } } } }',
+    'class A { void M() { var x = from a in b where a > 1 orderby a descending group a by a.X into g select g; } }',
+    'interface I { static abstract int M(); }',
+    'class A { void M() { using (var x = y) { } } }',
+    '[assembly: A(1)]\nclass B { }',
+    'partial class A { partial int X { get; } }',
+]
+FS_MORE = [
+    'let rec f x = g x\nand g x = f x\n',
+    'let a = struct (1, 2)\n',
+    'let q = <@ 1 + 2 @>\n',
+    'let q = <@@ 1 @@>\n',
+    'let d = 3.0<m>\n',
+    'let d = 3<kg/m^2>\n',
+    '[<Measure>] type m\n',
+    'let rec f x =\n    g x\nand g x =\n    f x\n',
+    'let f (struct (a, b)) = a\n',
+    'let x = if a then b else c\n',
+    'let f = function\n    | 1 -> 2\n    | _ -> 3\n',
+    'let s = seq { for x in 1 .. 3 do yield x }\n',
+    'let a = async {\n    let! x = y\n    return x\n}\n',
+    'let (|A|B|) x = if x then A else B\n',
+    'type A =\n    | B of int\n    | C\n    with member x.Y = 1\n',
+    'let inline f< ^T when ^T : (static member M : int)> x = x\n',
+    'let x = { a with B = 1 }\n',
+    'let o = { new IDisposable with member _.Dispose() = () }\n',
+    'let x = query { for a in b do where (a > 1) select a }\n',
+    'let f x = x |> List.map (fun y -> y + 1)\n',
+    'let x = a.[1]\nlet y = a[1]\nlet z = a.[1..2]\n',
+    'let mutable x = 1\nx <- 2\n',
+    'let x = $"a {b} c"\n',
+    'module A =\n    let x = 1\n',
+    'let f (x: int, ?y: string) = x\n',
+    'let f x = try g x with | :? E as e -> 1 | _ -> 2\n',
+    'let a = typeof<int>\n',
+    'let a = &&x\n',
+    'type R = struct\n    val X: int\nend\n',
+    'let a, b = 1, 2\n',
+    'let x = lazy (1)\n',
+    'let f = (+) 1\n',
+    'let x = 1 :> obj\n',
+    'let f x : int = x\n',
+    'type A() =\n    let x = 1\n    do printfn ""\n    member val P = 1 with get, set\n    static member M(x) = x\n    abstract Q : int -> int\n    default _.Q x = x\n    interface I with\n        member _.Z = 1\n',
+    'exception E of string\n',
+]
+SQL_MORE = [
+    "SELECT a FROM t FOR XML PATH('');",
+    'SELECT * FROM t PIVOT (SUM(x) FOR y IN ([a], [b])) AS p;',
+    'SELECT * FROM t UNPIVOT (v FOR c IN (a, b)) u;',
+    "SELECT * FROM OPENJSON(@j) WITH (a int '$.a', b nvarchar(max) AS JSON) x;",
+    'UPDATE t SET a = 1 OUTPUT inserted.a INTO @x FROM t JOIN u ON t.i = u.i WHERE b = 2;',
+    'DELETE TOP (10) FROM t WHERE a = 1;',
+    'SELECT a, SUM(b) FROM t GROUP BY GROUPING SETS ((a), ());',
+    'SELECT a, SUM(b) FROM t GROUP BY a WITH ROLLUP;',
+    'SELECT TOP 10 PERCENT WITH TIES a FROM t ORDER BY a;',
+    "SELECT STRING_AGG(a, ',') WITHIN GROUP (ORDER BY a) FROM t;",
+    "SELECT a AT TIME ZONE 'UTC' FROM t;",
+    'DECLARE c CURSOR FAST_FORWARD FOR SELECT a FROM t; OPEN c; FETCH NEXT FROM c INTO @a; CLOSE c; DEALLOCATE c;',
+    'MERGE t AS x USING (SELECT 1 AS a) AS s ON x.a = s.a WHEN MATCHED AND x.b > 1 THEN UPDATE SET b = 2 WHEN NOT MATCHED BY TARGET THEN INSERT (a) VALUES (s.a) WHEN NOT MATCHED BY SOURCE THEN DELETE OUTPUT $action, inserted.a;',
+    "BACKUP DATABASE d TO DISK = 'x' WITH INIT, COMPRESSION;",
+    'KILL 53;',
+    'GRANT SELECT, INSERT ON dbo.t TO u WITH GRANT OPTION;',
+    "WAITFOR DELAY '00:00:05';",
+    "DBCC CHECKDB ('x') WITH NO_INFOMSGS;",
+    "RESTORE DATABASE d FROM DISK = 'x' WITH REPLACE;",
+    "BULK INSERT t FROM 'f' WITH (FIELDTERMINATOR = ',');",
+    'GOTO done;',
+    'REVOKE EXECUTE ON dbo.p FROM u;',
+    'SELECT SUM(a) OVER (PARTITION BY b ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) FROM t;',
+    'INSERT INTO t (a) OUTPUT inserted.a VALUES (1);',
+    'DELETE t OUTPUT deleted.a FROM t INNER JOIN u ON t.i=u.i;',
+    "SELECT IIF(a>1, 'x', 'y'), TRY_CAST(a AS int) FROM t WITH (NOLOCK);",
+    'ALTER INDEX i ON t REBUILD;',
+    'CREATE TABLE t (a int NOT NULL PRIMARY KEY, b AS (a*2) PERSISTED, INDEX ix (a)) WITH (DATA_COMPRESSION = PAGE);',
+    'SELECT a FROM t ORDER BY a OFFSET 10 ROWS FETCH NEXT 5 ROWS ONLY OPTION (RECOMPILE);',
+    'TRUNCATE TABLE t;',
+    'SELECT * FROM t CROSS APPLY (SELECT TOP 1 * FROM u WHERE u.i = t.i) x;',
+    'DECLARE @t TABLE (a int); SET NOCOUNT ON; EXEC sp_x @a = 1, @b OUTPUT;',
+    'SELECT a FROM t GROUP BY CUBE (a, b) HAVING COUNT(*) > 1;',
+    'SELECT NEXT VALUE FOR s;',
+    "IF EXISTS (SELECT 1 FROM t) BEGIN PRINT 'x'; END ELSE PRINT 'y';",
+    'UPDATE TOP (5) x SET a = 1 FROM t AS x;',
+    'CREATE OR ALTER PROCEDURE p @a int = 1 AS BEGIN SET NOCOUNT ON; SELECT @a; END',
+    'CREATE TRIGGER tr ON t AFTER INSERT AS SELECT 1;',
+    'CREATE TYPE dbo.x AS TABLE (a int);',
+    "SELECT a.value('(/x)[1]', 'int') FROM t;",
+    'FETCH NEXT FROM c;',
+    'SET TRANSACTION ISOLATION LEVEL READ COMMITTED;',
+    'SET IDENTITY_INSERT t ON;',
+]
+BADSQL_MORE = [
+    'MERGE t USING 1 2 3 potato WHEN;',
+    'BACKUP zzz zzz 1 2 3',
+    'KILL x y z',
+    'GRANT 1 2 3;',
+    'WAITFOR potato;',
+    'MERGE t USING s ON a = b;',
+    'RESTORE;',
+    'FETCH 1 2 3 potato;',
+    'DBCC;',
+    'SELECT a FROM t FOR XML potato potato;',
+    'DEALLOCATE 1 2;',
+]
+BADFS_MORE = [
+    'let a = <@ 1 +\n',
+    'let d = 3.0<\n',
+    'let a = struct\n',
+    'and g x = 1\n',
+]
+BADCS_MORE = [
+    'class A<T> where T : { }',
+    'class A { void M() { case { A: > }: break; } }',
+    'class A { void M() { var a = stackalloc; } }',
+    'class A { void M() { var z = x switch { var q when => 6 }; } }',
+    'class A { void M() { x = [var y, ..; } }',
+]
+
+
+@pytest.mark.parametrize("parse,texts,valid", [(grammar_cs.parses, CS_MORE, True), (G.fs_parses, FS_MORE, True), (G.sql_parses, SQL_MORE, True), (grammar_cs.parses, BADCS_MORE, False), (G.fs_parses, BADFS_MORE, False), (G.sql_parses, BADSQL_MORE, False)])
+def test_further_constructs(parse, texts, valid):
+    assert [t for t in texts if parse(t) is not valid] == []
+
+
+def test_every_grammar_is_tried():
+    assert syntax.reads('{"a": 1}')[1] == "json" and syntax.reads("<a/>") == (syntax.BITS["xml"], "xml")
+    good, best = syntax.reads("")
+    assert good == syntax.BITS["cs"] | syntax.BITS["sql"] | syntax.BITS["fs"]
+    assert syntax.reads("class A {") == (0, None)
