@@ -1,8 +1,11 @@
 """Encoding of a corpus with a public byte-level BPE, each shared chunk encoded once.
 
 Texts are cut where a rolling hash of the last characters says so, so equal
-passages of different texts fall into equal chunks wherever they stand. Distinct
-chunks are encoded once and joined back. A cut may run through what the
+passages of different texts fall into equal chunks wherever they stand. The keys
+of all chunks are counted first; a filter of bounded size of those that occur more
+than once goes to all workers. A chunk that is not in it is encoded where its
+text lies; of the others the texts meet, are encoded once each, and only these
+encodings travel to the texts that hold them. A cut may run through what the
 tokenizer's pre-splitter takes as one piece; therefore each join is repaired: the
 pieces at a chunk's end that more text could change are split and encoded again
 together with what follows, until the new pieces end where a piece of the next chunk ends. From
@@ -22,16 +25,24 @@ import functools
 import hashlib
 import importlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from codeloom.llm.rows import one_text_each
+from codeloom.sources.tables import Scratch
+
 #: Characters in the rolling hash, and the mean length of a chunk less the shortest one. Fixed so that equal passages are cut alike everywhere.
 WINDOW, MEAN, SHORTEST, LONGEST = 12, 192, 64, 1024
 #: Characters from its start that may decide a piece, beyond those it takes: contractions need three.
 LOOK = 4
+#: Bits of the filter of shared chunks: so many each, between these bounds. A full filter lets all chunks through, which costs time and changes nothing.
+FILTER_BITS, FILTER_LEAST, FILTER_MOST = 16, 1 << 16, 1 << 26
+#: Characters that are cut at once.
+STRETCH = 2_000_000
 #: Pieces whose ids a worker remembers; a bound on memory only.
 REMEMBERED = 200_000
 
@@ -50,19 +61,22 @@ def _codec(vocabulary: str, pattern: str | None):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(vocabulary).read_bytes().splitlines())}
     pattern = pattern or importlib.import_module("public_tokenizers").PATTERN
     encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    known: dict[str, list[int]] = {}
-
-    def encode(piece: str) -> list[int]:
-        ids = known.get(piece)
-        if ids is None:
-            ids = encoding.encode_ordinary(piece)
-            if len(known) >= REMEMBERED:
-                known.clear()
-            if len(piece) <= 64:
-                known[piece] = ids
-        return ids
+    return regex.compile(pattern), _Pieces(encoding.encode_ordinary)
+
+
+class _Pieces(dict):
+    """Ids by piece; what is not remembered is encoded."""
+
+    def __init__(self, encode):
+        self.encode = encode
 
-    return regex.compile(pattern), encode
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self.encode(piece)
+        if len(piece) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -70,61 +84,80 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 def cuts(s: str) -> list[int]:
     """Ends of the chunks of a text: content-defined, at least SHORTEST and at most LONGEST characters apart."""
-    n = len(s)
-    if n <= SHORTEST:
-        return [n] if n else []
-    codes = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    return cuts_of([s])[0]
+
+
+def cuts_of(texts: list[str]) -> list[list[int]]:
+    """The cuts of several texts, hashed in one go; texts are set apart by places that hash to nothing."""
+    gap = WINDOW - 1
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    starts = np.concatenate(([0], np.cumsum(lengths + gap)))[:-1]
+    codes = np.frombuffer(("\0" * gap).join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    n = len(codes)
     with np.errstate(over="ignore"):
         mixed = (codes + np.uint64(1)) * _MULTIPLIER
         mixed ^= mixed >> np.uint64(29)
+        if len(texts) > 1:
+            mixed[((starts + lengths)[:-1, None] + np.arange(gap)).ravel()] = 0
         # a sum over the window of each character's hash times a power of its age
         h = np.zeros(n, dtype=np.uint64)
-        for k in range(WINDOW):
+        for k in range(min(WINDOW, n)):
             h[k:] += mixed[: n - k] * np.uint64(pow(0xBF58476D1CE4E5B9, k + 1, 1 << 64))
         h ^= h >> np.uint64(32)
         h *= _MULTIPLIER
     at = np.flatnonzero((h >> np.uint64(40)) % np.uint64(MEAN) == 0) + 1
-    out, last = [], 0
-    for p in at.tolist():
-        while p - last > LONGEST:
+    bounds = np.searchsorted(at, np.stack([starts, starts + lengths], axis=1), side="right").tolist()
+    out = []
+    for k, size in enumerate(lengths.tolist()):
+        if size <= SHORTEST:
+            out.append([size] if size else [])
+            continue
+        a, b = bounds[k]
+        ends, last = [], 0
+        for p in (at[a:b] - starts[k]).tolist():
+            while p - last > LONGEST:
+                last += LONGEST
+                ends.append(last)
+            if p - last >= SHORTEST:
+                ends.append(p)
+                last = p
+        while size - last > LONGEST:
             last += LONGEST
-            out.append(last)
-        if p - last >= SHORTEST:
-            out.append(p)
-            last = p
-    while n - last > LONGEST:
-        last += LONGEST
-        out.append(last)
-    if last < n:
-        out.append(n)
+            ends.append(last)
+        if last < size:
+            ends.append(size)
+        out.append(ends)
     return out
 
 
+def chunked(texts: list[str]) -> Iterator[list[str]]:
+    """The chunks of each text, a stretch of texts at a time."""
+    group: list[str] = []
+    size = 0
+    for k, s in enumerate(texts):
+        group.append(s)
+        size += len(s)
+        if size >= STRETCH or k == len(texts) - 1:
+            for t, ends in zip(group, cuts_of(group)):
+                yield [t[a:b] for a, b in zip([0, *ends], ends)]
+            group, size = [], 0
+
+
 def chunks(s: str) -> list[str]:
-    out, last = [], 0
-    for p in cuts(s):
-        out.append(s[last:p])
-        last = p
-    return out
+    return next(chunked([s]))
 
 
 def encode_chunk(text: str, vocabulary: str, pattern: str | None = None) -> tuple[list[int], list[int], list[int]]:
     """(ids, ends of the pieces in characters, ids of each piece) of a chunk on its own."""
-    split, encode = _codec(vocabulary, pattern)
-    ids: list[int] = []
-    ends: list[int] = []
-    counts: list[int] = []
-    for m in split.finditer(text):
-        piece = encode(m[0])
-        ids += piece
-        ends.append(m.end())
-        counts.append(len(piece))
-    return ids, ends, counts
+    split, known = _codec(vocabulary, pattern)
+    pieces = split.findall(text)
+    parts = [known[p] for p in pieces]
+    return list(chain.from_iterable(parts)), list(accumulate(map(len, pieces))), list(map(len, parts))
 
 
 def join_chunks(texts: list[str], parts: list[tuple[list[int], list[int], list[int]]], vocabulary: str, pattern: str | None = None) -> list[int]:
     """Ids of the joined text from those of its chunks, repaired at every join."""
-    split, encode = _codec(vocabulary, pattern)
+    split, known = _codec(vocabulary, pattern)
     out: list[int] = []
     carry = ""  # text of the piece that touches the last join, not yet encoded for good
     tried = 0  # length at which the repair last met no end; a piece over many chunks is tried again at twice that
@@ -147,7 +180,7 @@ def join_chunks(texts: list[str], parts: list[tuple[list[int], list[int], list[i
                     # the next join may change it: everything from its start waits
                     at = m.start()
                     break
-                out += encode(m[0])
+                out += known[m[0]]
                 i = stops.get(at)
                 if i is not None and at < len(whole):
                     skip, agreed = i + 1, True
@@ -167,7 +200,7 @@ def join_chunks(texts: list[str], parts: list[tuple[list[int], list[int], list[i
         carry = "" if k == last else text[ends[stop - 1] if stop else 0 :]
     if carry:
         for m in split.finditer(carry):
-            out += encode(m[0])
+            out += known[m[0]]
     return out
 
 
@@ -192,28 +225,89 @@ def unpack(b: bytes) -> tuple[str, tuple[list[int], list[int], list[int]]]:
     return b[at:].decode("utf-8", "surrogatepass"), (ids.tolist(), np.cumsum(lengths, dtype=np.int64).tolist(), counts.tolist())
 
 
-def chunk_key(chunk: str) -> bytes:
-    """128 bits of SHA-256: what stands for a chunk in joins."""
-    return hashlib.sha256(chunk.encode("utf-8", "surrogatepass")).digest()[:16]
+def chunk_key(chunk: str) -> tuple[int, int]:
+    """128 bits of SHA-256 as two numbers: what stands for a chunk in counts and joins."""
+    d = hashlib.sha256(chunk.encode("utf-8", "surrogatepass")).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:16], "little", signed=True)
+
+
+def _filter_places(ka, kb, bits: int) -> list:
+    """Three places of a key in a filter of `bits` bits, a power of two; for columns and for arrays of numbers."""
+    if isinstance(ka, np.ndarray):
+        m = np.int64(bits - 1)
+        return [ka & m, kb & m, (ka >> np.int64(32)) & m]
+    m = F.lit(bits - 1).cast("long")
+    return [ka.bitwiseAND(m), kb.bitwiseAND(m), F.shiftright(ka, 32).bitwiseAND(m)]
+
+
+def _shared_filter(shared: DataFrame) -> tuple[int, bytes]:
+    """(bits, filter) of the keys of shared chunks; of bounded size, so it may go to the driver and from there to all workers."""
+    n = shared.count()
+    bits = min(FILTER_MOST, max(FILTER_LEAST, 1 << (n * FILTER_BITS - 1).bit_length() if n else 0))
+    places = shared.select(F.explode(F.array(*_filter_places(F.col("ka"), F.col("kb"), bits))).alias("at"))
+    # the engine's buckets and positions count from one
+    one = F.col("at") + 1
+    rows = places.groupBy((F.bitmap_bucket_number(one) - 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("map"))
+    out = bytearray(bits // 8)
+    size = 4096
+    for r in rows.collect():
+        at = r["bucket"] * size
+        out[at : at + size] = bytes(r["map"])
+    return bits, bytes(out)
+
+
+def _in_filter(keys: list[tuple[int, int]], bits: int, filter_: np.ndarray) -> list[bool]:
+    if not keys:
+        return []
+    k = np.array(keys, dtype=np.int64)
+    hit = np.ones(len(k), dtype=bool)
+    for at in _filter_places(k[:, 0], k[:, 1], bits):
+        hit &= (filter_[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return hit.tolist()
 
 
 def encoded(documents: DataFrame, vocabulary: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids) of each document.
 
     `vocabulary` is a path that every executor can read; by default each
-    machine's own copy of the public tokenizers. Chunks travel twice as text,
-    once to meet their copies and once, encoded and packed, to their documents;
-    what joins the two are keys of 16 bytes.
+    machine's own copy of the public tokenizers.
     """
     path = vocabulary or default_vocabulary()
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(s: pd.Series) -> pd.Series:
-        return s.map(chunks)
-
-    @F.pandas_udf(T.ArrayType(T.BinaryType()))
-    def cut_keys(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: [chunk_key(c) for c in chunks(x)])
+    spark = documents.sparkSession
+    scratch = Scratch(spark, "tokens")
+    kind = dict(documents.dtypes)[id_col]
+
+    def count_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys = [chunk_key(c) for part in chunked(b["s"].tolist()) for c in part]
+            yield pd.DataFrame(keys, columns=["ka", "kb"], dtype="int64")
+
+    docs = one_text_each(documents, id_col, text_col, scratch, kind)
+    some = docs.where("s is not null and s <> ''")
+    counts = some.select("s").mapInPandas(count_keys, "ka long, kb long").groupBy("ka", "kb").agg(F.count("*").alias("n"))
+    bits, filter_ = _shared_filter(scratch.cut(counts.where("n > 1").select("ka", "kb")))
+    sent = spark.sparkContext.broadcast(filter_)
+
+    def in_place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = np.frombuffer(sent.value, dtype=np.uint8)
+        for b in batches:
+            texts = b["s"].tolist()
+            every = list(chunked(texts))
+            keys = [chunk_key(c) for part in every for c in part]
+            hits = _in_filter(keys, bits, known)
+            rows, at = [], 0
+            for part in every:
+                hit, key = hits[at : at + len(part)], keys[at : at + len(part)]
+                at += len(part)
+                if not any(hit):
+                    rows.append((join_chunks(part, [encode_chunk(c, path, pattern) for c in part], path, pattern), None, None))
+                    continue
+                own = [{"place": k, "packed": pack(c, *encode_chunk(c, path, pattern))} for k, c in enumerate(part) if not hit[k]]
+                holes = [{"place": k, "ka": key[k][0], "kb": key[k][1], "chunk": c} for k, c in enumerate(part) if hit[k]]
+                rows.append((None, own, holes))
+            out = pd.DataFrame(rows, columns=["ids", "own", "holes"])
+            out.insert(0, "i", b["i"])
+            yield out
 
     @F.pandas_udf(T.BinaryType())
     def encode(chunk: pd.Series) -> pd.Series:
@@ -227,13 +321,16 @@ def encoded(documents: DataFrame, vocabulary: str | None = None, pattern: str |
             out.append(join_chunks([t for t, _ in both], [e for _, e in both], path, pattern))
         return pd.Series(out, dtype="object")
 
-    docs = documents.groupBy(F.col(id_col).alias("d_id")).agg(F.max(text_col).alias("d_text"))
-    some = docs.where("d_text is not null and d_text <> ''")
-    places = some.select("d_id", F.posexplode(cut_keys("d_text")).alias("place", "key"))
-    # equal chunks meet map-side first; the encoder keeps their partitioning, so the join does not move them again
-    distinct = some.select(F.explode(cut("d_text")).alias("chunk")).groupBy(F.expr("substring(unhex(sha2(chunk, 256)), 1, 16)").alias("m_key")).agg(F.min("chunk").alias("chunk"))
-    made = distinct.select("m_key", encode("chunk").alias("packed"))
-    full = places.join(made, places["key"] == made["m_key"]).select("d_id", F.struct("place", "packed").alias("part"))
-    whole = full.groupBy("d_id").agg(F.array_sort(F.collect_list("part")).alias("parts")).select(F.col("d_id").alias(id_col), joined("parts").alias("ids"))
-    none = docs.where("d_text is null or d_text = ''").select(F.col("d_id").alias(id_col), F.array().cast("array<int>").alias("ids"))
-    return whole.unionByName(none)
+    first = scratch.cut(some.mapInPandas(in_place, f"i {kind}, ids array<int>, own array<struct<place: int, packed: binary>>, holes array<struct<place: int, ka: bigint, kb: bigint, chunk: string>>"))
+    whole = first.where("ids is not null").select("i", "ids")
+    open_ = first.where("ids is null")
+    holes = open_.select("i", F.explode("holes").alias("h"))
+    # each shared chunk is encoded once; written, so that the planner knows the size and can split a hot key of the other side
+    texts = holes.groupBy(F.col("h.ka").alias("m_ka"), F.col("h.kb").alias("m_kb")).agg(F.min("h.chunk").alias("chunk"))
+    made = scratch.cut(texts.select("m_ka", "m_kb", encode("chunk").alias("packed")))
+    asked = holes.select("i", F.col("h.place").alias("place"), F.col("h.ka").alias("ka"), F.col("h.kb").alias("kb"))
+    filled = asked.join(made, (asked["ka"] == made["m_ka"]) & (asked["kb"] == made["m_kb"])).select("i", F.struct("place", "packed").alias("part"))
+    parts = open_.select("i", F.explode("own").alias("part")).unionByName(filled)
+    mended = parts.groupBy("i").agg(F.array_sort(F.collect_list("part")).alias("parts")).select("i", joined("parts").alias("ids"))
+    none = docs.where("s is null or s = ''").select("i", F.array().cast("array<int>").alias("ids"))
+    return whole.unionByName(mended).unionByName(none).select(F.col("i").alias(id_col), "ids")
