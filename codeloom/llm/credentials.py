@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from codeloom.llm.lexer import Token, lex, overwrite
+from codeloom.llm.rows import spread
 
 
 class Found(NamedTuple):
@@ -467,7 +468,7 @@ def credentials(contents: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["file_id", "line_no", "start_char", "end_char", "kind"])
 
     found = contents.select(F.col("file_id").cast("long").alias("file_id"), "content").where("content is not null and content <> ''")
-    return found.mapInPandas(scan, "file_id long, line_no long, start_char long, end_char long, kind string").distinct()
+    return spread(found).mapInPandas(scan, "file_id long, line_no long, start_char long, end_char long, kind string").distinct()
 
 
 def redacted(contents: DataFrame) -> DataFrame:
@@ -477,4 +478,4 @@ def redacted(contents: DataFrame) -> DataFrame:
     def clean(s: pd.Series) -> pd.Series:
         return s.map(lambda x: redact(x) if x else x)
 
-    return contents.select("file_id", clean("content").alias("content"))
+    return spread(contents.select("file_id", "content")).select("file_id", clean("content").alias("content"))

@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from codeloom.llm.rows import spread
 from codeloom.sources.tables import Scratch
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
@@ -213,7 +214,7 @@ def labels(files: DataFrame, contents: DataFrame, langs: tuple[str, ...] = LANGS
     spark = files.sparkSession
     scratch = Scratch(spark, "provenance")
     texts = contents.select(F.col("file_id").cast("long").alias("file_id"), "content").where("file_id is not null and content is not null")
-    seen = texts.mapInPandas(_scan, "file_id long, generated double, minified double, vendored double, blob double, home string")
+    seen = spread(texts).mapInPandas(_scan, "file_id long, generated double, minified double, vendored double, blob double, home string")
     seen = seen.groupBy("file_id").agg(*[F.max(c).alias(c) for c in ("generated", "minified", "vendored", "blob", "home")])
     f = files.where(F.col("lang").isin(*langs) & F.col("id").isNotNull()).groupBy(F.col("id").alias("id")).agg(F.max(F.struct("path", "lang")).alias("v")).select("id", "v.*")
     j = f.join(seen, f["id"] == seen["file_id"], "left").drop("file_id")

@@ -15,10 +15,24 @@ def one_text_each(documents: DataFrame, id_col: str, text_col: str, scratch: Scr
     is written, so that the planner knows its size and moves the texts only if it
     is too large to be broadcast.
     """
-    d = documents.select(F.col(id_col).cast(id_type).alias("i"), F.col(text_col).alias("s"))
+    d = spread(documents.select(F.col(id_col).cast(id_type).alias("i"), F.col(text_col).alias("s")))
     many = scratch.cut(d.groupBy(F.col("i").alias("m")).agg(F.count("*").alias("n")).where("n > 1").select("m", F.lit(True).alias("hit")))
     if many.isEmpty():
         return d
     single = d.join(many, d["i"].eqNullSafe(many["m"]), "left_anti")
     several = d.join(many, d["i"].eqNullSafe(many["m"]), "left_semi").groupBy("i").agg(F.max("s").alias("s"))
     return single.unionByName(several)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan over at least as many tasks as there are cores.
+
+    Python work on a text is worth far more than moving it once, but only where
+    the files alone would leave cores idle: one small file is one task. Tables of
+    many files are left as they are, and so is all that has been shuffled before.
+    """
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in plan or "FileScan" not in plan or scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)

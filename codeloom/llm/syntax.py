@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codeloom.llm import grammar_cs, grammar_other
+from codeloom.llm.rows import spread
 
 GRAMMARS = {
     "cs": grammar_cs.parses,
@@ -81,7 +82,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def verdicts(files: DataFrame, contents: DataFrame) -> DataFrame:
     """(file_id, lang, repo, grammar, verdict, reads_as) of each file with content and a grammar: 'ok', 'wrong extension' or 'corrupt'; of a wrong extension what the text reads as."""
     texts = contents.select(F.col("file_id").cast("long").alias("file_id"), "content").where("file_id is not null and content is not null")
-    seen = texts.mapInPandas(_scan, "file_id long, good int, reads_as string").distinct()
+    seen = spread(texts).mapInPandas(_scan, "file_id long, good int, reads_as string").distinct()
     f = (
         files.where("id is not null")
         .groupBy(F.col("id").alias("id"))
