@@ -44,7 +44,9 @@ _GENERATED = re.compile(
     | werkzeug\s+(?:erzeugt|generiert) | automatisch\s+(?:erzeugt|generiert) | g[ée]n[ée]r[ée]\s+(?:automatiquement|par)\b | generado\s+(?:autom|por)\b
     | 自动生成 | 自動生成 | сгенерирован"""
 )
-_ONLY_ABOUT = re.compile(r"(?i)\bby\s+hand\b|\bhand-?written\b|\bfinds?\b|\bskips?\b|\bdetects?\b|\blooks?\s+for\b|\bis\s+gone\b|\bno\s+longer\b|\bcounts?\b|\bnothing\s+in\s+here\b|\bchecks?\b|\bnot\s+generated\b|\bcarr(?:y|ies)\b|\bused\s+to\s+be\b")
+#: A line that denies the claim, and what a line does to generated files when it talks about them: then it stands before the claim.
+_DENIED = re.compile(r"(?i)\bby\s+hand\b|\bhand-?written\b|\bis\s+gone\b|\bno\s+longer\b|\bnothing\s+in\s+here\b|\b(?:not|never|isn't|wasn't)\s+(?:auto-?)?(?:generated|produced|made|copied)\b|\bused\s+to\s+be\b")
+_TALKS = re.compile(r"(?i)\b(?:finds?|skips?|detects?|looks?\s+for|counts?|checks?|carr(?:y|ies)|lists?|reads?|reports?|ignores?|removes?|matches|recogni[sz]es|excludes?|tests?|says?|whether|if)\b")
 _VENDORED = re.compile(r"(?i)\bupstream\s+copy\b|\bimported\s+from\s+the\s+\S+\s+(?:project|library|package)|\bpatches\s+belong\s+upstream\b|\bvendored\s+(?:from|copy)\b|\bthird[- ]party\s+copy\s+of\b|\bcopied\s+(?:verbatim\s+)?from\s+\S+\s+v?\d")
 _ATTRIBUTE = re.compile(r"^\s*\[(?:assembly:\s*)?(?:[\w.]+\.)?(?:GeneratedCode|CompilerGenerated)(?:Attribute)?\b", re.M)
 _HOME = re.compile(r"^[ \t﻿]*(?:namespace|module)[ \t]+(?:rec[ \t]+|global\.)?([^\W\d]\w*)", re.M)
@@ -59,8 +61,13 @@ def _data_line(line: str) -> bool:
     return bool(_NUMBERS.match(line) or _BASE64.match(line) or _TUPLE.match(line))
 
 
-def features(s: str) -> tuple[float, float, float, float, str | None]:
-    """(generated, minified, vendored, blob) evidence of a text between 0 and 1, and its root namespace."""
+def _claims(claim: re.Pattern, line: str) -> bool:
+    """Whether a line claims something of its own file: nothing before the claim makes it the object of a verb."""
+    return any(not _TALKS.search(line, 0, m.start()) for m in claim.finditer(line))
+
+
+def features(s: str) -> tuple[float, float, float, float, float, str | None]:
+    """(generated, minified, vendored, blob) evidence of a text between 0 and 1, the lines of data behind the last, and its root namespace."""
     t = s.lstrip("﻿")
     lines = t.split("\n")
     # the leading comment, whatever its style
@@ -78,11 +85,11 @@ def features(s: str) -> tuple[float, float, float, float, str | None]:
             inside = False
         if x.startswith("///"):
             break
-        if _ONLY_ABOUT.search(x):
+        if _DENIED.search(x):
             continue
-        if _GENERATED.search(x):
+        if _claims(_GENERATED, x):
             generated = 1.0
-        if _VENDORED.search(x):
+        if _claims(_VENDORED, x):
             vendored = 1.0
     if "Generated" in t and _ATTRIBUTE.search(t):
         generated = 1.0
@@ -119,8 +126,8 @@ def features(s: str) -> tuple[float, float, float, float, str | None]:
                 continue
         marks += sum(map(x.count, ";{}()|"))
     minified = long_marks / marks if marks else 0.0
-    blob = data / total if total and n_data >= 8 else 0.0
-    return generated, minified, vendored, blob, home[1] if home else None
+    blob = data / total if total else 0.0
+    return generated, minified, vendored, blob, float(n_data), home[1] if home else None
 
 
 def _digits(x: str) -> float:
@@ -134,7 +141,7 @@ def _packed(x: str) -> bool:
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame([(i, *features(s)) for i, s in zip(b["file_id"], b["content"])], columns=["file_id", "generated", "minified", "vendored", "blob", "home"])
+        yield pd.DataFrame([(i, *features(s)) for i, s in zip(b["file_id"], b["content"])], columns=["file_id", "generated", "minified", "vendored", "blob", "rows", "home"])
 
 
 #: Log-compatibility of a child's label with its parent's: alike is likelier, and any mixture remains possible.
@@ -172,6 +179,15 @@ def _minus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
 
 
+#: Square of the lines of data that make a file of data as likely a table in code as a blob.
+SOME_ROWS = 36.0
+
+
+def _sure(share: Column, even: float) -> Column:
+    """A share as belief: a half at `even`, near certain a fifth away from it."""
+    return 1 / (1 + F.exp((even - share) * 20))
+
+
 def _between(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
@@ -214,8 +230,8 @@ def labels(files: DataFrame, contents: DataFrame, langs: tuple[str, ...] = LANGS
     spark = files.sparkSession
     scratch = Scratch(spark, "provenance")
     texts = contents.select(F.col("file_id").cast("long").alias("file_id"), "content").where("file_id is not null and content is not null")
-    seen = spread(texts).mapInPandas(_scan, "file_id long, generated double, minified double, vendored double, blob double, home string")
-    seen = seen.groupBy("file_id").agg(*[F.max(c).alias(c) for c in ("generated", "minified", "vendored", "blob", "home")])
+    seen = spread(texts).mapInPandas(_scan, "file_id long, generated double, minified double, vendored double, blob double, rows double, home string")
+    seen = seen.groupBy("file_id").agg(*[F.max(c).alias(c) for c in ("generated", "minified", "vendored", "blob", "rows", "home")])
     f = files.where(F.col("lang").isin(*langs) & F.col("id").isNotNull()).groupBy(F.col("id").alias("id")).agg(F.max(F.struct("path", "lang")).alias("v")).select("id", "v.*")
     j = f.join(seen, f["id"] == seen["file_id"], "left").drop("file_id")
     name = F.coalesce("path", F.concat(F.lit("?/"), F.col("id").cast("string")))
@@ -223,8 +239,10 @@ def labels(files: DataFrame, contents: DataFrame, langs: tuple[str, ...] = LANGS
     j = scratch.cut(j)
     j = j.join(_foreign(j), (j["repo"] == F.col("h_repo")) & (j["home"] == F.col("h_home")), "left").drop("h_repo", "h_home")
     g, m, v, b = (F.coalesce(c, F.lit(0.0)) for c in ("generated", "minified", "vendored", "blob"))
-    minified = F.when(m > 0.5, 12.0).otherwise(-2.0)
-    blob = F.when(b > 0.6, 12.0).otherwise(-2.0)
+    # shares weigh in smoothly around even odds; data weighs more the more lines of it there are
+    rows = F.coalesce("rows", F.lit(0.0))
+    minified = 14.0 * _sure(m, 0.5) - 2.0
+    blob = 14.0 * _sure(b, 0.6) * rows * rows / (rows * rows + SOME_ROWS) - 2.0
     # a namespace at home speaks for the file's own authors, a foreign one for a copy, each as far as it is sure
     far = F.col("foreign")
     vendored = F.when(v > 0, 12.0).when(far.isNull(), -2.0).otherwise(_between(far * 3, -2.0, 12.0))

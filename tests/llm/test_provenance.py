@@ -9,7 +9,7 @@ BLOB = "namespace Own.Core;\n\nstatic class B\n{\n    static readonly byte[] R =
 
 
 def test_features():
-    assert P.features(OWN) == (0.0, 0.0, 0.0, 0.0, "Own")
+    assert P.features(OWN) == (0.0, 0.0, 0.0, 0.0, 0.0, "Own")
     assert P.features("// <auto-generated>\n" + OWN)[0] == 1.0
     assert P.features("// Licensed to us.\n// Code generated by Protomill 4.2. DO NOT EDIT.\n" + OWN)[0] == 1.0
     assert P.features(OWN.replace("public class", '[System.CodeDom.Compiler.GeneratedCode("T", "1.0")]\npublic class'))[0] == 1.0
@@ -20,7 +20,10 @@ def test_features():
     assert P.features(MIN)[1] > 0.9 and P.features(BLOB)[3] > 0.9
     assert P.features(OWN + "// " + "long comment " * 90)[1] == 0.0
     assert P.features(OWN.replace("F(1)", 'F("' + "word " * 90 + '")'))[1] == 0.0
-    assert P.features("") == (0.0, 0.0, 0.0, 0.0, None)
+    assert P.features("") == (0.0, 0.0, 0.0, 0.0, 0.0, None)
+    assert P.features("// This file was generated by Foo 1.2 and counts rows\n" + OWN)[0] == 1.0
+    assert P.features("// Counts files that were generated by Foo 1.2\n" + OWN)[0] == 0.0
+    assert P.features("// No longer generated by Foo 1.2\n" + OWN)[0] == 0.0
 
 
 def tables(spark):
@@ -49,7 +52,7 @@ def test_belief_is_the_exact_marginal(spark):
     f = spark.createDataFrame([(1, "a/vendor/x.cs", "cs")], "id long, path string, lang string")
     c = spark.createDataFrame([(1, OWN)], "file_id long, content string")
     got = P.labels(f, c).first()
-    e = [4.5, -2.0, -2.0, -2.0, -2.0]
+    e = [4.5, -2.0, 14 / (1 + math.exp(10)) - 2, -2.0, -2.0]
     plain, vendor = [1.0, 0, 0, 0, 0], [-2.0, 0, 0, 4.0, 0]
     w = lambda x, y: P.ALIKE if x == y else P.APART
     total = [0.0] * 5
