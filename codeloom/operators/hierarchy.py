@@ -16,7 +16,7 @@ Defined results:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from codeloom.sources.tables import Scratch
 
@@ -107,14 +107,18 @@ def contract(parents: DataFrame, scratch: Scratch, full: bool = False) -> DataFr
         # hashes of different nodes splice neither, and the next turn rehashes.
         splice = F.col("n").eqNullSafe(1) & F.col("parent").isNotNull() & (F.col("parent") != F.col("id")) & (v_coin < p_coin) & (v_coin < c_coin)
         leaf = F.col("n").isNull() & F.col("parent").isNotNull() & (F.col("parent") != F.col("id"))
-        state = scratch.cut(seen.select(*cols, "child", F.when(leaf, 1).when(splice, 2).otherwise(0).alias("act")))
-        counts = {r["act"]: r["count"] for r in state.groupBy("act").count().collect()}
-        if not counts.get(1) and not counts.get(2):
-            if not _shrinkable(state):
+        # the write counts what it writes; a retried task may count twice, which does not matter to what is asked
+        seen_acts = Observation()
+        acts = seen.select(*cols, "child", F.when(leaf, 1).when(splice, 2).otherwise(0).alias("act"))
+        open_ = F.col("parent").isNotNull() & (F.col("parent") != F.col("id"))
+        state = scratch.cut(acts.observe(seen_acts, F.count_if(F.col("act") == 1).alias("raked"), F.count_if(F.col("act") == 2).alias("spliced"), F.count_if(open_).alias("open")))
+        counts = seen_acts.get
+        if not counts.get("raked") and not counts.get("spliced"):
+            if not counts.get("open"):
                 break
+            # a chain or cycle is left that this turn's coins spared
             scratch.drop(live)
-            live = scratch.cut(state.select(*cols))
-            scratch.drop(state)
+            live = state.select(*cols)
             continue
         gone = state.where("act = 1").select(*cols)
         kept = state.where("act <> 1")
@@ -127,7 +131,7 @@ def contract(parents: DataFrame, scratch: Scratch, full: bool = False) -> DataFr
         spliced = kept.where("act = 2")
         kept = kept.where("act = 0").select(*cols)
         rakes.append(gone)
-        if counts.get(2):
+        if counts.get("spliced"):
             spliced = spliced.select(*cols, "child", *(["c_above"] if full else []))
             splices.append(spliced)
             via = spliced.select(F.col("id").alias("s_id"), F.col("parent").alias("s_parent"), F.col("w").alias("s_w"), *([F.col("label").alias("s_label"), F.col("held").alias("s_held"), F.col("above").alias("s_above")] if full else []))
@@ -145,11 +149,12 @@ def contract(parents: DataFrame, scratch: Scratch, full: bool = False) -> DataFr
                     # what stands before this node inside the slot it took over
                     F.when(hop, F.col("above") + F.col("s_above") + F.col("s_held")).otherwise(F.col("above")).alias("above"),
                 ]
-            kept = j.select(*out)
+            kept = scratch.cut(j.select(*out))
         else:
             splices.append(None)
-        before, live = live, scratch.cut(kept)
-        scratch.drop(before)
+        # without a splice what is kept is only filtered out of the written state
+        scratch.drop(live)
+        live = kept
     # What is left: roots (null parent) and self-loops, which stand for cycles.
     done = live.select(
         "id",
@@ -159,12 +164,15 @@ def contract(parents: DataFrame, scratch: Scratch, full: bool = False) -> DataFr
     )
     parts = [done]
     for gone, spliced in zip(reversed(rakes), reversed(splices)):
+        # a raked leaf may hang on a node that was spliced in the same round
         if spliced is not None:
-            found = scratch.cut(_replay(spliced, done, full, True))
-            parts.append(found)
-            done = _union([done, found])
-        found = scratch.cut(_replay(gone, done, full, False))
-        parts.append(found)
+            found = _replay(spliced, done, full, True)
+            # in the plain mode spliced nodes are few and their join is cheap to run twice; one write a round is saved
+            found = scratch.cut(found) if full else found
+            fresh = _union([found, _replay(gone, _union([done, found]), full, False)])
+        else:
+            fresh = _replay(gone, done, full, False)
+        parts.append(scratch.cut(fresh))
         done = _union(parts)
     if full:
         done = done.withColumn("descendants", F.col("size") - 1).drop("size")
@@ -178,11 +186,6 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _shrinkable(state: DataFrame) -> bool:
-    """Whether a chain or cycle is left that this turn's coins spared."""
-    return bool(state.where("parent is not null and parent <> id").limit(1).count())
-
-
 def _absorb(gone: DataFrame, kept: DataFrame, cols: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Gives each raked leaf its place behind what its parent already holds.
 
