@@ -131,6 +131,58 @@ def bounded(content: Column, most: int) -> Column:
     return F.when(F.length(content) <= most, content)
 
 
+def utf8_prefix(c: Column, most: int) -> Column:
+    """The longest prefix of a text that takes at most `most` bytes in UTF-8; no character is split."""
+    b = F.encode(c, "UTF-8")
+    # a byte that goes on with a character begins with the bits 10
+    goes_on = lambda at: F.conv(F.hex(F.substring(b, at, 1)), 16, 10).cast("int").bitwiseAND(F.lit(0xC0)) == 0x80
+    cut = F.lit(max(0, most - 3))
+    for n in (most - 2, most - 1, most):
+        if n >= 0:
+            cut = F.when(~goes_on(n + 1), n).otherwise(cut)
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.decode(F.substring(b, F.lit(1), cut), "UTF-8"))
+
+
+def split_variant_column(c: Column | str) -> Column:
+    """As `split_variant`, over a column; null where nothing splits."""
+    c = F.col(c) if isinstance(c, str) else c
+    t = F.regexp_replace(c, r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Za-z])(?=[0-9])", " ")
+    return F.when(~c.rlike(r"\s") & (t != c), t)
+
+
+def glob_column_regex(glob: Column) -> Column:
+    """`build_glob_regex` of a column of globs, whose separators are `/` and which are folded."""
+    g = F.regexp_replace(glob, r"([.+^$(){}|\[\]\\])", r"\\$1")
+    g = F.regexp_replace(g, r"(^|/)\*\*/", "$1\u0001")
+    g = F.regexp_replace(g, r"(^|/)\*\*$", "$1\u0002")
+    g = F.replace(F.replace(g, F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]"))
+    g = F.replace(F.replace(g, F.lit("\u0001"), F.lit("(?:[^/]+/)*")), F.lit("\u0002"), F.lit(".*"))
+    return F.concat(F.lit("^"), g, F.lit("$"))
+
+
+def parse_list(s: str | None, most: int = 256, most_bytes: int = 64 * 1024) -> list[str]:
+    """A list given as a JSON array of strings or with commas; blanks dropped, order kept, repeated entries once. Raises ValueError beyond the bounds or for what is no list."""
+    import json
+
+    if not s or not s.strip():
+        return []
+    if len(s.encode()) > most_bytes:
+        raise ValueError("list too long")
+    if s.lstrip().startswith("["):
+        try:
+            parts = json.loads(s)
+        except ValueError as e:
+            raise ValueError("not a JSON array") from e
+        if not isinstance(parts, list) or not all(isinstance(x, str) for x in parts):
+            raise ValueError("not an array of strings")
+    else:
+        parts = s.split(",")
+    out = list(dict.fromkeys(x.strip() for x in parts if x.strip()))
+    if len(out) > most:
+        raise ValueError("too many entries")
+    return out
+
+
 def split_variant(s: str) -> str | None:
     """`Mode4` as `Mode 4`, `AsyncAPI` as `Async API`; None if nothing splits."""
     if re.search(r"\s", s):

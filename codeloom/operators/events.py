@@ -69,3 +69,29 @@ def rate_and_eta(progress: DataFrame, least_files: int = 100, least_seconds: flo
     known = (F.col("files_done") >= least_files) & (F.col("elapsed_s") >= least_seconds)
     rate = F.when(known, F.col("files_done") / F.col("elapsed_s"))
     return progress.withColumn("rate", rate).withColumn("eta_s", (F.col("files_total") - F.col("files_done")) / F.col("rate"))
+
+
+def operation_page(
+    ops: DataFrame, size: int, after: tuple[str, str] | None = None, tools: tuple[str, ...] = (), outcomes: tuple[str, ...] = (), confidences: tuple[str, ...] = (), states: tuple[str, ...] = (), correlation: str | None = None,
+    partial: bool | None = None, since: str | None = None, until: str | None = None, least_ms: float | None = None, most_ms: float | None = None,
+) -> DataFrame:
+    """A page of operations (newest first, then by correlation id) under any of ten filters, behind a cursor (time, correlation id)."""
+    for column, some in (("tool", tools), ("outcome", outcomes), ("confidence", confidences), ("state", states)):
+        if some:
+            ops = ops.where(F.col(column).isin(*some))
+    if correlation is not None:
+        ops = ops.where(F.col("correlation_id") == correlation)
+    if partial is not None:
+        ops = ops.where(F.col("partial") == partial)
+    if since is not None:
+        ops = ops.where(F.col("emitted_at") >= F.lit(since).cast("timestamp"))
+    if until is not None:
+        ops = ops.where(F.col("emitted_at") < F.lit(until).cast("timestamp"))
+    if least_ms is not None:
+        ops = ops.where(F.col("duration_ms") >= least_ms)
+    if most_ms is not None:
+        ops = ops.where(F.col("duration_ms") <= most_ms)
+    if after:
+        at = F.lit(after[0]).cast("timestamp")
+        ops = ops.where((F.col("emitted_at") < at) | ((F.col("emitted_at") == at) & (F.col("correlation_id") > after[1])))
+    return ops.orderBy(F.desc("emitted_at"), "correlation_id").limit(size)

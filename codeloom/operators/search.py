@@ -6,22 +6,20 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from codeloom.functions.text import fold, fold_text, query_tokens, snippet, token_regex, whole_token
+from codeloom.functions.text import fold, fold_text, path_filter, query_tokens, snippet, token_regex, utf8_prefix, whole_token
+from codeloom.operators.store import lines_of
 from codeloom.sources.tables import Scratch
 
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{Nd}_]+"
 
 
-def bm25(postings: DataFrame, query: list[str]) -> DataFrame:
+def bm25(hits: DataFrame, lengths: DataFrame, corpus: DataFrame, query: list[str]) -> DataFrame:
     """(file_id, score) of the files that hold all query tokens; greater is better.
 
-    Document lengths and frequencies are of the whole corpus. Only the query's
-    postings meet the lengths.
+    `hits`: the postings of the query's tokens. Lengths and their mean are of the
+    whole corpus and kept; only the query's postings meet them.
     """
-    lengths = postings.groupBy("file_id").agg(F.sum("tf").alias("dl"))
-    corpus = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    hits = postings.where(F.col("token").isin(*query))
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
     # both are one row, or one row a query token: their size is bounded by the query
     scored = hits.join(F.broadcast(df), "token").join(lengths, "file_id").crossJoin(F.broadcast(corpus))
@@ -99,6 +97,74 @@ def graded(lines: DataFrame, query: str) -> DataFrame:
     return precise.unionByName(partial)
 
 
+def text_page(store, query: str, limit: int, offset: int = 0, path: str | None = None, excludes: tuple[str, ...] = (), langs: tuple[str, ...] | None = None, max_files: int = 200, partials: str = "auto", before: int = 0, after: int = 0, side_bytes: int = 4096) -> DataFrame:
+    """One page of graded lines: filter, cap, grade, order, page; with the totals that go with it on each row.
+
+    Candidates hold all tokens and pass the filters; the best `max_files` of them
+    are read (hand-written first, then by BM25, then by id), and `more_files`
+    tells of others. Precise lines come first, in order of their files, lines
+    with the raw phrase before other ones; partial lines follow, `never`,
+    `always`, or, with `auto`, where the precise ones do not fill the page. The
+    context on either side is cut at `side_bytes` of UTF-8.
+    """
+    ts = query_tokens(query)
+    f = store.files
+    if langs:
+        f = f.where(F.col("lang").isin(*langs))
+    f = f.where(path_filter(F.col("path"), path, excludes)).select(F.col("id").alias("f_id"), "is_generated")
+    scored = bm25(store.postings_of(ts), store.lengths, store.corpus, ts)
+    order = ["is_generated", F.desc(F.round("score", 6)), "file_id"]
+    top = scored.join(f, F.col("file_id") == F.col("f_id")).orderBy(*order).limit(max_files + 1)
+    # at most max_files + 1 rows: one task numbers them
+    top = Scratch(store.spark, "page").cut(top.select("file_id", F.row_number().over(Window.orderBy(*order)).alias("file_rank")))
+    scanned = top.where(F.col("file_rank") <= max_files)
+    lines = lines_of(store.contents_of(scanned))
+    g = graded(lines, query).join(scanned, "file_id")
+    partial = F.col("tier") == 2
+    totals = g.agg(F.count_if(~partial).alias("total_precise"), F.count_if(partial).alias("total_partial"), F.count_distinct("file_id").alias("files"))
+    files = top.agg(F.least(F.count("*"), F.lit(max_files)).alias("scanned"), (F.count("*") > max_files).alias("more_files"))
+    g = g.crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(files))
+    wanted = {"never": ~partial, "always": F.lit(True), "auto": ~partial | (F.col("total_precise") < offset + limit)}[partials]
+    place = [partial, F.col("file_rank"), F.col("tier"), F.col("line_no")]
+    page = g.where(wanted).orderBy(*place).offset(offset).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*place)) + offset)
+    if before or after:
+        near = context_lines(lines, page, before, after).select("file_id", "line_no", "before", "after")
+        side = lambda c: utf8_prefix(F.array_join(c, "\n"), side_bytes).alias(c)
+        page = page.join(near.select("file_id", "line_no", side("before"), side("after")), ["file_id", "line_no"])
+    return page
+
+
+def reference_page(store, name: str, samples: int = 3, max_files: int = 500, exclude: DataFrame | None = None) -> DataFrame:
+    """References to a name by project, with samples, and the totals of the whole on each row.
+
+    Files without a project form a group of their own (null). A file that several
+    projects compile counts in each, so the attributed hits may exceed the
+    physical ones. At most `max_files` candidate files are read, hand-written
+    first, then by id; if there are more, `lower_bound` says that all counts are
+    at least what they are. `exclude`: (file_id, line_no) of lines that do not count.
+    """
+    ts = query_tokens(name)
+    hits = store.postings_of(ts).groupBy("file_id").agg(F.count("*").alias("n")).where(F.col("n") == len(ts)).select("file_id")
+    f = store.files.select(F.col("id").alias("f_id"), "is_generated", F.coalesce("has_test_attrs", F.lit(False)).alias("test"))
+    top = Scratch(store.spark, "references").cut(hits.join(f, F.col("file_id") == F.col("f_id")).orderBy("is_generated", "file_id").limit(max_files + 1).withColumn("nth", F.row_number().over(Window.orderBy("is_generated", "file_id"))))
+    some = top.where(F.col("nth") <= max_files)
+    found = references(lines_of(store.contents_of(some)), store.owners, name).join(some.select("file_id", "test"), "file_id")
+    if exclude is not None:
+        found = found.join(exclude.select("file_id", "line_no").distinct(), ["file_id", "line_no"], "left_anti")
+    sites = found.select("file_id", "line_no", "test").distinct()
+    totals = sites.agg(F.count("*").alias("physical"), F.count_if("test").alias("physical_test"), F.count_if(~F.col("test")).alias("physical_production")).crossJoin(top.agg((F.count("*") > max_files).alias("lower_bound")))
+    counts = found.groupBy("project_id").agg(F.count_distinct("file_id").alias("files"), F.count_if("test").alias("test_hits"))
+    g = grouped_samples(found, "project_id", samples)
+    j = g.join(counts.withColumnRenamed("project_id", "c_id"), F.col("project_id").eqNullSafe(F.col("c_id"))).drop("c_id")
+    return j.crossJoin(F.broadcast(totals))
+
+
+def token_spans(lines: DataFrame, name: str) -> DataFrame:
+    """(file_id, line_no, start, length): of each line its first whole, case-sensitive occurrence of a name, counted from 1."""
+    whole = r"(?<![\p{L}\p{Nd}_])" + re.escape(name) + r"(?![\p{L}\p{Nd}_])"
+    return lines.where(F.col("line").contains(name)).select("file_id", "line_no", F.regexp_instr("line", F.lit(whole)).alias("start"), F.lit(len(name)).alias("length")).where("start > 0").distinct()
+
+
 def regex_lines(lines: DataFrame, pattern: str) -> DataFrame:
     """Distinct lines that a regular expression matches, case-sensitively."""
     return lines.where(F.col("line").rlike(pattern)).distinct()

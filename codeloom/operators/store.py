@@ -8,14 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from codeloom.functions.text import base_name, dir_name, fold, segments, tokens
 from codeloom.operators.orphans import normal_path
+from codeloom.sources.kept import Kept
 from codeloom.sources.tables import table
 
+# fixed values: kinds of symbols that are types, and names of configuration files that hold for all projects below them
 TYPE_KINDS = ("class", "interface", "struct", "record", "record_struct", "enum", "delegate", "union", "type", "exception")
 CONFIG_NAMES = ("global.json", "nuget.config", "app.config", "web.config", "appsettings.json", "packages.config", "directory.build.props", "directory.build.targets", "directory.packages.props")
 
 
 class Store:
-    """Lazily derived tables of one data directory; each is a plan, nothing is run here."""
+    """The tables of one data directory; what is derived is built once for a state of the sources and kept (`sources.kept`)."""
 
     def __init__(self, spark: SparkSession, directory: str):
         self.spark, self.directory = spark, directory
@@ -23,6 +25,10 @@ class Store:
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.directory, name)
 
+    @cached_property
+    def kept(self) -> Kept:
+        return Kept(self.spark, self.directory)
+
     @cached_property
     def files(self) -> DataFrame:
         """Ids and paths are unique in this table."""
@@ -30,45 +36,89 @@ class Store:
 
     @cached_property
     def contents(self) -> DataFrame:
-        """Texts as stored, some rows repeated. Queries drop repetitions from what they take out of the texts: a distinct over whole texts would shuffle them all."""
-        return self.raw("file_contents").select("file_id", "content")
+        """(file_id, content), distinct, in buckets of the file's id: the one place where whole texts are moved."""
+        return self.kept.table("contents", lambda: self.raw("file_contents").select("file_id", "content").distinct(), by="file_id")
+
+    def contents_of(self, ids: DataFrame) -> DataFrame:
+        """The texts of some files (file_id): joined on the bucket, too, so that only the folders that hold them are read."""
+        few = ids.select("file_id", self.kept.bucket("file_id").alias("bucket")).distinct()
+        return self.contents.join(few, ["bucket", "file_id"], "left_semi")
 
     @cached_property
     def symbols(self) -> DataFrame:
-        return self.raw("symbols").dropDuplicates(["id"])
+        """Of rows that share an id the smallest, by all columns."""
+
+        def build() -> DataFrame:
+            s = self.raw("symbols")
+            rest = [c for c in s.columns if c != "id"]
+            return s.groupBy("id").agg(F.min(F.struct(*rest)).alias("v")).select("id", "v.*")
+
+        return self.kept.table("symbols", build)
 
     @cached_property
     def projects(self) -> DataFrame:
         """The latest live record of each project path."""
-        p = self.raw("parsed_projects").where("removed_at is null").withColumn("key", normal_path(F.col("rel_path")))
-        latest = F.max(F.struct("parsed_at", "id", "rel_path", "name", "style", "lang", "tfms", "is_test", "load_status", "compile_globs", "project_ref_rel_paths")).alias("v")
-        return p.groupBy("key").agg(latest).select("key", dir_name("key").alias("dir"), "v.*")
+
+        def build() -> DataFrame:
+            p = self.raw("parsed_projects").where("removed_at is null").withColumn("key", normal_path(F.col("rel_path")))
+            latest = F.max(F.struct("parsed_at", "id", "rel_path", "name", "style", "lang", "tfms", "is_test", "load_status", "compile_globs", "project_ref_rel_paths")).alias("v")
+            return p.groupBy("key").agg(latest).select("key", dir_name("key").alias("dir"), "v.*")
+
+        return self.kept.table("projects", build)
 
     @cached_property
     def refs(self) -> DataFrame:
         """(from_id, to_id), distinct: references between live projects."""
-        ask = self.projects.select(F.col("id").alias("from_id"), F.explode("project_ref_rel_paths").alias("r")).where("r is not null").withColumn("to_key", normal_path(F.col("r")))
-        to = self.projects.select(F.col("key").alias("k"), F.col("id").alias("to_id"))
-        return ask.join(to, ask["to_key"] == to["k"]).select("from_id", "to_id").distinct()
+
+        def build() -> DataFrame:
+            ask = self.projects.select(F.col("id").alias("from_id"), F.explode("project_ref_rel_paths").alias("r")).where("r is not null").withColumn("to_key", normal_path(F.col("r")))
+            to = self.projects.select(F.col("key").alias("k"), F.col("id").alias("to_id"))
+            return ask.join(to, ask["to_key"] == to["k"]).select("from_id", "to_id").distinct()
+
+        return self.kept.table("refs", build)
+
+    @cached_property
+    def named_refs(self) -> DataFrame:
+        """(from_id, to_id, lang): edges recovered from package references by a project's name, one a language, never to the asking project."""
+
+        def build() -> DataFrame:
+            f = self.files.where(F.col("lang").isin("csproj", "fsproj")).select(F.col("id").alias("f_id"), fold("path").alias("f_path"))
+            pk = self.contents_of(f.select(F.col("f_id").alias("file_id"))).join(f, F.col("file_id") == F.col("f_id")).select("f_path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r'<(?:PackageReference|Reference)\b[^>]*\bInclude\s*=\s*"([^",]*)'), F.lit(1)))).alias("package"))
+            ask = pk.join(self.projects.select("key", F.col("id").alias("from_id")), F.col("f_path") == F.col("key")).select("from_id", fold(F.trim("package")).alias("package")).distinct()
+            to = self.projects.select(F.col("id").alias("to_id"), fold("name").alias("to_name"), "lang")
+            j = ask.join(to, (ask["package"] == to["to_name"]) & (ask["from_id"] != to["to_id"]))
+            return j.groupBy("from_id", "package", "lang").agg(F.min("to_id").alias("to_id")).select("from_id", "to_id", "lang").distinct()
+
+        return self.kept.table("named_refs", build)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """(from_id, to_id, kind): 'project' for a project reference, 'assembly' for one recovered by name; a pair that is both is a project reference."""
+        both = self.refs.withColumn("kind", F.lit("project")).unionByName(self.named_refs.select("from_id", "to_id").withColumn("kind", F.lit("assembly")))
+        return both.groupBy("from_id", "to_id").agg(F.max("kind").alias("kind"))
 
     @cached_property
     def owners(self) -> DataFrame:
         """(file_id, project_id): each source file belongs to the project of its language in the nearest directory above it."""
-        return nearest_owner(self.files.where(F.col("lang").isin("cs", "fs")), self.projects)
+        return self.kept.table("owners", lambda: nearest_owner(self.files.where(F.col("lang").isin("cs", "fs")), self.projects))
 
     @cached_property
     def base_edges(self) -> DataFrame:
         """(base_name folded, base_arity, derived_id, file_id) from the base lists of type signatures."""
-        listed = F.regexp_extract("signature", r" : (.*)$", 1)
-        each = F.explode(F.split(listed, r", ?(?![^<]*>)"))
-        s = self.symbols.where(F.col("kind").isin(*TYPE_KINDS) & F.col("signature").contains(" : ")).select(F.col("id").alias("derived_id"), "file_id", each.alias("base"))
-        name = fold(F.regexp_extract(F.regexp_replace(F.trim("base"), r"<.*$", ""), r"[^.]*$", 0))
-        arity = F.when(F.col("base").contains("<"), F.length(F.regexp_replace("base", "[^,]", "")) + 1).otherwise(0)
-        return s.select(name.alias("base_name"), arity.cast("int").alias("base_arity"), "derived_id", "file_id").where("base_name <> ''").distinct()
+
+        def build() -> DataFrame:
+            listed = F.regexp_extract("signature", r" : (.*)$", 1)
+            each = F.explode(F.split(listed, r", ?(?![^<]*>)"))
+            s = self.symbols.where(F.col("kind").isin(*TYPE_KINDS) & F.col("signature").contains(" : ")).select(F.col("id").alias("derived_id"), "file_id", each.alias("base"))
+            name = fold(F.regexp_extract(F.regexp_replace(F.trim("base"), r"<.*$", ""), r"[^.]*$", 0))
+            arity = F.when(F.col("base").contains("<"), F.length(F.regexp_replace("base", "[^,]", "")) + 1).otherwise(0)
+            return s.select(name.alias("base_name"), arity.cast("int").alias("base_arity"), "derived_id", "file_id").where("base_name <> ''").distinct()
+
+        return self.kept.table("base_edges", build)
 
     @cached_property
     def lines(self) -> DataFrame:
-        """(file_id, line_no, line): texts by line, counted from 1; repeated as the texts are, so what is filtered out of them has to be made distinct."""
+        """(file_id, line_no, line): texts by line, counted from 1."""
         return lines_of(self.contents)
 
     def lines_with(self, *needles: str) -> DataFrame:
@@ -87,8 +137,28 @@ class Store:
 
     @cached_property
     def postings(self) -> DataFrame:
-        """(token, file_id, tf): how often each token stands in each file. Building the index is the one use that has to move whole texts to drop repeated ones."""
-        return self.contents.distinct().select("file_id", F.explode(tokens("content")).alias("token")).groupBy("token", "file_id").agg(F.count("*").alias("tf"))
+        """(token, file_id, tf): how often each token stands in each file, in buckets of the token."""
+        build = lambda: self.contents.select("file_id", F.explode(tokens("content")).alias("token")).groupBy("token", "file_id").agg(F.count("*").alias("tf"))
+        return self.kept.table("postings", build, by="token")
+
+    def postings_of(self, query: list[str]) -> DataFrame:
+        """The postings of some tokens: only their buckets are read."""
+        return self.kept.lookup(self.postings, "token", query).select("token", "file_id", "tf")
+
+    @cached_property
+    def lengths(self) -> DataFrame:
+        """(file_id, dl): the number of tokens of each file."""
+        return self.kept.table("lengths", lambda: self.postings.groupBy("file_id").agg(F.sum("tf").alias("dl")))
+
+    @cached_property
+    def corpus(self) -> DataFrame:
+        """One row: the number of files with tokens and their mean length."""
+        return self.kept.table("corpus", lambda: self.lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))
+
+    def texts_holding(self, query: list[str]) -> DataFrame:
+        """The texts of the files that hold all tokens, by the postings."""
+        hits = self.postings_of(query).groupBy("file_id").agg(F.count("*").alias("n")).where(F.col("n") == len(query))
+        return self.contents_of(hits)
 
     @cached_property
     def configs(self) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeloom.functions.text import fold, fold_text
+from codeloom.operators import graph
 from codeloom.operators.store import TYPE_KINDS
 from codeloom.sources.tables import Scratch
 
@@ -43,16 +44,29 @@ def best_match_class(symbols: DataFrame, query: str) -> DataFrame:
     return hit.join(F.broadcast(best), hit["match_class"] == best["best"]).drop("best")
 
 
+#: Lines of a block; spans of more than its square are blocked by the square.
+FINE = 64
+
+
 def innermost(points: DataFrame, symbols: DataFrame) -> DataFrame:
     """(file_id, line_no, symbol_id): of the spans around each point the shortest, then the latest to start, then the least id.
 
-    An equi-join on the file with the span test as its condition, then a map-side
-    minimum; no window over unbounded groups.
+    Spans are cut into aligned blocks of 64 lines and joined on file and block; a
+    span of many blocks is one row for each, but of 4096 lines at most: longer ones
+    stand in a second, coarser grid. So a point meets the spans of its own
+    stretch of the file only, and a large generated file is many small keys. The
+    best is a map-side minimum; no window over unbounded groups.
     """
-    s = symbols.where("start_line is not null").select(F.col("id").alias("symbol_id"), F.col("file_id").alias("s_file"), "start_line", "end_line")
-    j = points.select("file_id", "line_no").distinct().join(s, (F.col("file_id") == F.col("s_file")) & F.col("line_no").between(F.col("start_line"), F.col("end_line")))
-    best = F.min_by("symbol_id", F.struct(F.col("end_line") - F.col("start_line"), -F.col("start_line"), F.col("symbol_id")))
-    return j.groupBy("file_id", "line_no").agg(best.alias("symbol_id"))
+    s = symbols.where("start_line is not null and end_line is not null").select(F.col("id").alias("symbol_id"), F.col("file_id").alias("s_file"), "start_line", "end_line")
+    p = points.select("file_id", "line_no").distinct()
+    wide = F.col("end_line") - F.col("start_line") >= FINE * FINE
+    out = None
+    for size, some in ((FINE, s.where(~wide)), (FINE * FINE, s.where(wide))):
+        cells = some.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start_line") / size), F.floor(F.col("end_line") / size))))
+        j = p.withColumn("p_cell", F.floor(F.col("line_no") / size)).join(cells, (F.col("file_id") == F.col("s_file")) & (F.col("p_cell") == F.col("cell")) & F.col("line_no").between(F.col("start_line"), F.col("end_line")))
+        j = j.select("file_id", "line_no", F.struct((F.col("end_line") - F.col("start_line")).alias("span"), (-F.col("start_line")).alias("late"), F.col("symbol_id")).alias("k"))
+        out = j if out is None else out.unionByName(j)
+    return out.groupBy("file_id", "line_no").agg(F.min("k")["symbol_id"].alias("symbol_id"))
 
 
 def intersecting(ranges: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -112,20 +126,14 @@ def implementation_closure(base_edges: DataFrame, symbols: DataFrame, name: str,
     instead of cutting silently, that more than `cap` were found.
     """
     types = symbols.where(F.col("kind").isin(*TYPE_KINDS)).select(F.col("id").alias("t_id"), fold("name").alias("t_name"))
-    e = scratch.cut(base_edges.join(types, base_edges["derived_id"] == types["t_id"]).select("base_name", "derived_id", "t_name").distinct())
+    named = base_edges.join(types, base_edges["derived_id"] == types["t_id"]).select("base_name", "derived_id", "t_name").distinct()
+    e = scratch.cut(named)
     spark = symbols.sparkSession
-    frontier = spark.createDataFrame([(fold_text(name),)], "at string")
-    seen, found, depth = frontier, None, 0
-    while True:
-        depth += 1
-        step = scratch.cut(e.join(frontier, e["base_name"] == frontier["at"]).select("derived_id", "t_name").distinct().withColumn("depth", F.lit(depth)))
-        if not step.limit(1).count():
-            break
-        found = step if found is None else scratch.cut(found.unionByName(step).groupBy("derived_id", "t_name").agg(F.min("depth").alias("depth")))
-        frontier = step.select(F.col("t_name").alias("at")).distinct().join(seen, "at", "left_anti")
-        seen = scratch.cut(seen.unionByName(frontier))
-    if found is None:
-        return spark.createDataFrame([], "symbol_id long, depth int, capped boolean")
+    start = spark.createDataFrame([(fold_text(name),)], "root string")
+    # names are the nodes of the walk; a type is as deep as the shallowest of the names that it derives from, and one more
+    near = graph.reachable(e.select(F.col("base_name").alias("src"), F.col("t_name").alias("dst")), start, scratch).select(F.col("node").alias("at"), "depth")
+    near = near.where(F.col("at") != fold_text(name)).unionByName(start.select(F.col("root").alias("at"), F.lit(0).alias("depth")))
+    found = scratch.cut(e.join(near, e["base_name"] == near["at"]).groupBy("derived_id").agg((F.min("depth") + 1).alias("depth")))
     n = found.agg((F.count("*") > cap).alias("capped"))
     return found.select(F.col("derived_id").alias("symbol_id"), "depth").crossJoin(F.broadcast(n))
 
@@ -133,3 +141,12 @@ def implementation_closure(base_edges: DataFrame, symbols: DataFrame, name: str,
 def fingerprint(*parts: Column | str) -> Column:
     """A short stable handle of an identity."""
     return F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 12)
+
+
+def numbered(rows: DataFrame, order: list[Column], scratch: Scratch) -> DataFrame:
+    """Rows with `place`, counted from 0 in a total order: ranges are sorted each in its task, and a range begins where the counts of those before it end."""
+    cut = scratch.cut(rows.orderBy(*order).withColumn("range", F.spark_partition_id()).withColumn("within", F.monotonically_increasing_id() - F.shiftleft(F.col("range").cast("long"), 33)))
+    # one row a range: bounded by the number of partitions
+    n = cut.groupBy("range").agg(F.count("*").alias("n"))
+    base = n.select(F.col("range").alias("b_range"), F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    return cut.join(F.broadcast(base), cut["range"] == base["b_range"]).withColumn("place", F.col("base") + F.col("within")).drop("range", "within", "b_range", "base")

@@ -316,15 +316,19 @@ def y10_reviewable(s: Store) -> DataFrame:
 
 
 @query(
-    f"""WITH {SY}, t AS (SELECT * FROM s WHERE is_partial)
-SELECT a.id AS symbol_id, b.id AS other_id FROM t a JOIN t b ON a.kind = b.kind AND a.name = b.name AND a.ns IS NOT DISTINCT FROM b.ns AND a.container IS NOT DISTINCT FROM b.container AND a.file_id <> b.file_id"""
+    f"""WITH {SY}, t AS (SELECT *, min(id) OVER w AS class_id, count(*) OVER w AS members, min(file_id) OVER w <> max(file_id) OVER w AS apart FROM s WHERE is_partial WINDOW w AS (PARTITION BY kind, name, ns, container))
+SELECT id AS symbol_id, class_id, members FROM t WHERE apart"""
 )
 def j17_partial_siblings(s: Store) -> DataFrame:
-    """Partial declarations of one identity in other files; nulls are equal to nulls."""
-    t = s.symbols.where("is_partial").select("id", "file_id", "kind", "name", F.col("ns"), F.col("container"))
-    b = t.select(*[F.col(c).alias(f"b_{c}") for c in t.columns])
-    j = t.join(b, (t["kind"] == b["b_kind"]) & (t["name"] == b["b_name"]) & t["ns"].eqNullSafe(b["b_ns"]) & t["container"].eqNullSafe(b["b_container"]) & (t["file_id"] != b["b_file_id"]))
-    return j.select(F.col("id").alias("symbol_id"), F.col("b_id").alias("other_id"))
+    """Partial declarations of one identity over several files: each with its class (the least id) and the class's size; nulls are equal to nulls. Pairs would be quadratic in a class."""
+    key = ["kind", "name", "ns", "container"]
+    t = s.symbols.where("is_partial").select("id", "file_id", *key)
+    c = t.groupBy(*[F.col(k).alias(f"c_{k}") for k in key]).agg(F.min("id").alias("class_id"), F.count("*").alias("members"), (F.min("file_id") != F.max("file_id")).alias("apart")).where("apart")
+    same = None
+    for k in key:
+        test = t[k].eqNullSafe(c[f"c_{k}"])
+        same = test if same is None else same & test
+    return t.join(c, same).select(F.col("id").alias("symbol_id"), "class_id", "members")
 
 
 @query(
@@ -479,7 +483,13 @@ def x21_find_file(s: Store) -> DataFrame:
 WANTED = "quay-portal/src/Tarn.Anchor.Store/PolicyReader.cs"
 
 
-@query(None)
+@query(
+    f"""WITH w AS (SELECT string_split('{WANTED.lower()}', '/') AS w), s AS (SELECT path, string_split(lower(path), '/') AS a, w FROM files, w),
+ k AS (SELECT path, a, w, least(len(a), len(w)) AS n FROM s),
+ c AS (SELECT path, len(a) AS la, len(w) AS lw, n, list_position(list_transform(range(1, n + 1), lambda i: a[i] = w[i]), false) AS p, list_position(list_transform(range(1, n + 1), lambda i: a[len(a) + 1 - i] = w[len(w) + 1 - i]), false) AS q FROM k)
+SELECT path, (CASE WHEN coalesce(q, 0) = 0 THEN n ELSE q - 1 END)::INT AS suffix, (CASE WHEN coalesce(p, 0) = 0 THEN n ELSE p - 1 END)::INT AS prefix, abs(la - lw)::INT AS off
+FROM c ORDER BY suffix DESC, prefix DESC, off, length(path), path LIMIT 10"""
+)
 def t6_path_suggestions(s: Store) -> DataFrame:
     """The ten stored paths most like one that does not exist."""
     return search.path_suggestions(s.files, WANTED, 10)
@@ -541,16 +551,20 @@ BM = f"""{POST}, q AS (SELECT * FROM po WHERE token IN {_list(SEARCH)}), dl AS (
  bm AS (SELECT q.file_id, sum(ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN df USING (token) JOIN dl ON dl.file_id = q.file_id, k GROUP BY q.file_id HAVING count(*) = {len(SEARCH)})"""
 
 
+def _ranked(s: Store) -> DataFrame:
+    return search.bm25(s.postings_of(SEARCH), s.lengths, s.corpus, SEARCH)
+
+
 @query(f"WITH {BM} SELECT file_id, round(score, 6) AS score FROM bm")
 def x3_bm25(s: Store) -> DataFrame:
-    return search.scan_bm25(s.contents, SEARCH, Scratch(s.spark, "bm25")).select("file_id", F.round("score", 6).alias("score"))
+    return _ranked(s).select("file_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {BM} SELECT bm.file_id, path FROM bm JOIN files f ON f.id = bm.file_id ORDER BY is_generated, round(score, 6) DESC, bm.file_id LIMIT 31")
 def t3_candidates(s: Store) -> DataFrame:
     """The best 30 candidates and one more that tells of others."""
     f = s.files.select(F.col("id").alias("f_id"), "path", "is_generated")
-    return search.scan_bm25(s.contents, SEARCH, Scratch(s.spark, "bm25")).join(f, F.col("file_id") == F.col("f_id")).orderBy("is_generated", F.desc(F.round("score", 6)), "file_id").limit(31).select("file_id", "path")
+    return _ranked(s).join(f, F.col("file_id") == F.col("f_id")).orderBy("is_generated", F.desc(F.round("score", 6)), "file_id").limit(31).select("file_id", "path")
 
 
 @query(f"WITH {POST} SELECT token, count(*) AS files, sum(tf)::BIGINT AS times FROM po GROUP BY 1")
@@ -560,14 +574,14 @@ def k2_postings(s: Store) -> DataFrame:
 
 
 @query(f"WITH {BM} SELECT file_id, round(score, 6) AS score FROM bm")
-def x3_bm25_index(s: Store) -> DataFrame:
-    """BM25 through the postings, as an index that is kept would give it."""
-    return search.bm25(s.postings, SEARCH).select("file_id", F.round("score", 6).alias("score"))
+def x3_bm25_scan(s: Store) -> DataFrame:
+    """BM25 by one scan of the texts, as where no index is kept."""
+    return search.scan_bm25(s.contents, SEARCH, Scratch(s.spark, "bm25")).select("file_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {POST} SELECT file_id FROM po WHERE token IN {_list(SEARCH)} GROUP BY 1 HAVING count(*) = {len(SEARCH)}")
 def x2_conjunctive_match(s: Store) -> DataFrame:
-    return search.holding_all(s.postings, SEARCH)
+    return search.holding_all(s.postings_of(SEARCH), SEARCH)
 
 
 def _has(t: str) -> str:
@@ -583,7 +597,7 @@ SELECT file_id, line_no, CASE WHEN contains(lower(line), 'quota ledger') THEN 0
 UNION ALL SELECT file_id, l0, 2 FROM t WHERE l0 IS NOT NULL UNION ALL SELECT file_id, l1, 2 FROM t WHERE l1 IS NOT NULL AND NOT coalesce(c1, false)"""
 )
 def x6_graded_lines(s: Store) -> DataFrame:
-    candidates = search.texts_holding(s.contents, ["quota", "ledger"])
+    candidates = s.texts_holding(["quota", "ledger"])
     return search.graded(lines_of(candidates), "quota ledger").select("file_id", "line_no", "tier")
 
 
@@ -594,7 +608,7 @@ PATTERN = r"\bvoid\b.*\bguid\b"
 def x8_regex_search(s: Store) -> DataFrame:
     """A regular expression whose required literals prune the files first."""
     pattern = r"\bpublic\b \bstatic\b .*\(Guid [a-z]+"
-    return search.regex_lines(lines_of(search.texts_holding(s.contents, X.required_literals(pattern))), pattern).select("file_id", "line_no")
+    return search.regex_lines(lines_of(s.texts_holding(X.required_literals(pattern))), pattern).select("file_id", "line_no")
 
 
 @query(f"WITH {SY} SELECT name, count(*) AS n FROM s WHERE length(name) BETWEEN 5 AND 7 AND starts_with(lower(name), 'a') AND damerau_levenshtein(lower(name), 'anhcor') = 1 GROUP BY 1")
@@ -749,7 +763,12 @@ def g1_project_graph(s: Store) -> DataFrame:
     return e.withColumn("hop", F.lit(1)).unionByName(second.withColumn("hop", F.lit(2)))
 
 
-@query(None)
+@query(
+    f"""WITH RECURSIVE {PROJ}, e AS (SELECT from_id, to_id FROM refs WHERE from_id <> to_id), n AS (SELECT count(*) AS n FROM p),
+ r AS (SELECT id AS node, 0 AS hops FROM p UNION SELECT from_id, hops + 1 FROM r JOIN e ON e.to_id = r.node, n WHERE hops <= n.n),
+ m AS (SELECT node, max(hops) AS level FROM r GROUP BY 1)
+SELECT node, CASE WHEN level < (SELECT n FROM n) THEN level END::INT AS level FROM m"""
+)
 def g9_levels(s: Store) -> DataFrame:
     """Topological levels of the projects; null on or above a cycle."""
     nodes = s.projects.select(F.col("id").alias("node"))
@@ -804,19 +823,16 @@ def namespace_digest(s: Store) -> DataFrame:
 # ------------------------------------------------------- further joins, unions
 
 
-@query(
-    f"""WITH {PROJ}, pk AS (SELECT DISTINCT file_id, regexp_extract(x, 'Include="([^"]*)"', 1) AS package FROM (SELECT file_id, unnest(regexp_extract_all(content, '<PackageReference Include="[^"]*"')) AS x FROM (SELECT DISTINCT file_id, content FROM file_contents JOIN files ON file_id = id WHERE lang IN ('csproj','fsproj')))),
- q AS (SELECT p.id AS from_id, pk.package FROM pk JOIN files f ON f.id = pk.file_id JOIN p ON p.k = lower(f.path))
-SELECT from_id, p.id AS to_id, p.lang FROM q JOIN p ON lower(p.name) = lower(q.package) AND p.id <> q.from_id QUALIFY row_number() OVER (PARTITION BY from_id, lower(q.package), p.lang ORDER BY p.id) = 1"""
-)
+NAMED = r"""pk AS (SELECT DISTINCT file_id, lower(trim(regexp_extract(x, 'Include\s*=\s*"([^",]*)', 1))) AS package FROM (SELECT file_id, unnest(regexp_extract_all(content, '<(?:PackageReference|Reference)\b[^>]*\bInclude\s*=\s*"[^",]*')) AS x FROM (SELECT DISTINCT file_id, content FROM file_contents JOIN files ON file_id = id WHERE lang IN ('csproj','fsproj')))),
+ q AS (SELECT p.id AS from_id, pk.package FROM pk JOIN files f ON f.id = pk.file_id JOIN p ON p.k = lower(f.path)),
+ named AS (SELECT DISTINCT from_id, to_id, lang FROM (SELECT from_id, p.id AS to_id, p.lang FROM q JOIN p ON lower(p.name) = q.package AND p.id <> q.from_id QUALIFY row_number() OVER (PARTITION BY from_id, q.package, p.lang ORDER BY p.id) = 1))"""
+EDGES = f"{PROJ}, {NAMED}, edges AS (SELECT from_id, to_id, max(kind) AS kind FROM (SELECT from_id, to_id, 'project' AS kind FROM refs UNION ALL SELECT from_id, to_id, 'assembly' FROM named) GROUP BY 1, 2)"
+
+
+@query(f"WITH {PROJ}, {NAMED} SELECT from_id, to_id, lang FROM named")
 def j16_binary_edges(s: Store) -> DataFrame:
     """Edges recovered from references by name: a project of that name, one a language, never the asking one."""
-    f = s.files.where(F.col("lang").isin("csproj", "fsproj")).select(F.col("id").alias("f_id"), X.fold("path").alias("f_path"))
-    pk = s.contents.join(f, F.col("file_id") == F.col("f_id")).select("f_path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit('<PackageReference Include="([^"]*)"'), F.lit(1)))).alias("package"))
-    ask = pk.join(s.projects.select("key", F.col("id").alias("from_id")), F.col("f_path") == F.col("key")).select("from_id", X.fold("package").alias("package")).distinct()
-    to = s.projects.select(F.col("id").alias("to_id"), X.fold("name").alias("to_name"), "lang")
-    j = ask.join(to, (ask["package"] == to["to_name"]) & (ask["from_id"] != to["to_id"]))
-    return j.groupBy("from_id", "package", "lang").agg(F.min("to_id").alias("to_id")).select("from_id", "to_id", "lang")
+    return s.named_refs
 
 
 GLOBS = ("src/**/Generation/*.cs", "**/Scripts/*.sql", "*/docs/**", "src/*.cs")
@@ -831,7 +847,7 @@ def j13_glob_ownership(s: Store) -> DataFrame:
 
 @query(f"WITH {PROJ}, {OWN}, {POST} SELECT own.project_id, count(DISTINCT po.file_id) AS files FROM po JOIN own ON own.file_id = po.file_id WHERE token = 'watcher' GROUP BY 1")
 def a4_projects_by_matches(s: Store) -> DataFrame:
-    return s.postings.where("token = 'watcher'").join(s.owners, "file_id").groupBy("project_id").agg(F.count_distinct("file_id").alias("files"))
+    return s.postings_of(["watcher"]).join(s.owners, "file_id").groupBy("project_id").agg(F.count_distinct("file_id").alias("files"))
 
 
 @query(f"WITH {REFS}, t AS (SELECT DISTINCT project_id, file_id, line_no, CASE WHEN contains(line, 'new ') THEN 'creation' WHEN contains(line, ': ') THEN 'base' ELSE 'use' END AS usage FROM rf) SELECT project_id, usage, count(*) AS sites FROM t GROUP BY 1, 2")
@@ -841,10 +857,10 @@ def a7_usage_histogram(s: Store) -> DataFrame:
     return _references(s).select("project_id", "file_id", "line_no", usage.alias("usage")).distinct().groupBy("project_id", "usage").agg(F.count("*").alias("sites"))
 
 
-@query(f"WITH {PROJ} SELECT to_id AS project_id, count(*) AS dependents, bool_and(p.style = 'sdk') AS all_sdk FROM refs JOIN p ON p.id = from_id GROUP BY 1")
+@query(f"WITH {EDGES} SELECT to_id AS project_id, count(*) AS dependents, bool_and(kind = 'assembly') AS only_by_name FROM edges GROUP BY 1")
 def a12_direct_dependents(s: Store) -> DataFrame:
-    p = s.projects.select(F.col("id").alias("from_id"), "style")
-    return s.refs.join(p, "from_id").groupBy(F.col("to_id").alias("project_id")).agg(F.count("*").alias("dependents"), F.every(F.col("style") == "sdk").alias("all_sdk"))
+    """Direct dependents of each project, and whether all of them refer to it by name only."""
+    return s.edges.groupBy(F.col("to_id").alias("project_id")).agg(F.count("*").alias("dependents"), F.every(F.col("kind") == "assembly").alias("only_by_name"))
 
 
 @query(f"WITH {SY}, {EDGE} SELECT s.id AS symbol_id, path FROM s JOIN (SELECT DISTINCT derived_id FROM be WHERE base_name = 'icursor') e ON e.derived_id = s.id JOIN files f ON f.id = s.file_id ORDER BY is_generated, name, path, symbol_id LIMIT 60")
@@ -865,11 +881,10 @@ def t10_concrete_first(s: Store) -> DataFrame:
     return s.symbols.where(F.col("kind").isin("class", "interface")).orderBy(open_, "name", "id").limit(50).select(F.col("id").alias("symbol_id"))
 
 
-@query("SELECT id AS file_id, size, ntile(8) OVER (ORDER BY size DESC, path) AS batch FROM (SELECT * FROM files WHERE lang = 'cs' ORDER BY size DESC, path LIMIT 400)")
+@query("SELECT id AS file_id, size, (row_number() OVER (ORDER BY size DESC, path) - 1) % 8 AS lane FROM files WHERE lang = 'cs'")
 def t15_largest_first(s: Store) -> DataFrame:
-    """The 400 largest sources in eight batches, largest first, as a cold build takes them."""
-    top = s.files.where("lang = 'cs'").orderBy(F.desc("size"), "path").limit(400)
-    return top.select(F.col("id").alias("file_id"), "size", F.ntile(8).over(Window.orderBy(F.desc("size"), "path")).cast("long").alias("batch"))
+    """All sources dealt to eight lanes, largest first, as a cold build takes them; the order is one sort over ranges and the place in it comes from the ranges' counts, not from one task's window."""
+    return S.numbered(s.files.where("lang = 'cs'").select(F.col("id").alias("file_id"), "size", "path"), [F.desc("size"), F.col("path")], Scratch(s.spark, "lanes")).select("file_id", "size", (F.col("place") % 8).alias("lane"))
 
 
 @query(f"WITH {PROJ} SELECT from_id AS node, to_id AS other, 'downstream' AS side FROM refs UNION ALL SELECT to_id, from_id, 'upstream' FROM refs")
@@ -892,7 +907,7 @@ def x4_phrase(s: Store) -> DataFrame:
     """A name with separators is a phrase: its tokens side by side. Files without all of them are pruned first."""
     ts = X.query_tokens("Task.Yield")
     near = r"(?<![\p{L}\p{Nd}_])" + r"[^\p{L}\p{Nd}_]+".join(ts) + r"(?![\p{L}\p{Nd}_])"
-    return lines_of(search.texts_holding(s.contents, ts)).where(X.fold("line").rlike(near)).select("file_id", "line_no").distinct()
+    return lines_of(s.texts_holding(ts)).where(X.fold("line").rlike(near)).select("file_id", "line_no").distinct()
 
 
 @query(f"WITH {L}, {SY}, h AS (SELECT file_id, line_no FROM l WHERE {_has('manifest')} AND {_has('ledger')}) SELECT file_id, line_no, inside FROM (SELECT h.file_id, h.line_no, s.name AS inside, row_number() OVER (PARTITION BY h.file_id, h.line_no ORDER BY end_line - start_line, start_line DESC, s.id) AS rn FROM h LEFT JOIN s ON s.file_id = h.file_id AND h.line_no BETWEEN start_line AND end_line) WHERE rn = 1")
@@ -991,10 +1006,10 @@ def l24_parse_contexts(s: Store) -> DataFrame:
     return c.withColumn("nth", nth).where("nth <= 64").orderBy("nth", "owner").limit(64).select("file_id", "owner")
 
 
-@query(f"WITH {PROJ} SELECT from_id, to_id, CASE WHEN bool_or(a.style = 'sdk') THEN 'project' ELSE 'assembly' END AS kind FROM refs JOIN p a ON a.id = from_id GROUP BY 1, 2")
+@query(f"WITH {EDGES} SELECT from_id, to_id, kind FROM edges")
 def g5_edge_kinds(s: Store) -> DataFrame:
-    a = s.projects.select(F.col("id").alias("from_id"), "style")
-    return s.refs.join(a, "from_id").groupBy("from_id", "to_id").agg(F.when(F.bool_or(F.col("style") == "sdk"), "project").otherwise("assembly").alias("kind"))
+    """One row a pair of projects; a project reference wins over one by name."""
+    return s.edges
 
 
 @query(
@@ -1007,7 +1022,9 @@ def g10_scan_set(s: Store) -> DataFrame:
     cand = _references(s).where("project_id is not null").groupBy("project_id").agg(F.count_distinct("file_id").alias("files"))
     declared = s.symbols.where(F.col("name") == NAME).select("file_id").distinct()
     seed = s.owners.join(declared, "file_id", "left_semi").select("project_id").distinct()
-    up = graph.reachable(_edges(s, True), seed.select(F.col("project_id").alias("root")), Scratch(s.spark, "scan")).select(F.col("node").alias("project_id"))
+    # the union of what the seeds reach: one virtual root before them all visits each project once
+    start = seed.select(F.lit(-1).cast("long").alias("src"), F.col("project_id").alias("dst"))
+    up = graph.reachable(_edges(s, True).unionByName(start), s.spark.createDataFrame([(-1,)], "root long"), Scratch(s.spark, "scan")).select(F.col("node").alias("project_id"))
     known = seed.withColumn("tier", F.lit(0)).unionByName(up.withColumn("tier", F.lit(1))).groupBy("project_id").agg(F.min("tier").alias("tier"))
     return cand.join(known, "project_id").orderBy("tier", F.desc("files"), "project_id").limit(40).select("project_id", "tier")
 
@@ -1061,7 +1078,7 @@ SELECT i.file_id FROM inner_ i JOIN files f ON f.id = i.file_id WHERE f.lang = '
 )
 def t4_nested_top(s: Store) -> DataFrame:
     """Filters after the inner cut, as the regular-expression search orders it: the best 2000 first, then those of the scope."""
-    inner = search.scan_bm25(s.contents, SEARCH, Scratch(s.spark, "bm25")).orderBy(F.desc(F.round("score", 6)), "file_id").limit(2000)
+    inner = _ranked(s).orderBy(F.desc(F.round("score", 6)), "file_id").limit(2000)
     f = s.files.where("lang = 'cs' and not is_generated").select(F.col("id").alias("f_id"))
     return inner.join(f, F.col("file_id") == F.col("f_id"), "left_semi").select("file_id").orderBy("file_id").limit(100)
 
@@ -1113,10 +1130,12 @@ def r4_refresh_plan(s: Store) -> DataFrame:
 
 
 @query(
-    """WITH q AS (SELECT event_id, event_type IN ('signup', 'error') AS lifecycle, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS age FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 2000)),
- k AS (SELECT *, row_number() OVER (ORDER BY lifecycle DESC, age) AS place FROM q) SELECT event_id, lifecycle FROM k WHERE place <= 1024"""
+    """WITH q AS (SELECT event_id, event_type IN ('signup', 'error') AS lifecycle, ts FROM events),
+ k AS (SELECT *, row_number() OVER (ORDER BY lifecycle DESC, ts DESC, event_id DESC) AS place FROM q)
+SELECT event_id, lifecycle, (SELECT count(*) FROM q) - 1024 AS dropped FROM k WHERE place <= 1024"""
 )
 def r11_bounded_queue(s: Store) -> DataFrame:
-    """The last 2000 events put through a queue of 1024 that drops the oldest, but lifecycle events last."""
-    last = s.raw("events").orderBy(F.desc("ts"), F.desc("event_id")).limit(2000).withColumn("lifecycle", F.col("event_type").isin("signup", "error"))
-    return last.orderBy(F.desc("lifecycle"), F.desc("ts"), F.desc("event_id")).limit(1024).select("event_id", "lifecycle")
+    """All events put through a queue of 1024 that drops the oldest, but lifecycle events last; what was dropped is told."""
+    e = s.raw("events").withColumn("lifecycle", F.col("event_type").isin("signup", "error"))
+    n = e.agg((F.count("*") - 1024).alias("dropped"))
+    return e.orderBy(F.desc("lifecycle"), F.desc("ts"), F.desc("event_id")).limit(1024).select("event_id", "lifecycle").crossJoin(F.broadcast(n))

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codeloom.operators.events import latest, normalise
 from codeloom.sources.tables import Scratch
 from codeloom.sources.versions import VersionedTable
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-#: A line longer than this is dropped and counted by the caller, as the log's own reader does.
+#: A line longer than this is not parsed; it is told as a truncated record, so that nothing is lost silently.
 LONGEST_LINE = 256 * 1024
 
 
 def tail(spark: SparkSession, folder: str, files_per_trigger: int = 64) -> DataFrame:
     """Records of a folder of JSON-lines logs, new files as they come."""
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_trigger).load(folder)
-    return normalise(lines.where(F.length("value") <= LONGEST_LINE))
+    return normalise(lines.select(bounded_line(F.col("value")).alias("value")))
+
+
+def bounded_line(line: Column) -> Column:
+    """A line, or, if it is too long, a record that says so."""
+    return F.when(F.octet_length(line) <= LONGEST_LINE, line).otherwise(F.lit(f'{{"e": "telemetry_truncated", "capBytes": {LONGEST_LINE}}}'))
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
