@@ -28,6 +28,7 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from bisect import bisect_left
 from collections import defaultdict
@@ -55,6 +56,7 @@ ITEM_BLOCK = 4_000_000
 UNSPACED = ("zh", "ja", "th", "lo", "km", "my")
 
 _TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}々ー]|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}々ー])[\p{L}\p{M}\p{N}])+")
+_ASCII_TOKEN = re.compile(r"[a-z0-9]+")
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Mn}\p{Me}]+")
 _ENTITY = regex.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|\w{2,8});")
 _TAG = regex.compile(r"</?[A-Za-z][^<>\n]*>")
@@ -66,8 +68,9 @@ def tokens(s: str) -> list[str]:
         s = _ENTITY.sub(" ", s)
     if "<" in s:
         s = _TAG.sub(" ", s)
-    s = unicodedata.normalize("NFKC", s)
-    s = _INVISIBLE.sub("", s) if not s.isascii() else s
+    if s.isascii():
+        return _ASCII_TOKEN.findall(s.lower())
+    s = _INVISIBLE.sub("", unicodedata.normalize("NFKC", s))
     return _TOKEN.findall(s.casefold())
 
 
@@ -81,11 +84,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _hashes(ts: list[str]) -> np.ndarray:
-    import xxhash
+#: Tokens whose hashes a worker remembers; a bound on memory only.
+REMEMBERED = 500_000
+
+
+class _Known(dict):
+    """Hashes of tokens by token."""
+
+    def __missing__(self, token: str) -> int:
+        import xxhash
+
+        if len(self) >= REMEMBERED:
+            self.clear()
+        h = self[token] = xxhash.xxh3_64_intdigest(token)
+        return h
 
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(t) for t in ts), dtype=np.uint64, count=len(ts))
+
+_known = _Known()
+
+
+def _hashes(ts: list[str]) -> np.ndarray:
+    return np.fromiter(map(_known.__getitem__, ts), dtype=np.uint64, count=len(ts))
 
 
 def _lanes(x: np.ndarray, kind: type) -> np.ndarray:
