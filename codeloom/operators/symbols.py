@@ -122,18 +122,20 @@ def implementers(base_edges: DataFrame, symbols: DataFrame, name: str) -> DataFr
 def implementation_closure(base_edges: DataFrame, symbols: DataFrame, name: str, scratch: Scratch, cap: int = 2000) -> DataFrame:
     """(symbol_id, depth, capped) of all types that derive from `name` over any number of hops.
 
-    Breadth first over folded names; a name is expanded once. `capped` tells,
+    Breadth first over folded names with their number of type arguments; of the
+    root's any number counts. `capped` tells,
     instead of cutting silently, that more than `cap` were found.
     """
-    types = symbols.where(F.col("kind").isin(*TYPE_KINDS)).select(F.col("id").alias("t_id"), fold("name").alias("t_name"))
-    named = base_edges.join(types, base_edges["derived_id"] == types["t_id"]).select("base_name", "derived_id", "t_name").distinct()
+    types = symbols.where(F.col("kind").isin(*TYPE_KINDS)).select(F.col("id").alias("t_id"), F.concat_ws("`", fold("name"), F.coalesce("arity", F.lit(0)).cast("string")).alias("own"))
+    named = base_edges.join(types, base_edges["derived_id"] == types["t_id"]).select("base_name", F.concat_ws("`", "base_name", F.col("base_arity").cast("string")).alias("base"), "derived_id", "own").distinct()
     e = scratch.cut(named)
     spark = symbols.sparkSession
-    start = spark.createDataFrame([(fold_text(name),)], "root string")
-    # names are the nodes of the walk; a type is as deep as the shallowest of the names that it derives from, and one more
-    near = graph.reachable(e.select(F.col("base_name").alias("src"), F.col("t_name").alias("dst")), start, scratch).select(F.col("node").alias("at"), "depth")
-    near = near.where(F.col("at") != fold_text(name)).unionByName(start.select(F.col("root").alias("at"), F.lit(0).alias("depth")))
-    found = scratch.cut(e.join(near, e["base_name"] == near["at"]).groupBy("derived_id").agg((F.min("depth") + 1).alias("depth")))
+    # the root stands for the name with any number of arguments; it is no name itself
+    start = e.where(F.col("base_name") == fold_text(name)).select(F.lit("").alias("src"), F.col("base").alias("dst"))
+    root = spark.createDataFrame([("",)], "root string")
+    near = graph.reachable(e.select(F.col("base").alias("src"), F.col("own").alias("dst")).unionByName(start), root, scratch).select(F.col("node").alias("at"), "depth")
+    # a type is as deep as the shallowest of the names that it derives from
+    found = scratch.cut(e.join(near, e["base"] == near["at"]).groupBy("derived_id").agg(F.min("depth").alias("depth")))
     n = found.agg((F.count("*") > cap).alias("capped"))
     return found.select(F.col("derived_id").alias("symbol_id"), "depth").crossJoin(F.broadcast(n))
 
@@ -144,9 +146,20 @@ def fingerprint(*parts: Column | str) -> Column:
 
 
 def numbered(rows: DataFrame, order: list[Column], scratch: Scratch) -> DataFrame:
-    """Rows with `place`, counted from 0 in a total order: ranges are sorted each in its task, and a range begins where the counts of those before it end."""
-    cut = scratch.cut(rows.orderBy(*order).withColumn("range", F.spark_partition_id()).withColumn("within", F.monotonically_increasing_id() - F.shiftleft(F.col("range").cast("long"), 33)))
+    """Rows with `place`, counted from 0 in a total order."""
+    return running_total(rows.withColumn("one", F.lit(1).cast("long")), order, "one", scratch).withColumn("place", F.col("running") - 1).drop("one", "running")
+
+
+def running_total(rows: DataFrame, order: list[Column], value: str, scratch: Scratch) -> DataFrame:
+    """Rows with `running`, the sum of a column up to and with each row in a total order.
+
+    Rows are sorted into ranges, each a task; sums run within a range and begin
+    where the totals of the ranges before it end. No window holds more than a range.
+    """
+    cut = scratch.cut(rows.orderBy(*order).withColumn("range", F.spark_partition_id()).withColumn("within", F.monotonically_increasing_id()))
     # one row a range: bounded by the number of partitions
-    n = cut.groupBy("range").agg(F.count("*").alias("n"))
+    n = cut.groupBy("range").agg(F.sum(value).alias("n"))
     base = n.select(F.col("range").alias("b_range"), F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return cut.join(F.broadcast(base), cut["range"] == base["b_range"]).withColumn("place", F.col("base") + F.col("within")).drop("range", "within", "b_range", "base")
+    inner = Window.partitionBy("range").orderBy("within").rowsBetween(Window.unboundedPreceding, 0)
+    summed = cut.withColumn("sum", F.sum(value).over(inner))
+    return summed.join(F.broadcast(base), summed["range"] == base["b_range"]).withColumn("running", F.col("base") + F.col("sum")).drop("range", "within", "b_range", "base", "sum")

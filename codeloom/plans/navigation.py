@@ -652,9 +652,9 @@ def y13_implementers(s: Store) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {SY}, {EDGE}, e AS (SELECT DISTINCT base_name, derived_id, lower(name) AS t_name FROM be JOIN s ON s.id = derived_id),
- r AS (SELECT derived_id, t_name, 1 AS depth FROM e WHERE base_name = 'icursor' UNION SELECT e.derived_id, e.t_name, depth + 1 FROM r JOIN e ON e.base_name = r.t_name WHERE depth < 20)
-SELECT derived_id AS symbol_id, min(depth) AS depth, count(DISTINCT derived_id) > 2000 AS capped FROM r GROUP BY 1"""
+    f"""WITH RECURSIVE {SY}, {EDGE}, e AS (SELECT DISTINCT base_name, base_arity, derived_id, lower(name) AS t_name, coalesce(arity, 0) AS t_arity FROM be JOIN s ON s.id = derived_id WHERE kind IN {_list(TYPE_KINDS)}), most AS (SELECT count(*) AS n FROM e),
+ r AS (SELECT derived_id, t_name, t_arity, 1 AS depth FROM e WHERE base_name = 'icursor' UNION SELECT e.derived_id, e.t_name, e.t_arity, depth + 1 FROM r JOIN e ON e.base_name = r.t_name AND e.base_arity = r.t_arity, most WHERE depth <= least(n, 200))
+SELECT derived_id AS symbol_id, min(depth) AS depth, (SELECT count(DISTINCT derived_id) > 2000 FROM r) AS capped FROM r GROUP BY 1"""
 )
 def y14_closure(s: Store) -> DataFrame:
     return S.implementation_closure(s.base_edges, s.symbols, "ICursor", Scratch(s.spark, "closure"))

@@ -104,7 +104,7 @@ def w7_run_gaps(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """WITH n AS (SELECT run_id, attempt, count(DISTINCT path) AS done FROM file_checkpoints GROUP BY ALL), t AS (SELECT count(*) AS total FROM files),
  x AS (SELECT r.run_id, r.attempt, coalesce(done, 0) AS files_done, (epoch_us(finished_at) - epoch_us(started_at)) / 1e6 AS elapsed_s, total FROM index_runs r LEFT JOIN n USING (run_id, attempt), t)
-SELECT run_id, attempt, round(CASE WHEN files_done >= 10 AND elapsed_s >= 1 THEN files_done / elapsed_s END, 6) AS rate, round((total - files_done) / (CASE WHEN files_done >= 10 AND elapsed_s >= 1 THEN files_done / elapsed_s END), 3) AS eta_s FROM x"""
+SELECT run_id, attempt, round(CASE WHEN files_done >= 100 AND elapsed_s >= 1 THEN files_done / elapsed_s END, 6) AS rate, round((total - files_done) / (CASE WHEN files_done >= 100 AND elapsed_s >= 1 THEN files_done / elapsed_s END), 3) AS eta_s FROM x"""
 )
 def a17_rates(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "file_checkpoints").groupBy("run_id", "attempt").agg(F.count_distinct("path").alias("done"))
@@ -112,7 +112,7 @@ def a17_rates(spark: SparkSession, d: str) -> DataFrame:
     total = table(spark, d, "files").agg(F.count("*").alias("files_total"))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     p = r.crossJoin(F.broadcast(total)).select("run_id", "attempt", F.coalesce("done", F.lit(0)).alias("files_done"), "files_total", ((micros("finished_at") - micros("started_at")) / 1e6).alias("elapsed_s"))
-    return E.rate_and_eta(p, 10, 1.0).select("run_id", "attempt", F.round("rate", 6).alias("rate"), F.round("eta_s", 3).alias("eta_s"))
+    return E.rate_and_eta(p, 100, 1.0).select("run_id", "attempt", F.round("rate", 6).alias("rate"), F.round("eta_s", 3).alias("eta_s"))
 
 
 @query(

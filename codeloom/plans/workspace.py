@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from codeloom.functions import text as X
 from codeloom.operators import events as E, graph, search, symbols as S
-from codeloom.operators.store import CONFIG_NAMES, TYPE_KINDS, Store
+from codeloom.operators.store import CONFIG_NAMES, TYPE_KINDS, Store, lines_of
 from codeloom.plans.navigation import C, EDGE, L, NAME, OWN, POST, PROJ, SY, _has, _list
 from codeloom.sources import workspace
 from codeloom.sources.tables import Scratch
@@ -508,3 +508,143 @@ def r1_refresh(s: Store) -> DataFrame:
     out = acts.groupBy(F.col("action").alias("what")).agg(F.count("*").alias("n"))
     out = out.unionByName(one("files", index.read_part("files"), F.count("*"))).unionByName(one("symbols", index.read_part("symbols"), F.count("*")))
     return out.unionByName(one("characters", index.read_part("contents"), F.sum(F.length("content"))))
+
+
+# ------------------------------------------------- logs, diffs, slices, callers
+
+
+@query(f"WITH k AS (SELECT {_KIND} AS kind FROM events) SELECT kind, count(*) AS n FROM k GROUP BY 1")
+def s9_tailed_log(s: Store) -> DataFrame:
+    """The log as a stream of text files, read once to its end."""
+    from codeloom.streaming import telemetry
+
+    scratch = Scratch(s.spark, "log")
+    folder = f"{scratch.base}/in"
+    _records(s).write.text(folder)
+    return telemetry.drain(telemetry.tail(s.spark, folder), scratch, "append").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("WITH r AS (SELECT event_id, strlen(props) + 1 AS bytes FROM events), t AS (SELECT *, sum(bytes) OVER (ORDER BY event_id) AS running FROM r) SELECT count(*) FILTER (running <= 20000) AS kept, (max(running) > 20000)::INT AS truncated, max(running) FILTER (running <= 20000)::BIGINT AS bytes FROM t")
+def k6_capped_log(s: Store) -> DataFrame:
+    """A log of at most 20000 bytes, and whether it says that it was cut."""
+    from codeloom.streaming import telemetry
+
+    log = telemetry.capped(s.raw("events").select("event_id", F.col("props").alias("value")), [F.col("event_id")], 20000, Scratch(s.spark, "log"))
+    cut = F.col("value").contains("telemetry_truncated")
+    return log.agg(F.count_if(~cut).alias("kept"), F.count_if(cut).cast("int").alias("truncated"), F.sum(F.when(~cut, F.octet_length("value") + 1)).alias("bytes"))
+
+
+@query(
+    """WITH f AS (SELECT id, path, (id % 11 = 0) AS deleted, 10 + (id % 20)::INT AS a FROM files WHERE lang IN ('cs', 'fs'))
+SELECT id AS diff_id, path, deleted, a AS old_start, 3 AS old_count, CASE WHEN deleted THEN 0 ELSE a + 2 END AS new_start, CASE WHEN deleted THEN 0 ELSE 5 END AS new_count FROM f UNION ALL SELECT id, path, deleted, a + 40, 1, a + 44, 2 FROM f WHERE NOT deleted"""
+)
+def s8_hunks(s: Store) -> DataFrame:
+    """Unified diffs (one made for each source file) read back as hunks."""
+    from codeloom.sources import diffs
+
+    a = (F.col("id") % 20 + 10).cast("int")
+    head = F.concat(F.lit("From: nobody\n\ndiff --git a/"), "path", F.lit(" b/"), "path", F.lit("\nindex 1..2 100644\n--- a/"), "path", F.lit("\n"))
+    gone = F.concat(head, F.lit("+++ /dev/null\n@@ -"), a, F.lit(",3 +0,0 @@\n-x\n-y\n-z\n"))
+    kept = F.concat(head, F.lit("+++ b/"), "path", F.lit("\n@@ -"), a, F.lit(",3 +"), a + 2, F.lit(",5 @@ class X\n x\n+y\n+@@ no hunk\n@@ -"), a + 40, F.lit(" +"), a + 44, F.lit(",2 @@\n-q\n"))
+    text = F.when(F.col("id") % 11 == 0, gone).otherwise(kept)
+    return diffs.hunks(s.files.where(F.col("lang").isin("cs", "fs")).select(F.col("id").alias("diff_id"), text.alias("text")))
+
+
+@query(f"WITH {C} SELECT file_id, array_to_string(string_split(content, chr(10))[1:3], chr(10)) AS head FROM c WHERE content IS NOT NULL")
+def s10_first_lines(s: Store) -> DataFrame:
+    """The first three lines of each file; the rest of the text is not cut."""
+    return s.contents.where("content is not null").select("file_id", F.substring_index("content", "\n", 3).alias("head"))
+
+
+@query(
+    f"""WITH {L}, {SY}, rf AS (SELECT DISTINCT file_id, line_no FROM l WHERE regexp_matches(line, '(^|[^\\pL\\p{{Nd}}_]){NAME}([^\\pL\\p{{Nd}}_]|$)')),
+ i AS (SELECT rf.file_id, rf.line_no, s.id, row_number() OVER (PARTITION BY rf.file_id, rf.line_no ORDER BY end_line - start_line, start_line DESC, s.id) AS rn FROM rf JOIN s ON s.file_id = rf.file_id AND rf.line_no BETWEEN start_line AND end_line WHERE s.kind IN ('method', 'constructor', 'function', 'property')),
+ k AS (SELECT id, line_no, row_number() OVER (PARTITION BY id ORDER BY line_no) AS nth FROM i WHERE rn = 1)
+SELECT id AS symbol_id, count(*) AS sites, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) FILTER (nth <= 5) AS first_sites FROM k GROUP BY 1"""
+)
+def l18_callers(s: Store) -> DataFrame:
+    """Members that mention a name, with their first five sites: references in text, each credited to the innermost member around it."""
+    rf = search.references(s.lines_with(NAME), s.owners, NAME).select("file_id", "line_no").distinct()
+    members = s.symbols.where(F.col("kind").isin("method", "constructor", "function", "property"))
+    at = S.innermost(rf, members)
+    w = Window.partitionBy("symbol_id").orderBy("line_no")
+    first = at.withColumn("nth", F.row_number().over(w)).where("nth <= 5").groupBy(F.col("symbol_id").alias("f_id")).agg(F.array_sort(F.collect_list("line_no")).alias("a"))
+    return at.groupBy("symbol_id").agg(F.count("*").alias("sites")).join(first, F.col("symbol_id") == F.col("f_id")).select("symbol_id", "sites", F.array_join(F.transform("a", lambda x: x.cast("string")), ",").alias("first_sites"))
+
+
+@query(
+    f"""WITH {L}, {SY}, decl AS (SELECT DISTINCT name FROM s WHERE kind IN ('method', 'function') AND name IS NOT NULL), t AS (SELECT id, file_id, start_line, end_line FROM s WHERE kind = 'method'),
+ x AS (SELECT t.id, l.line_no, unnest(regexp_extract_all(line, '([A-Za-z_]\\w*)\\s*\\(', 1)) AS callee FROM t JOIN l ON l.file_id = t.file_id AND l.line_no > t.start_line AND l.line_no <= t.end_line)
+SELECT id AS symbol_id, callee, count(DISTINCT line_no) AS lines, min(line_no) AS first_line FROM x JOIN decl ON decl.name = callee GROUP BY 1, 2"""
+)
+def l18_callees(s: Store) -> DataFrame:
+    """Names that methods call and the workspace declares: calls in the text of their bodies."""
+    t = s.symbols.where("kind = 'method'").select(F.col("id").alias("symbol_id"), F.col("file_id").alias("t_file"), "start_line", "end_line")
+    decl = s.symbols.where("kind in ('method', 'function') and name is not null").select(F.col("name").alias("d_name")).distinct()
+    lines = lines_of(s.contents_of(t.select(F.col("t_file").alias("file_id"))).where("content is not null"))
+    calls = lines.where(F.col("line").contains("(")).select("file_id", "line_no", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"([A-Za-z_]\w*)\s*\("), F.lit(1)))).alias("callee"))
+    calls = calls.join(decl, F.col("callee") == F.col("d_name"), "left_semi")
+    j = calls.join(t, (F.col("file_id") == F.col("t_file")) & (F.col("line_no") > F.col("start_line")) & (F.col("line_no") <= F.col("end_line")))
+    return j.groupBy("symbol_id", "callee").agg(F.count_distinct("line_no").alias("lines"), F.min("line_no").alias("first_line"))
+
+
+@query(
+    f"""WITH RECURSIVE {SY}, {EDGE}, e AS (SELECT DISTINCT base_name AS up, lower(name) AS down FROM be JOIN s ON s.id = derived_id), ro AS (SELECT coalesce(min(up) FILTER (up IN (SELECT down FROM e)), min(up)) AS root FROM e),
+ u AS (SELECT up AS name, 1 AS hops FROM e, ro WHERE down = root UNION SELECT e.up, hops + 1 FROM u JOIN e ON e.down = u.name WHERE hops < 30), d AS (SELECT down AS name, 1 AS hops FROM e, ro WHERE up = root UNION SELECT e.down, hops + 1 FROM d JOIN e ON e.up = d.name WHERE hops < 30)
+SELECT 'above' AS side, name, min(hops) AS hops FROM u GROUP BY 2 UNION ALL SELECT 'below', name, min(hops) FROM d GROUP BY 2"""
+)
+def l18_type_hierarchy(s: Store) -> DataFrame:
+    """All bases above and all types below a name, with how far they are."""
+    e = s.base_edges.join(s.symbols.select(F.col("id").alias("d_id"), X.fold("name").alias("down")), F.col("derived_id") == F.col("d_id")).select(F.col("base_name").alias("src"), F.col("down").alias("dst")).distinct()
+    e = Scratch(s.spark, "types").cut(e)
+    # a name in the middle if there is one
+    d = e.select(F.col("dst").alias("d")).distinct()
+    root = e.join(d, F.col("src") == F.col("d"), "left").agg(F.coalesce(F.min(F.when(F.col("d").isNotNull(), F.col("src"))), F.min("src")).alias("root")).where("root is not null")
+    out = None
+    for side, way in (("above", graph.reverse(e)), ("below", e)):
+        hit = graph.reachable(way, root, Scratch(s.spark, "types"), 30).select(F.lit(side).alias("side"), F.col("node").alias("name"), F.col("depth").alias("hops"))
+        out = hit if out is None else out.unionByName(hit)
+    return out
+
+
+@query(
+    f"""WITH {SY}, t AS (SELECT *, min(id) OVER w AS class_id, count(*) OVER w AS members, row_number() OVER (PARTITION BY kind, name, ns, container ORDER BY id) AS nth FROM s WHERE is_partial WINDOW w AS (PARTITION BY kind, name, ns, container))
+SELECT class_id, id AS symbol_id, members > 11 AS more FROM t WHERE members > 1 AND nth <= 11"""
+)
+def y6_sibling_page(s: Store) -> DataFrame:
+    """Of each partial type its first eleven declarations, and whether there are more; ranks are cut before they are shuffled."""
+    key = ["kind", "name", "ns", "container"]
+    t = s.symbols.where("is_partial").select("id", *key)
+    first = t.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("id"))).where("nth <= 11")
+    c = t.groupBy(*[F.col(k).alias(f"c_{k}") for k in key]).agg(F.min("id").alias("class_id"), F.count("*").alias("members")).where("members > 1")
+    same = None
+    for k in key:
+        test = first[k].eqNullSafe(c[f"c_{k}"])
+        same = test if same is None else same & test
+    return first.join(c, same).select("class_id", F.col("id").alias("symbol_id"), (F.col("members") > 11).alias("more"))
+
+
+_TABLES = ("files", "file_contents", "symbols", "parsed_projects", "parsed_solutions", "file_checkpoints", "index_runs", "events")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS source, count(*) AS held FROM {t}" for t in _TABLES))
+def server_capabilities(s: Store) -> DataFrame:
+    """What a workspace can be asked about: its sources and how much they hold."""
+    out = None
+    for t in _TABLES:
+        part = s.raw(t).agg(F.count("*").alias("held")).select(F.lit(t).alias("source"), "held")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(None)
+def s4_agreement(s: Store) -> DataFrame:
+    """How far the extractor's declarations are those of the symbols table: of each kind those stored, those found, those that agree in place and name, and of these those with equal signatures."""
+    from codeloom.operators import extract
+
+    f = s.files.where(F.col("lang").isin("cs", "fs")).select(F.col("id").alias("file_id"))
+    key = ["file_id", "kind", "name", "start_line"]
+    got = extract.full_declarations(s.contents).join(f, "file_id", "left_semi").groupBy(*key).agg(F.max("signature").alias("g_signature"))
+    want = s.symbols.join(f, "file_id", "left_semi").where("start_line is not null").groupBy(*key).agg(F.max("signature").alias("w_signature"))
+    j = want.withColumn("w", F.lit(1)).join(got.withColumn("g", F.lit(1)), key, "full")
+    return j.groupBy("kind").agg(F.count("w").alias("stored"), F.count("g").alias("found"), F.count_if(F.col("w").isNotNull() & F.col("g").isNotNull()).alias("both"), F.count_if(F.col("w_signature") == F.col("g_signature")).alias("same_signature"))

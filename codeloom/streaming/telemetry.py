@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codeloom.operators.events import latest, normalise
+from codeloom.operators.symbols import running_total
 from codeloom.sources.tables import Scratch
 from codeloom.sources.versions import VersionedTable
 
@@ -64,3 +65,20 @@ def keep_latest(stream: DataFrame, state: VersionedTable, key: str, order: list[
         state.publish(state.stage(latest(both, key, order)))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def capped(records: DataFrame, order: list[Column], cap: int, scratch: Scratch) -> DataFrame:
+    """A log's lines (value) in order as far as `cap` bytes hold them, and, if there are more, a record that says so in the end.
+
+    The running number of bytes is a sum within sorted ranges and over the ranges'
+    totals, so no task sees more than its range.
+    """
+    kept = running_total(records.withColumn("bytes", F.octet_length("value") + 1), order, "bytes", scratch)
+    inside = kept.where(F.col("running") <= cap)
+    told = kept.agg(F.max("running").alias("all")).where(F.col("all") > cap).select(F.lit(f'{{"e": "telemetry_truncated", "capBytes": {cap}}}').alias("value"))
+    return inside.select("value").unionByName(told)
+
+
+def expired(files: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """Log files (path, modified) older than the retention."""
+    return files.where(F.col("modified") < now - F.expr(f"interval {days} days"))

@@ -91,3 +91,35 @@ def test_agrees_with_the_stored_symbols(spark):
     kinds = "kind in ('class','interface','struct','record','enum','method','constructor','function')"
     want = {(r["file_id"], r["name"], r["start_line"]) for r in s.symbols.where(kinds).join(s.contents.select("file_id"), "file_id", "left_semi").collect()}
     assert len(got & want) > 0.97 * len(want)
+
+
+FULL = """using System;
+namespace A.B;
+[Obsolete("x")]
+public sealed class C<T> : D where T : class
+{
+    private readonly int _x = 1, _y;
+    public const string K = "a{b";
+    public event Action? E;
+    [HttpGet] public Guid Folder { get; private set; }
+    public int N => 3;
+    public int this[int i] { get { return i; } }
+    public C(int a) { _x = a; if (a > 1) { } }
+    public async Task<int> M<U>(U u, int b) { var q = 1; return 2; }
+    public string Q { get; init; } = "z";
+    void F();
+    public delegate void H(int a);
+}
+enum G : byte { One = 1, [X] Two,
+   Three }
+"""
+
+
+def test_full_declarations(spark):
+    got = {(r["kind"], r["name"]): r for r in X.full_declarations(spark.createDataFrame([(1, FULL), (2, None), (3, ""), (4, "\ufeffmodule A.B\n\nlet private f (x: int) = x\n")], "file_id long, content string")).collect()}
+    assert set(got) == {("class", "C"), ("field", "_x"), ("field", "K"), ("event", "E"), ("property", "Folder"), ("property", "N"), ("indexer", "this"), ("constructor", "C"), ("method", "M"), ("property", "Q"), ("method", "F"), ("delegate", "H"), ("enum", "G"), ("enum_member", "One"), ("enum_member", "Two"), ("enum_member", "Three"), ("module", "B"), ("function", "f")}
+    c, p, m, e = got["class", "C"], got["property", "Folder"], got["method", "M"], got["enum_member", "Three"]
+    assert (c["signature"], c["accessibility"], c["modifiers"], c["arity"], c["attr_markers"], c["ns"]) == ("public sealed class C<T> : D where T : class", "public", "sealed", 1, "Obsolete", "A.B")
+    assert (p["signature"], p["accessors"], p["attr_markers"], p["container"]) == ("public Guid Folder { get; private set; }", "get=public;set=private", "HttpGet", "C")
+    assert (m["signature"], m["modifiers"], m["arity"], m["declaration_key"]) == ("public async Task<int> M<U>(U u, int b)", "async", 1, "method|C.M|" + "public async Task<int> M<U>(U u, int b)"[-40:])
+    assert (e["container"], e["start_line"], got["function", "f"]["accessibility"], got["function", "f"]["ns"]) == ("G", 19, "private", "A.B")
