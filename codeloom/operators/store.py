@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from codeloom.functions.text import base_name, dir_name, fold, segments, tokens
 from codeloom.operators.orphans import normal_path
-from codeloom.sources.kept import Kept
-from codeloom.sources.tables import table
+from codeloom.sources.kept import Kept, read_once
 
 # fixed values: kinds of symbols that are types, and names of configuration files that hold for all projects below them
 TYPE_KINDS = ("class", "interface", "struct", "record", "record_struct", "enum", "delegate", "union", "type", "exception")
@@ -23,7 +22,7 @@ class Store:
         self.spark, self.directory = spark, directory
 
     def raw(self, name: str) -> DataFrame:
-        return table(self.spark, self.directory, name)
+        return read_once(self.spark, f"{self.kept.base}:{name}", f"{self.directory}/{name}.parquet")
 
     @cached_property
     def kept(self) -> Kept:

@@ -264,7 +264,11 @@ def l1_content_by_path(s: Store) -> DataFrame:
  (SELECT count(*) FROM files f WHERE lang IN ('cs', 'fs') AND NOT EXISTS (SELECT 1 FROM own WHERE own.file_id = f.id)) AS orphans FROM files"""
 )
 def a1_whole_overview(s: Store) -> DataFrame:
-    """All counts of a workspace in one row; each part is a one-row aggregate, so the products are of single rows."""
+    """All counts of a workspace in one row that is kept; each part is a one-row aggregate, so the products are of single rows."""
+    return s.kept.table("whole_overview", lambda: _whole_overview(s))
+
+
+def _whole_overview(s: Store) -> DataFrame:
     lang = F.col("lang")
     a = s.files.agg(
         F.count("*").alias("files"), *[F.count_if(lang == x).alias(f"{x}_files") for x in ("cs", "fs", "sql", "md", "config")], F.count_if("is_generated").alias("generated"),

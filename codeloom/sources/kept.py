@@ -13,7 +13,8 @@ import hashlib
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from codeloom.sources.tables import delete_path, shared_dir
 
@@ -21,6 +22,17 @@ from codeloom.sources.tables import delete_path, shared_dir
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 256 << 20, 8, 8192
 
 
+#: Schemas by path; a path belongs to one state of the sources, so what is under it does not change.
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def read_once(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """A parquet table whose schema is read from its files once a process. `name`: what does not change while the schema does not."""
+    df = spark.read.schema(_SCHEMAS[name]).parquet(path) if name in _SCHEMAS else spark.read.parquet(path)
+    _SCHEMAS[name] = df.schema
+    return df
+
+
 class Kept:
     """The kept tables of one data directory."""
 
@@ -45,7 +57,7 @@ class Kept:
     def buckets(self) -> int:
         return min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-self.bytes // BUCKET_BYTES)))
 
-    def bucket(self, key) -> F.Column:
+    def bucket(self, key) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
     def table(self, name: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
@@ -62,11 +74,13 @@ class Kept:
                 rows.write.parquet(temporary)
             if not self._fs.rename(self._path(temporary), self._path(at)) or not self._fs.exists(done):
                 delete_path(self.spark, temporary)
-        return self.spark.read.parquet(at)
+        return read_once(self.spark, at, at)
 
     def lookup(self, table: DataFrame, by: str, keys: list) -> DataFrame:
         """The rows of some keys: their buckets are a literal filter on the folders."""
         if not keys:
             return table.where("false")
-        numbers = [r[0] for r in self.spark.createDataFrame([(k,) for k in keys], f"k {dict(table.dtypes)[by]}").select(self.bucket("k")).distinct().collect()]
+        # constants are folded by the planner: this runs no job
+        kind = dict(table.dtypes)[by]
+        numbers = list(set(self.spark.sql("SELECT 1").select(*[self.bucket(F.lit(k).cast(kind)).alias(f"b{n}") for n, k in enumerate(keys)]).first()))
         return table.where(F.col("bucket").isin(numbers) & F.col(by).isin(keys))
