@@ -126,7 +126,9 @@ def implementation_closure(base_edges: DataFrame, symbols: DataFrame, name: str,
     root's any number counts. `capped` tells,
     instead of cutting silently, that more than `cap` were found.
     """
-    types = symbols.where(F.col("kind").isin(*TYPE_KINDS)).select(F.col("id").alias("t_id"), F.concat_ws("`", fold("name"), F.coalesce("arity", F.lit(0)).cast("string")).alias("own"))
+    # symbols that come without their number of type parameters have none
+    arity = F.coalesce("arity", F.lit(0)) if "arity" in symbols.columns else F.lit(0)
+    types = symbols.where(F.col("kind").isin(*TYPE_KINDS)).select(F.col("id").alias("t_id"), F.concat_ws("`", fold("name"), arity.cast("string")).alias("own"))
     named = base_edges.join(types, base_edges["derived_id"] == types["t_id"]).select("base_name", F.concat_ws("`", "base_name", F.col("base_arity").cast("string")).alias("base"), "derived_id", "own").distinct()
     e = scratch.cut(named)
     spark = symbols.sparkSession

@@ -97,6 +97,16 @@ def test_closure(spark):
     assert S.implementation_closure(be, sy, "nothing", Scratch(spark, "t")).count() == 0
 
 
+def test_closure_tells_types_of_one_name_apart(spark):
+    rows = [(1, "Box", 0), (2, "Box", 1), (3, "OfPlain", 0), (4, "OfGeneric", 0), (5, "Below", 0)]
+    sy = spark.createDataFrame([(i, "class", n, a) for i, n, a in rows], "id long, kind string, name string, arity int")
+    be = spark.createDataFrame([("iroot", 0, 2, 1), ("box", 0, 3, 1), ("box", 1, 4, 1), ("ofgeneric", 0, 5, 1)], "base_name string, base_arity int, derived_id long, file_id long")
+    got = {r["symbol_id"]: r["depth"] for r in S.implementation_closure(be, sy, "IRoot", Scratch(spark, "t")).collect()}
+    assert got == {2: 1, 4: 2, 5: 3}
+    # of the root any number of arguments counts
+    assert {r["symbol_id"] for r in S.implementation_closure(be, sy, "box", Scratch(spark, "t")).collect()} == {3, 4, 5}
+
+
 def test_ancestors_end_on_cycles(spark):
     sy = spark.createDataFrame([(1, 1, 2, "c", "a", 1, 1), (2, 1, 1, "c", "b", 1, 1), (3, 1, 1, "c", "c", 1, 1), (4, 1, 77, "c", "d", 1, 1)], SYM)
     got = S.ancestors(sy, Scratch(spark, "t"), most=3)
