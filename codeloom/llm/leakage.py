@@ -10,7 +10,8 @@ shortest run that the verification counts. Items' fingerprints are indexed by bl
 of bits: by the pigeonhole principle two fingerprints within the radius agree in
 at least one block, so looking up every block finds them all.
 
-What item-sized windows suggest is verified, and so is every pair with as many
+Texts with fewer windows equal to the items' than any item needs are passed over
+first; that is exact, too. What item-sized windows suggest is verified, and so is every pair with as many
 short windows as an accepted pair must share (`least_windows`, which follows from
 the verification's own constants): the index loses nothing that the verification accepts. That is exact:
 runs of equal tokens, single changed words bridged, are chained in the order of
@@ -164,6 +165,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str | None, str]]):
         self.items = []
         self.least = []
+        self.runs: dict[int, set[tuple[str, ...]]] = defaultdict(set)
         prints: dict[int, list[np.ndarray]] = defaultdict(list)
         owners: dict[int, list[np.ndarray]] = defaultdict(list)
         places: dict[int, list[np.ndarray]] = defaultdict(list)
@@ -178,6 +180,7 @@ class Index:
             self.items.append((item_id, chars, ts, weight, sum(weight)))
             self.least.append(least_windows(weight, PIECE_CHARS if chars else PIECE_WORDS))
             short, sized = min(RUN, len(ts)), 1 << (len(ts).bit_length() - 1)
+            self.runs[short].update(zip(*(ts[k:] for k in range(short))))
             sums = Sums(_hashes(ts), max(short, sized))
             for window in {short, sized}:
                 p = sums.fingerprints(window)
@@ -196,6 +199,15 @@ class Index:
                 blocks.append((order, first, np.diff(first)))
             self.tables[window] = (p, o, at, blocks)
 
+    def may_hold(self, ts: list[str]) -> bool:
+        """Whether a text has as many short windows equal to some item's as the item that needs the fewest: an accepted piece's windows stand at as many places of the text."""
+        need = min(self.least, default=1)
+        for g, known in self.runs.items():
+            need -= sum(map(known.__contains__, zip(*(ts[k:] for k in range(g)))))
+            if need <= 0:
+                return True
+        return False
+
     def _near(self, f: np.ndarray, whole: np.ndarray, p: np.ndarray, blocks: list) -> tuple[np.ndarray, np.ndarray]:
         """(places in `f`, places in `p`) of all fingerprints within the radius; a pair may come more than once."""
         at, which = [], []
@@ -370,7 +382,7 @@ def leaks(rows: Iterator[tuple[int, str]], index: Index) -> Iterator[tuple[int,
     size = 0
     for doc_id, text in rows:
         ts = tokens(text) if text else []
-        if not ts:
+        if not ts or not index.may_hold(ts):
             continue
         if group and size + len(ts) > GROUP:
             yield from _matched(group, index)
