@@ -605,7 +605,8 @@ def x6_graded_lines(s: Store) -> DataFrame:
     return search.graded(lines_of(candidates), "quota ledger").select("file_id", "line_no", "tier")
 
 
-PATTERN = r"\bvoid\b.*\bguid\b"
+# fixed values: languages that a regular expression is searched in
+SEARCHED = ("cs", "fs", "md", "sql", "csproj", "fsproj", "sln", "config")
 
 
 @query(f"WITH {L} SELECT file_id, line_no FROM l WHERE regexp_matches(line, '\\bpublic\\b \\bstatic\\b .*\\(Guid [a-z]+')")
@@ -938,7 +939,7 @@ def x18_common_term(s: Store) -> DataFrame:
 @query("SELECT id AS file_id, path FROM files WHERE lang IN ('cs','fs','md','sql','csproj','fsproj','sln','config') ORDER BY is_generated, length(path), path LIMIT 2001")
 def x10_regex_cohort(s: Store) -> DataFrame:
     """Files that a regular expression without literals scans: a bound of 2000, and one more that tells of others."""
-    return s.files.where(F.col("lang").isin("cs", "fs", "md", "sql", "csproj", "fsproj", "sln", "config")).orderBy("is_generated", F.length("path"), "path").limit(2001).select(F.col("id").alias("file_id"), "path")
+    return s.files.where(F.col("lang").isin(*SEARCHED)).orderBy("is_generated", F.length("path"), "path").limit(2001).select(F.col("id").alias("file_id"), "path")
 
 
 # ------------------------------------------------------------- further symbols

@@ -652,3 +652,76 @@ def s4_agreement(s: Store) -> DataFrame:
     want = s.symbols.join(f, "file_id", "left_semi").where("start_line is not null").groupBy(*key).agg(F.max("signature").alias("w_signature"))
     j = want.withColumn("w", F.lit(1)).join(got.withColumn("g", F.lit(1)), key, "full")
     return j.groupBy("kind").agg(F.count("w").alias("stored"), F.count("g").alias("found"), F.count_if(F.col("w").isNotNull() & F.col("g").isNotNull()).alias("both"), F.count_if(F.col("w_signature") == F.col("g_signature")).alias("same_signature"))
+
+
+# ---------------------------------------------------- fingerprints, scans, tests
+
+
+@query(
+    f"""WITH {PROJ}, x AS (SELECT 'project' AS part, k AS v FROM p UNION ALL SELECT 'reference', from_id || '>' || to_id FROM refs UNION ALL SELECT 'solution', rel_path FROM (SELECT DISTINCT rel_path FROM parsed_solutions) UNION ALL SELECT 'file', path || '#' || coalesce(hash::VARCHAR, '') FROM files)
+SELECT part, count(*) AS n, sum(('0x' || substr(md5(v), 1, 8))::BIGINT)::BIGINT AS low, sum(('0x' || substr(md5(v), 9, 8))::BIGINT)::BIGINT AS high FROM x GROUP BY 1"""
+)
+def u2_fingerprint_hashes(s: Store) -> DataFrame:
+    """What tells two states of a workspace apart: of projects, references, solutions and files their number and sums of the halves of their hashes, the same in any order."""
+    part = lambda df, name, v: df.select(F.lit(name).alias("part"), v.alias("v"))
+    x = part(s.projects, "project", F.col("key")).unionByName(part(s.refs, "reference", F.concat_ws(">", "from_id", "to_id")))
+    x = x.unionByName(part(s.raw("parsed_solutions").select("rel_path").distinct(), "solution", F.col("rel_path")))
+    x = x.unionByName(part(s.files, "file", F.concat("path", F.lit("#"), F.coalesce(F.col("hash").cast("string"), F.lit("")))))
+    half = lambda at: F.sum(F.conv(F.substring(F.md5("v"), at, 8), 16, 10).cast("long"))
+    return x.groupBy("part").agg(F.count("*").alias("n"), half(1).alias("low"), half(9).alias("high"))
+
+
+_REFERENCES = f"{PROJ}, {OWN}, {L}, rf AS (SELECT DISTINCT l.file_id, line_no, project_id FROM l LEFT JOIN own ON own.file_id = l.file_id WHERE regexp_matches(line, '{_WHOLE}'))"
+
+
+@query(
+    f"""WITH RECURSIVE {_REFERENCES}, cand AS (SELECT project_id AS id, count(DISTINCT file_id) AS files FROM rf WHERE project_id IS NOT NULL GROUP BY 1), seed AS (SELECT DISTINCT project_id AS id FROM own JOIN symbols s ON s.file_id = own.file_id WHERE s.name = '{NAME}'),
+ up AS (SELECT from_id AS id FROM refs WHERE to_id IN (SELECT id FROM seed) UNION SELECT from_id FROM up JOIN refs ON to_id = up.id),
+ t AS (SELECT id, files, CASE WHEN id IN (SELECT id FROM seed) THEN 0 WHEN id IN (SELECT id FROM up) THEN 1 END AS tier FROM cand), r AS (SELECT *, row_number() OVER (PARTITION BY tier IS NULL ORDER BY tier, files DESC, id) AS place FROM t)
+SELECT id AS project_id, CASE WHEN tier IS NULL THEN 'outside' WHEN place > 5 THEN 'skipped' WHEN tier = 0 THEN 'seed' ELSE 'dependent' END AS status FROM r"""
+)
+def g10_scan_report(s: Store) -> DataFrame:
+    """All textual candidates of a scan with a budget of five: seeds and dependents that are looked at, those skipped, and those outside of the graph."""
+    cand = search.references(s.lines_with(NAME), s.owners, NAME).where("project_id is not null").groupBy("project_id").agg(F.count_distinct("file_id").alias("files"))
+    declared = s.symbols.where(F.col("name") == NAME).select("file_id").distinct()
+    seed = s.owners.join(declared, "file_id", "left_semi").select("project_id").distinct()
+    start = seed.select(F.lit(-1).cast("long").alias("src"), F.col("project_id").alias("dst"))
+    up = s.refs.select(F.col("to_id").alias("src"), F.col("from_id").alias("dst")).unionByName(start)
+    near = graph.reachable(up, s.spark.createDataFrame([(-1,)], "root long"), Scratch(s.spark, "scan")).select(F.col("node").alias("project_id"))
+    known = seed.withColumn("tier", F.lit(0)).unionByName(near.withColumn("tier", F.lit(1))).groupBy("project_id").agg(F.min("tier").alias("tier"))
+    j = Scratch(s.spark, "scan").cut(cand.join(known, "project_id", "left"))
+    taken = j.where("tier is not null").orderBy("tier", F.desc("files"), "project_id").limit(5).select(F.col("project_id").alias("t_id"))
+    status = F.when(F.col("tier").isNull(), "outside").when(F.col("t_id").isNull(), "skipped").when(F.col("tier") == 0, "seed").otherwise("dependent")
+    return j.join(taken, F.col("project_id") == F.col("t_id"), "left").select("project_id", status.alias("status"))
+
+
+@query(
+    f"""WITH {_REFERENCES}, tp AS (SELECT id, name FROM p WHERE is_test), m AS (SELECT project_id AS id, count(DISTINCT file_id) AS files FROM rf WHERE project_id IN (SELECT id FROM tp) GROUP BY 1),
+ n AS (SELECT id, 2 AS tier FROM tp WHERE contains(lower(name), '{NAME.lower()}')), d AS (SELECT DISTINCT from_id AS id, 3 AS tier FROM refs JOIN p ON p.id = to_id WHERE contains(lower(p.name), '{NAME.lower()}') AND from_id IN (SELECT id FROM tp)),
+ u AS (SELECT id, min(tier) AS tier FROM (SELECT id, 1 AS tier FROM m UNION ALL SELECT * FROM n UNION ALL SELECT * FROM d) GROUP BY 1)
+SELECT u.id AS project_id, tier, coalesce(files, 0) AS files FROM u LEFT JOIN m USING (id) JOIN tp USING (id) ORDER BY tier, files DESC, lower(name), u.id LIMIT 15"""
+)
+def t9_ranked_tests(s: Store) -> DataFrame:
+    """The fifteen test projects nearest to a name: those that mention it, by how many files do, then those named for it, then those that depend on what is."""
+    t = s.projects.where("is_test").select(F.col("id").alias("project_id"), X.fold("name").alias("name"))
+    hit = search.references(s.lines_with(NAME), s.owners, NAME).groupBy("project_id").agg(F.count_distinct("file_id").alias("files")).join(t.select("project_id"), "project_id", "left_semi")
+    named = t.where(F.col("name").contains(NAME.lower())).select("project_id", F.lit(2).alias("tier"))
+    target = s.projects.where(X.fold("name").contains(NAME.lower())).select(F.col("id").alias("to_id"))
+    depend = s.refs.join(target, "to_id", "left_semi").select(F.col("from_id").alias("project_id"), F.lit(3).alias("tier")).distinct().join(t.select("project_id"), "project_id", "left_semi")
+    u = hit.select("project_id", F.lit(1).alias("tier")).unionByName(named).unionByName(depend).groupBy("project_id").agg(F.min("tier").alias("tier"))
+    j = u.join(hit, "project_id", "left").join(t, "project_id").withColumn("files", F.coalesce("files", F.lit(0)))
+    return j.orderBy("tier", F.desc("files"), "name", "project_id").limit(15).select("project_id", "tier", "files")
+
+
+@query(f"WITH {SY}, a AS (SELECT unnest(string_split(accessors, ';')) AS x FROM s WHERE accessors IS NOT NULL) SELECT string_split(x, '=')[1] AS accessor, string_split(x, '=')[2] AS access, count(*) AS n FROM a GROUP BY 1, 2")
+def l10_accessors(s: Store) -> DataFrame:
+    """Accessors and their accessibility, from the text that holds them as a map."""
+    a = s.symbols.where("accessors is not null").select(F.explode(F.str_to_map("accessors", F.lit(";"), F.lit("="))).alias("accessor", "access"))
+    return a.groupBy("accessor", "access").agg(F.count("*").alias("n"))
+
+
+@query("SELECT time_bucket(INTERVAL 10 SECOND, ts) AS start, count(*) AS n, count_if(event_type = 'error') AS errors FROM events GROUP BY 1")
+def r12_ten_seconds(s: Store) -> DataFrame:
+    """Events in tumbling windows of ten seconds."""
+    w = F.window("ts", "10 seconds")
+    return s.raw("events").groupBy(w.alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "errors")
