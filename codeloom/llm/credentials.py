@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from codeloom.llm.lexer import Token, lex, overwrite
-from codeloom.llm.rows import spread
+from codeloom.llm.rows import own_id, spread, whole_id
 
 
 class Found(NamedTuple):
@@ -467,8 +467,8 @@ def credentials(contents: DataFrame) -> DataFrame:
             rows = [(i, f.line_no, f.start, f.end, f.kind) for i, s in zip(b["file_id"], b["content"]) if s for f in find(s)]
             yield pd.DataFrame(rows, columns=["file_id", "line_no", "start_char", "end_char", "kind"])
 
-    found = contents.select(F.col("file_id").cast("long").alias("file_id"), "content").where("content is not null and content <> ''")
-    return spread(found).mapInPandas(scan, "file_id long, line_no long, start_char long, end_char long, kind string").distinct()
+    found = contents.select(whole_id("file_id").alias("file_id"), "content").where("content is not null and content <> ''")
+    return spread(found).mapInPandas(scan, "file_id long, line_no long, start_char long, end_char long, kind string").distinct().withColumn("file_id", own_id("file_id"))
 
 
 def redacted(contents: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from codeloom.llm.rows import one_text_each
+from codeloom.llm.rows import one_text_each, own_id, whole_id
 from codeloom.sources.tables import Scratch
 
 #: Tokens of the shortest run that the verification counts, and of the short windows.
@@ -408,7 +408,7 @@ def _items(items: DataFrame) -> Iterator[list[tuple[int, str | None, str]]]:
 
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, share) of documents that hold enough of an item."""
-    docs = one_text_each(documents, "doc_id", "text", Scratch(documents.sparkSession, "leakage")).select(F.col("i").alias("doc_id"), F.col("s").alias("text")).where("text is not null and text <> ''")
+    docs = one_text_each(documents, "doc_id", "text", Scratch(documents.sparkSession, "leakage")).select(whole_id("i").alias("doc_id"), F.col("s").alias("text")).where("text is not null and text <> ''")
     out = None
     for block in _items(items):
         shared = documents.sparkSession.sparkContext.broadcast(block)
@@ -420,4 +420,4 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
 
         part = docs.mapInPandas(match, "doc_id long, item_id long, share double")
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.withColumn("doc_id", own_id("doc_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from codeloom.sources.tables import Scratch
 
@@ -36,3 +36,17 @@ def spread(scan: DataFrame) -> DataFrame:
     if "Exchange" in plan or "FileScan" not in plan or scan.rdd.getNumPartitions() >= cores:
         return scan
     return scan.repartition(cores)
+
+
+#: Stands for a null id inside Python batches: a null among numbers would make floats of them all, and large ids would lose their last digits.
+NULL_ID = -(1 << 63)
+
+
+def whole_id(c: Column | str) -> Column:
+    """An id as a number that is never null."""
+    return F.coalesce(F.col(c).cast("long") if isinstance(c, str) else c.cast("long"), F.lit(NULL_ID).cast("long"))
+
+
+def own_id(c: str) -> Column:
+    """The id that `whole_id` took."""
+    return F.when(F.col(c) != F.lit(NULL_ID).cast("long"), F.col(c))

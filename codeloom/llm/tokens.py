@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from codeloom.llm.rows import one_text_each
+from codeloom.llm.rows import one_text_each, own_id, whole_id
 from codeloom.sources.tables import Scratch
 
 #: Characters in the rolling hash, and the mean length of a chunk less the shortest one. Fixed so that equal passages are cut alike everywhere.
@@ -277,12 +277,16 @@ def encoded(documents: DataFrame, vocabulary: str | None = None, pattern: str |
     scratch = Scratch(spark, "tokens")
     kind = dict(documents.dtypes)[id_col]
 
+    sent_kind = "bigint" if kind == "int" else kind
+
     def count_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keys = [chunk_key(c) for part in chunked(b["s"].tolist()) for c in part]
             yield pd.DataFrame(keys, columns=["ka", "kb"], dtype="int64")
 
     docs = one_text_each(documents, id_col, text_col, scratch, kind)
+    if kind in ("bigint", "int"):  # ids pass through Python batches
+        docs = docs.withColumn("i", whole_id("i"))
     some = docs.where("s is not null and s <> ''")
     counts = some.select("s").mapInPandas(count_keys, "ka long, kb long").groupBy("ka", "kb").agg(F.count("*").alias("n"))
     bits, filter_ = _shared_filter(scratch.cut(counts.where("n > 1").select("ka", "kb")))
@@ -321,7 +325,7 @@ def encoded(documents: DataFrame, vocabulary: str | None = None, pattern: str |
             out.append(join_chunks([t for t, _ in both], [e for _, e in both], path, pattern))
         return pd.Series(out, dtype="object")
 
-    first = scratch.cut(some.mapInPandas(in_place, f"i {kind}, ids array<int>, own array<struct<place: int, packed: binary>>, holes array<struct<place: int, ka: bigint, kb: bigint, chunk: string>>"))
+    first = scratch.cut(some.mapInPandas(in_place, f"i {sent_kind}, ids array<int>, own array<struct<place: int, packed: binary>>, holes array<struct<place: int, ka: bigint, kb: bigint, chunk: string>>"))
     whole = first.where("ids is not null").select("i", "ids")
     open_ = first.where("ids is null")
     holes = open_.select("i", F.explode("holes").alias("h"))
@@ -333,4 +337,4 @@ def encoded(documents: DataFrame, vocabulary: str | None = None, pattern: str |
     parts = open_.select("i", F.explode("own").alias("part")).unionByName(filled)
     mended = parts.groupBy("i").agg(F.array_sort(F.collect_list("part")).alias("parts")).select("i", joined("parts").alias("ids"))
     none = docs.where("s is null or s = ''").select("i", F.array().cast("array<int>").alias("ids"))
-    return whole.unionByName(mended).unionByName(none).select(F.col("i").alias(id_col), "ids")
+    return whole.unionByName(mended).unionByName(none).select((own_id("i").cast(kind) if kind in ("bigint", "int") else F.col("i")).alias(id_col), "ids")

@@ -119,3 +119,10 @@ def test_table(spark):
     got = {(x["doc_id"], x["item_id"]) for x in L.leaked(d, i).collect()}
     assert got == {(k, q) for k in (1, 4, None, 5) for q in (7, 9)}
     assert L.leaked(d.limit(0), i).count() == 0 and L.leaked(d, i.limit(0)).count() == 0
+
+
+def test_large_ids_beside_a_null_one(spark):
+    big = (1 << 62) + 1
+    d = spark.createDataFrame([(big, " ".join(ITEM)), (None, " ".join(ITEM))], "doc_id long, text string").coalesce(1)
+    i = spark.createDataFrame([(7, "en", " ".join(ITEM))], "item_id long, lang string, text string")
+    assert {x["doc_id"] for x in L.leaked(d, i).collect()} == {big, None}
