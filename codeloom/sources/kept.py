@@ -50,9 +50,20 @@ class Kept:
             seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
             self.bytes += f.getLen()
         digest = hashlib.sha256("\n".join([directory, *sorted(seen)]).encode()).hexdigest()[:24]
-        self.base = f"{shared_dir(spark)}/kept/{digest}"
+        self.home = f"{shared_dir(spark)}/kept/{hashlib.sha256(directory.encode()).hexdigest()[:16]}"
+        self.base = f"{self.home}/{digest}"
         self._fs = self._path(self.base).getFileSystem(self._configuration)
 
+    def prune(self) -> int:
+        """Drops what was kept of former states of this directory, once nobody reads it any more; how many states that were."""
+        home = self._path(self.home)
+        if not self._fs.exists(home):
+            return 0
+        old = [f.getPath().toString() for f in self._fs.listStatus(home) if f.getPath().getName() != self.base.rsplit("/", 1)[1]]
+        for path in old:
+            delete_path(self.spark, path)
+        return len(old)
+
     @property
     def buckets(self) -> int:
         return min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-self.bytes // BUCKET_BYTES)))
