@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from codeloom.operators import events as E
 from codeloom.sources.tables import Scratch, table
@@ -25,6 +25,11 @@ def query(sql: str | None = None):
     return add
 
 
+def _micros(c: Column) -> Column:
+    """A time without zone as microseconds, in whatever zone the session is."""
+    return F.unix_micros(F.concat(c.cast("timestamp_ntz").cast("string"), F.lit("Z")).cast("timestamp"))
+
+
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, max(ts) AS last_at, count_if(event_type = 'error') AS errors FROM events GROUP BY 1")
 def a16_event_totals(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
@@ -60,7 +65,7 @@ SELECT event_id, ts FROM (SELECT *, sum(strlen(props)) OVER (ORDER BY ts DESC, e
 def r8_retained(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     now = e.agg(F.max("ts")).first()[0]
-    return E.retained(e, F.lit(now).cast("timestamp_ntz"), datetime.timedelta(days=1), 512, 2000).select("event_id", "ts")
+    return E.retained(e, F.lit(str(now)).cast("timestamp_ntz"), datetime.timedelta(days=1), 512, 2000).select("event_id", "ts")
 
 
 @query("SELECT DISTINCT user_id FROM events e WHERE event_type = 'signup' AND EXISTS (SELECT 1 FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase')")
@@ -86,9 +91,9 @@ def t14_byte_budget(spark: SparkSession, d: str) -> DataFrame:
     top = table(spark, d, "events").where(F.octet_length("props") > 0).orderBy(F.desc("ts"), "event_id").limit(4096)
     free = table(spark, d, "events").where(F.octet_length("props") == 0)
     kept = E.byte_budget(top, [F.desc("ts"), F.col("event_id")], "props", 4096)
-    last = kept.agg(F.max(F.struct(-F.unix_micros(F.col("ts").cast("timestamp")), "event_id")).alias("last"))
+    last = kept.agg(F.max(F.struct(-_micros(F.col("ts")), "event_id")).alias("last"))
     # records without bytes fit as long as those before them do
-    inside = free.crossJoin(F.broadcast(last)).where(F.struct(-F.unix_micros(F.col("ts").cast("timestamp")), "event_id") <= F.col("last"))
+    inside = free.crossJoin(F.broadcast(last)).where(F.struct(-_micros(F.col("ts")), "event_id") <= F.col("last"))
     return kept.select("event_id").unionByName(inside.select("event_id"))
 
 
@@ -97,7 +102,7 @@ def w7_run_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Seconds from each run to the next; the table of runs does not grow, so one window holds it."""
     r = table(spark, d, "index_runs").select("run_id", "attempt", "started_at")
     w = Window.orderBy("started_at", "run_id", "attempt")
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    micros = _micros
     return r.select("run_id", "attempt", F.round(micros(F.lead("started_at").over(w)) / 1e6 - micros(F.col("started_at")) / 1e6, 3).alias("seconds"))
 
 
@@ -110,7 +115,7 @@ def a17_rates(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "file_checkpoints").groupBy("run_id", "attempt").agg(F.count_distinct("path").alias("done"))
     r = table(spark, d, "index_runs").join(n, ["run_id", "attempt"], "left")
     total = table(spark, d, "files").agg(F.count("*").alias("files_total"))
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    micros = lambda c: _micros(F.col(c))
     p = r.crossJoin(F.broadcast(total)).select("run_id", "attempt", F.coalesce("done", F.lit(0)).alias("files_done"), "files_total", ((micros("finished_at") - micros("started_at")) / 1e6).alias("elapsed_s"))
     return E.rate_and_eta(p, 100, 1.0).select("run_id", "attempt", F.round("rate", 6).alias("rate"), F.round("eta_s", 3).alias("eta_s"))
 
