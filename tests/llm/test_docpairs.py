@@ -73,3 +73,31 @@ def test_bases_are_looked_up_where_they_are_seen_and_at_any_depth(spark):
     c = spark.createDataFrame(texts, "file_id long, content string")
     got = {r["symbol_id"]: r["source_id"] for r in D.pairs(sy, c).collect()}
     assert got == {200: 200, 201: 201, 301: 201} | {2000 + k: 200 for k in range(deep)}
+
+
+def test_bases_beyond_undocumented_types_parts_and_constructors(spark):
+    """Documentation comes through types that say nothing, from the other part's bases, from base constructors, and from members of another name."""
+    rows, texts = [], []
+
+    def file(k, text, *declared):
+        texts.append((k, text))
+        rows.extend((i, k, None, kind, name, ns, container, signature, text.split("\n").index(line) + 1) for i, kind, name, ns, container, signature, line in declared)
+
+    file(
+        1, "namespace N;\nclass Root\n{\n/// Explains the protocol by number\nvoid Run(int n);\n/// Explains the protocol by word\nvoid Run(string s);\n/// Opens the archive lazily\nRoot(int n);\n/// Walks each branch twice\nvoid Walk();\n}",
+        (1, "class", "Root", "N", None, "", "class Root"), (2, "method", "Run", "N", "Root", "void Run(int n)", "void Run(int n);"), (3, "method", "Run", "N", "Root", "void Run(string s)", "void Run(string s);"),
+        (4, "constructor", "Root", "N", "Root", "Root(int n)", "Root(int n);"), (5, "method", "Walk", "N", "Root", "void Walk()", "void Walk();"),
+    )
+    file(10, "namespace N;\nclass Bare : Root\n{\nvoid Other();\n}", (10, "class", "Bare", "N", None, "", "class Bare : Root"))
+    file(11, "namespace N;\nclass Mute : Bare\n{\n/// TODO\nvoid Run(string s);\n}", (11, "class", "Mute", "N", None, "", "class Mute : Bare"), (12, "method", "Run", "N", "Mute", "void Run(string s)", "void Run(string s);"))
+    # the base list is in the one part, the comments are in the other
+    file(20, "namespace N;\npartial class Leaf : Mute\n{\n}", (20, "class", "Leaf", "N", None, "", "partial class Leaf : Mute"))
+    file(
+        21, 'namespace N;\npartial class Leaf\n{\n/// <inheritdoc/>\nvoid Run(string s);\n/// <inheritdoc/>\nLeaf(int n);\n/// <inheritdoc cref="Root.Walk()"/>\nvoid Stroll();\n/// <inheritdoc/>\nvoid Nowhere();\n}',
+        (21, "class", "Leaf", "N", None, "", "partial class Leaf"), (22, "method", "Run", "N", "Leaf", "void Run(string s)", "void Run(string s);"), (23, "constructor", "Leaf", "N", "Leaf", "Leaf(int n)", "Leaf(int n);"),
+        (24, "method", "Stroll", "N", "Leaf", "void Stroll()", "void Stroll();"), (25, "method", "Nowhere", "N", "Leaf", "void Nowhere()", "void Nowhere();"),
+    )
+    sy, c = spark.createDataFrame(rows, SYM), spark.createDataFrame(texts, "file_id long, content string")
+    got = {r["symbol_id"]: r["source_id"] for r in D.pairs(sy, c).collect()}
+    assert got == {2: 2, 3: 3, 4: 4, 5: 5, 22: 3, 23: 4, 24: 5}
+    assert {r["symbol_id"] for r in D.found(sy, c).collect()} == {2, 3, 4, 5}
