@@ -8,9 +8,11 @@ sentence marks (Thai, Lao, Khmer, Burmese) the places are the white space betwee
 letters, and, where none is written, every character before which a known end
 and behind which a known beginning of a sentence stands.
 
-The weights are an averaged structured perceptron's, fitted on the driver to a
-sample of documents of bounded size (`SAMPLE` rows, those with the least hash of
-their text, none longer than `SAMPLE_LONGEST`, and the built-in lines below). Marked text is
+The weights are an averaged structured perceptron's, fitted to all documents and
+the built-in lines below. What training sees of each block is written once, repeats
+told by their contents, and dealt into parts by hash; each part is fitted with the
+built-in lines, the weights are mixed, and fitted once more from the mixture. How the
+rows lie in files or tasks does not change the parts. Marked text is
 labelled by a conservative rule set, whose knowledge of words the features do not
 share: they see the words themselves. For unmarked scripts sentences are taken
 from where text is set apart by white space, stripped of it and joined anew: with
@@ -24,20 +26,25 @@ counts; positions are code points of the text as stored; extra columns are ignor
 
 from __future__ import annotations
 
+import json
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from codeloom.llm.rows import one_text_each, own_id, whole_id
+from codeloom.llm.rows import one_text_each, own_id, spread, whole_id
 from codeloom.sources.tables import Scratch
 
-#: Documents of the corpus in the training sample and their greatest length: bounds of the fit, not of what is cut.
-SAMPLE, SAMPLE_LONGEST = 4000, 20_000
+#: Characters of training data that one task fits at a time; all parts together are the whole corpus.
+PART = 4_000_000
 EPOCHS = 8
+#: Where there are several parts, how often they are fitted and mixed; the epochs are shared among these rounds.
+ROUNDS = 2
+#: Weights cross tasks as whole numbers of this fraction, so that sums do not depend on their order.
+FINE = 1 << 24
 #: Characters before and behind a place that features can see.
 SEEN = 40
 
@@ -404,12 +411,16 @@ def _letters(p, base: str) -> list[str]:
     ]
 
 
+def _sort(mark: str) -> str:
+    return "…" if mark[0] == "…" or mark.startswith("...") else "!" if mark[0] in "!?" else "." if mark[0] == "." else "。"
+
+
 def _features(p, starts_quoted: bool) -> list[str]:
     if p.mark == "":
         return _letters(p, "j")
     if p.mark == " ":
         return [*_letters(p, "s"), f"o{bool(p.open)}"]
-    m = "…" if p.mark[0] == "…" or p.mark.startswith("...") else "!" if p.mark[0] in "!?" else "." if p.mark[0] == "." else "。"
+    m = _sort(p.mark)
     q = ("q" if _quoted(p) else "") + ("r" if ")" in p.closers or "）" in p.closers else "") + ("o" if p.open else "") + ("a" if starts_quoted else "")
     base = f"{m}|{q}|{p.kind}"
     out = ["b", base, f"o{bool(p.open)}"]
@@ -427,7 +438,46 @@ def _features(p, starts_quoted: bool) -> list[str]:
 _INITIALS = re.compile(r"(?:[^\W\d_]\.)*[^\W\d_]")
 
 
-def _at_start(p: Place, start: int, s: str) -> bool:
+class Seen:
+    """What the features see of a place, kept without its text. Starts of units are counted by places: 0 is the block's, k + 1 that behind place k."""
+
+    __slots__ = ("mark", "closers", "kind", "open", "word", "before", "after", "since", "next", "opened")
+
+    def __init__(self, k: int, mark: str, closers: str, kind: str, open_: int, word: str, before: str, after: str, since: int):
+        self.mark, self.closers, self.kind, self.open, self.word, self.before, self.after = mark, closers, kind, open_, word, before, after
+        #: The first start from which a quotation that ends here opened the unit, -1 if none.
+        self.since = self.opened = since
+        self.next = k + 1
+
+
+def _lead(start: int, end: int, s: str) -> int:
+    while start < end and s[start] in "-*>#•+ \t":
+        start += 1
+    return start
+
+
+def instance(s: str, a: int, ps: list[Place], gold: list[bool]) -> str:
+    """The places of a marked block and their labels as text: equal ones train alike."""
+    leads = [_lead(x, len(s), s) for x in (a, *(p.next for p in ps))]
+    out = []
+    for k, (p, t) in enumerate(zip(ps, gold)):
+        since = -1
+        if p.opened >= 0 and (j := bisect_left(leads, p.opened, 0, k + 1)) <= k:
+            since = j
+        m = _sort(p.mark)
+        words = (p.word.rstrip("."), p.before.lower(), p.after.lower()) if m == "." else ("", "", "")
+        out.append((m, ("”" if _quoted(p) else "") + (")" if ")" in p.closers or "）" in p.closers else ""), p.kind, int(p.open > 0), *words, since, int(t)))
+    return json.dumps(out, ensure_ascii=False, separators=(",", ":"))
+
+
+def _read(v: str) -> tuple[None, int, list[Seen], list[bool]]:
+    rows = json.loads(v)
+    return None, 0, [Seen(k, *r[:-1]) for k, r in enumerate(rows)], [bool(r[-1]) for r in rows]
+
+
+def _at_start(p: Place | Seen, start: int, s: str | None) -> bool:
+    if s is None:
+        return 0 <= p.since <= start
     lead = start
     while lead < p.end and s[lead] in "-*>#•+ \t":
         lead += 1
@@ -496,18 +546,19 @@ def unmarked_sentences(texts: list[str]) -> list[str]:
 LINES = 600
 
 
-def stripped(sentences_: list[str], seed: int = 0) -> list[tuple[str, list[bool], list]]:
+def stripped(sentences_: list[str], seed: int = 0, edges: tuple[frozenset, frozenset] | None = None) -> list[tuple[str, list[bool], list]]:
     """Training text of unmarked scripts: (text, whether each place is a boundary, the places), made of known sentences stripped of what sets them apart.
 
     A third is joined by spaces, a third by nothing, and a third has spaces put
     inside its sentences besides. Every other line hides the letters, so that the
     distances of spaces are weighed for letters that were never seen: there,
     sentences joined by spaces stand against single ones with spaces inside.
+    `edges` are those of more sentences than these, if there are.
     """
     import random
 
     r = random.Random(seed)
-    edges = _edges(sentences_)
+    edges = edges or _edges(sentences_)
     out = []
     for k in range(max(LINES, len(sentences_)) if sentences_ else 0):
         few = [sentences_[k % len(sentences_)]] + [r.choice(sentences_) for _ in range(r.randint(1, 3))]
@@ -566,16 +617,18 @@ class _Training(Model):
         return got
 
 
-def fit(texts: list[str], epochs: int = EPOCHS) -> Model:
-    """An averaged structured perceptron from texts labelled by the rules."""
-    data = []
+def _marked(texts: list[str]) -> Iterator[tuple[str, int, list[Place], list[bool]]]:
+    """The blocks of marked text that hold places, with the labels of the rules."""
     for s in texts:
         for a, b, fenced in blocks(s):
             if not fenced and (ps := [p for p in places(s, a, b) if p.mark != " "]):
-                data.append((s, a, ps, _label(s, a, ps)))
-    known = sorted(set(unmarked_sentences(texts)))
-    data += [(s, 0, ps, gold) for s, gold, ps in stripped(known) if ps]
-    w: dict[str, float] = defaultdict(float)
+                yield s, a, ps, _label(s, a, ps)
+
+
+def _learn(data: list[tuple], start: dict[str, float], epochs: int) -> dict[str, float]:
+    """What an averaged structured perceptron adds to the weights that it starts from."""
+    w: dict[str, float] = defaultdict(float, start)
+    added: dict[str, float] = defaultdict(float)
     total: dict[str, float] = defaultdict(float)
     step = 1
     model = _Training(w)
@@ -586,21 +639,28 @@ def fit(texts: list[str], epochs: int = EPOCHS) -> Model:
             if tags != gold:
                 wrong += 1
                 for sign, path in ((1.0, gold), (-1.0, tags)):
-                    start, last = a, False
+                    start_, last = a, False
                     for p, t in zip(ps, path):
-                        f = f"T{last:d}{t:d}"
-                        w[f] += sign
-                        total[f] += sign * step
+                        fs = [f"T{last:d}{t:d}"]
                         if t:
-                            for f in model.features(p, p.opened >= 0 and _at_start(p, start, s)):
-                                w[f] += sign
-                                total[f] += sign * step
-                            start = p.next
+                            fs += model.features(p, p.opened >= 0 and _at_start(p, start_, s))
+                            start_ = p.next
+                        for f in fs:
+                            w[f] += sign
+                            added[f] += sign
+                            total[f] += sign * step
                         last = t
             step += 1
         if not wrong:
             break
-    return Model({f: v - total[f] / step for f, v in w.items() if v or total[f]}, _edges(known))
+    return {f: v - total[f] / step for f, v in added.items() if v or total[f]}
+
+
+def fit(texts: list[str], epochs: int = EPOCHS) -> Model:
+    """An averaged structured perceptron from texts labelled by the rules."""
+    known = sorted(set(unmarked_sentences(texts)))
+    data = [*_marked(texts), *((s, 0, ps, gold) for s, gold, ps in stripped(known) if ps)]
+    return Model(_learn(data, {}, epochs), _edges(known))
 
 
 def units(s: str, model: Model) -> list[tuple[int, int]]:
@@ -680,13 +740,52 @@ def seed_texts(n: int = 400) -> list[str]:
     return out
 
 
-def train(documents: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """A model from at most `sample` documents of the corpus, chosen by the least hash of their text, and the built-in lines."""
-    # hashes meet, not texts; those of the sample then fetch theirs
-    t = documents.select(F.col(text_col).alias("t")).where(f"t is not null and length(t) <= {SAMPLE_LONGEST}").select("t", F.xxhash64("t").alias("h"))
-    least = t.select("h").distinct().orderBy("h").limit(sample)
-    rows = t.join(F.broadcast(least), "h").groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()
-    return fit(seed_texts() + [r["t"] for r in rows])
+def _training_data(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        texts = list(b["t"])
+        rows = dict.fromkeys((True, instance(*x)) for x in _marked(texts))
+        rows |= dict.fromkeys((False, u) for u in unmarked_sentences(texts))
+        yield pd.DataFrame(list(rows), columns=["marked", "v"])
+
+
+def train(documents: DataFrame, text_col: str = "text") -> Model:
+    """A model from all documents of the corpus and the built-in lines.
+
+    A weight of the mixture is the mean over the parts that moved it, so what only
+    one part has seen is not thinned by the others.
+    """
+    spark = documents.sparkSession
+    texts = spread(documents.select(F.col(text_col).alias("t")).where("t is not null"))
+    data = Scratch(spark, "training").cut(texts.mapInPandas(_training_data, "marked boolean, v string").distinct())
+    lines = seed_texts()
+    own = unmarked_sentences(lines)
+    ends, begins = (set(x) for x in _edges(own))
+    unmarked = data.where("not marked")
+    ends |= {r[0] for r in unmarked.select(F.substring("v", -EDGE, EDGE)).distinct().collect()}
+    begins |= {r[0] for r in unmarked.select(F.substring("v", 1, EDGE)).distinct().collect()}
+    edges = frozenset(ends), frozenset(begins)
+    parts = max(1, -(-(data.agg(F.sum(F.length("v"))).first()[0] or 0) // PART))
+    # an empty corpus still has the built-in lines
+    seeds = spark.range(parts).select(F.col("id").alias("part"), F.lit(None).cast("boolean").alias("marked"), F.lit("").alias("v"))
+    dealt = data.select(F.pmod(F.xxhash64("v"), F.lit(parts)).alias("part"), "marked", "v").unionByName(seeds).repartition(parts, "part")
+    rounds = ROUNDS if parts > 1 else 1
+    weights: dict[str, float] = {}
+    for _ in range(rounds):
+        sent = spark.sparkContext.broadcast((weights, edges, EPOCHS // rounds))
+
+        def learn(part: pd.DataFrame) -> pd.DataFrame:
+            start, all_edges, epochs = sent.value
+            built_in = seed_texts()
+            mine = sorted(part["v"][part["marked"] == True])  # noqa: E712
+            known = sorted({*unmarked_sentences(built_in), *part["v"][part["marked"] == False]})  # noqa: E712
+            fitted = [*_marked(built_in), *map(_read, mine), *((s, 0, ps, gold) for s, gold, ps in stripped(known, edges=all_edges) if ps)]
+            return pd.DataFrame([(f, round(v * FINE)) for f, v in _learn(fitted, start, epochs).items()], columns=["f", "d"])
+
+        moved = dealt.groupBy("part").applyInPandas(learn, "f string, d long").groupBy("f").agg(F.sum("d").alias("d"), F.count("*").alias("n")).collect()
+        weights = dict(weights)
+        for r in moved:
+            weights[r["f"]] = weights.get(r["f"], 0.0) + r["d"] / r["n"] / FINE
+    return Model(weights, edges)
 
 
 def sentences(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:

@@ -122,3 +122,17 @@ def test_large_ids_beside_a_null_one(spark):
     big = (1 << 62) + 1
     df = spark.createDataFrame([(big, "One. Two."), (None, "X.")], "doc_id long, text string").coalesce(1)
     assert {r["doc_id"] for r in S.sentences(df, model=MODEL).collect()} == {big, None}
+
+
+def test_training_sees_every_document_however_long_and_however_laid_out(spark, monkeypatch):
+    """What only a long document teaches is learnt, in one part and in several, and the rows' places change no weight."""
+    odd = "Das ist evtl. Lärm im Haus. Es gilt inkl. Strom und Gas. Wir sehen vgl. Tafel im Flur. "
+    rows = [(k, f"Note {k} is short. It ends here.") for k in range(40)] + [(99, odd * 300)]
+    assert len(rows[-1][1]) > 20_000
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [u for u in odd.strip().replace("Haus. ", "Haus.|").replace("Gas. ", "Gas.|").split("|")]
+    assert cut(odd, S.train(df.repartition(1))) == want
+    monkeypatch.setattr(S, "PART", 10_000)
+    one, many = S.train(df.repartition(1)), S.train(df.repartition(5))
+    assert one.w == many.w and one.edges == many.edges
+    assert cut(odd, one) == want
